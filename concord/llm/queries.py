@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, htmlextract, matroska, mixing, quality, secrets, simhash, toxicity, warc
+from concord.llm import decontaminate, htmlextract, kneserney, matroska, mixing, quality, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
 
