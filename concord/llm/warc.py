@@ -5,13 +5,14 @@ of at most ``CHUNK`` bytes, so that any store that Spark reads holds it and no r
 grows with a payload.  The writer cuts records into the stream; the reader parses
 the stream chunk by chunk, carrying header text, the count of payload bytes still
 due and a running SHA-256, and gives rows (record_id, chunk, payload, size and
-digest so far): memory follows the chunk, not the record.  Archives close at the
+digest so far): memory follows the chunk, not the record.  Records are
+gzip members of their own, as usual, inflated piece by piece.  Archives close at the
 first record end after ``ARCHIVE`` bytes.
 
 Of records with equal payloads of 100 bytes or more the one with the smallest id is
 a response; the others are revisits that refer to it and carry no payload.
 
-Defined cases: a null payload is empty; a null or repeated id is written as often as
+Defined cases: ids are numbers or words without blanks; a null payload is empty; a null or repeated id is written as often as
 it comes (of repeated smallest ids one row is the response); an empty table gives no
 archive.
 """
@@ -19,6 +20,7 @@ archive.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ from concord.llm.store import materialize
 
 CHUNK, ARCHIVE = 256 << 10, 16 << 20
 REVISIT_BYTES = 100
+BROADCAST_ROWS = 200_000
 ID_PREFIX, PROFILE = "urn:record:", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -37,18 +40,19 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     """(page_id, url, payload binary, digest, refers_to, revisit) of every row."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.length("payload") >= least)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # rows that share the smallest id too: one of them is the response
-    tied = large.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("tied")).where("tied > 1")
-    out = rows.join(first, "digest", "left").join(tied, ["digest", "page_id"], "left")
-    small = F.length("payload") < least
-    leads = F.col("first_id").isNull() | small | (F.col("page_id") == F.col("first_id"))
-    out = out.withColumn("revisit", F.coalesce(~leads, F.lit(True)))
-    single = out.where(F.col("tied").isNull() | small)
-    again = out.where(F.col("tied").isNotNull() & ~small)
-    again = again.withColumn("revisit", F.col("revisit") | (F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")) > 1))
-    return single.unionByName(again).select("page_id", "url", "payload", "digest", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "revisit")
+    large = rows.where(F.length("payload") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.sum("n").alias("n"), F.min_by("n", "page_id").alias("leads")).where("n > 1").drop("n")
+    # payloads aren't shuffled for this where few are repeated
+    first = materialize(first, "repeated")
+    count, tied = first.agg(F.count(F.lit(1)), F.coalesce(F.max("leads"), F.lit(0))).first()
+    out = rows.join(F.broadcast(first) if count <= BROADCAST_ROWS else first, "digest", "left")
+    lead = F.col("first_id").isNull() | (F.length("payload") < least) | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
+    out = out.withColumn("revisit", ~lead)
+    if tied > 1:  # rows that share the smallest id too: one of them is the response
+        shared = F.coalesce(~F.col("revisit") & (F.col("leads") > 1) & (F.length("payload") >= least), F.lit(False))
+        again = F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")) > 1
+        out = out.where(~shared).unionByName(out.where(shared).withColumn("revisit", again))
+    return out.select("page_id", "url", "payload", "digest", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "revisit")
 
 
 def record_header(page_id, url, digest, refers_to, revisit, size: int) -> bytes:
@@ -72,15 +76,15 @@ def write_chunks(batches, chunk: int = CHUNK, archive: int = ARCHIVE):
         for i in range(batch.num_rows):
             page_id, url, digest, refers_to, revisit = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4, 5))
             body = memoryview(b"" if revisit else batch.column(2)[i].as_buffer())
-            for piece in (record_header(page_id, url, digest, refers_to, revisit, len(body)), body, b"\r\n\r\n"):
-                at = 0
-                while at < len(piece):
-                    more = min(chunk - len(waiting), len(piece) - at)
-                    waiting += piece[at : at + more]
-                    at += more
-                    if len(waiting) == chunk:
-                        yield row(waiting)
-                        index, written, waiting = index + 1, written + chunk, bytearray()
+            gzip = zlib.compressobj(1, wbits=31)
+            pieces = (record_header(page_id, url, digest, refers_to, revisit, len(body)), *(body[k : k + chunk] for k in range(0, len(body), chunk)), b"\r\n\r\n")
+            for k, piece in enumerate(pieces):
+                waiting += gzip.compress(piece)
+                if k == len(pieces) - 1:
+                    waiting += gzip.flush()
+                while len(waiting) >= chunk:
+                    yield row(waiting[:chunk])
+                    index, written, waiting = index + 1, written + chunk, waiting[chunk:]
             if written + len(waiting) >= archive:
                 if waiting:
                     yield row(waiting)
@@ -94,12 +98,29 @@ def write_archives(rows: DataFrame, name: str = "warc") -> DataFrame:
     return materialize(rows.mapInArrow(write_chunks, "archive long, chunk long, data binary"), name)
 
 
+def inflated(state: list, data, most: int = CHUNK):
+    """Pieces of at most ``most`` bytes of successive gzip members; ``state`` holds the open member between calls."""
+    while len(data):
+        if not state:
+            state.append(zlib.decompressobj(wbits=31))
+        yield state[0].decompress(data, most)
+        data = state[0].unconsumed_tail or state[0].unused_data
+        if state[0].eof:
+            state.clear()
+
+
 class Parser:
     """Records from successive pieces of a WARC stream."""
 
     def __init__(self):
+        self.member: list = []
         self.text, self.header, self.due, self.tail = bytearray(), None, 0, 0
 
+    def read(self, data):
+        """``feed`` over compressed data."""
+        for piece in inflated(self.member, data):
+            yield from self.feed(piece)
+
     def feed(self, data):
         """Yields (header, chunk number, payload piece, size so far, SHA-256 so far, whether the record ends)."""
         at, view = 0, memoryview(data)
@@ -153,7 +174,7 @@ def parse_chunks(keep_payload: bool, only_last: bool):
                 if (own := batch.column(0)[i].as_py()) != archive:
                     archive, parser, record = own, Parser(), 0
                 rows = []
-                for header, number, piece, size, digest, last in parser.feed(batch.column(2)[i].as_buffer()):
+                for header, number, piece, size, digest, last in parser.read(batch.column(2)[i].as_buffer()):
                     if last or not only_last:
                         said = header.get("warc-payload-digest", "").partition(":")[2] or None
                         rows.append((archive, record, bare(header.get("warc-record-id")), header.get("warc-type"), header.get("warc-target-uri"), bare(header.get("warc-refers-to")), said, number, bytes(piece) if keep_payload else None, size, digest, last))
