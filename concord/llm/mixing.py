@@ -175,8 +175,16 @@ def mix(docs: DataFrame, carry: dict[str, Column] | None = None, weights: tuple
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with ``copies``; rows that are equal throughout become one row with all their copies."""
-    row = {"row_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row_hash": F.xxhash64(*docs.columns)}
+    """The documents that the mix takes, with ``copies`` (``copies_2`` and so on where documents have that column).
+
+    Rows that are equal in all columns but maps become one row with all their copies.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = {"row_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row_hash": F.xxhash64(*hashed)}
     taken = mix(docs, row).where("copies > 0").groupBy("row_id", "row_hash").agg(F.sum("copies").alias("copies"))
-    keyed = docs.withColumns(row).join(taken, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"])
-    return keyed.select(*docs.columns, "copies")
+    packed = docs.select(*[c.alias(k) for k, c in row.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = packed.join(taken, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"])
+    name, k = "copies", 2
+    while name in docs.columns:
+        name, k = f"copies_{k}", k + 1
+    return kept.select("row.*", F.col("copies").alias(name))

@@ -321,8 +321,8 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("fp"))).alias("c")).select("c.doc_id", F.col("c.fp").alias("_fp"))
     often = found.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     chosen = chosen.select(key.alias("_key"), "_fp").join(often, "_key")
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.withColumn("_key", key).alias("d").join(chosen.alias("c"), "_key").select("_key", "_fp", "_n", *columns)
+    packed = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = packed.join(chosen, "_key")
     # only documents whose id repeats need another look at their text
-    own = fingerprint(F.when(F.col("_n") > 1, F.col("text")))
-    return joined.where((F.col("_n") == 1) | (own == F.col("_fp"))).dropDuplicates(["_key", "_fp"]).select(*docs.columns)
+    own = fingerprint(F.when(F.col("_n") > 1, F.col("row.text")))
+    return joined.where((F.col("_n") == 1) | (own == F.col("_fp"))).dropDuplicates(["_key", "_fp"]).select("row.*")
