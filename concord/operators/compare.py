@@ -120,12 +120,17 @@ def compare(source: DataFrame, target: DataFrame, c: Comparison, run: RunInfo |
     run = run or RunInfo()
     kinds, others = ({f.name: f.dataType for f in df.schema.fields} for df in (source, target))
     shown = [f for f in c.fields if f.alias in kinds and (f.alias not in c.keys or "hash__all" in c.keys)]
-    left = source.select(F.struct(*[F.col(f"`{x}`") for x in source.columns]).alias("s"), F.lit(True).alias("in_s"))
-    right = target.select(F.struct(*[F.col(f"`{x}`") for x in target.columns]).alias("t"), F.lit(True).alias("in_t"))
-    s, t = (lambda x: F.col("s")[x]), (lambda x: F.col("t")[x])
+    place = {k: i for i, k in enumerate(c.keys)}
+    left, right = (
+        df.select(
+            F.struct(F.lit(True).alias("_"), *[F.col(f"`{f.alias}`") for f in shown if f.alias not in place]).alias(side),
+            F.lit(True).alias(f"in_{side}"),
+            *[F.col(f"`{k}`").alias(f"{side}k{i}") for k, i in place.items()],
+        )
+        for df, side in ((source, "s"), (target, "t"))
+    )
+    s, t = (lambda x: F.col(f"sk{place[x]}") if x in place else F.col("s")[x]), (lambda x: F.col(f"tk{place[x]}") if x in place else F.col("t")[x])
     if c.keys:
-        left = left.select("*", *[s(k).alias(f"sk{i}") for i, k in enumerate(c.keys)])
-        right = right.select("*", *[t(k).alias(f"tk{i}") for i, k in enumerate(c.keys)])
         on = reduce(lambda a, b: a & b, [F.col(f"sk{i}").eqNullSafe(F.col(f"tk{i}")) for i in range(len(c.keys))])
         joined = left.join(right, on, "full_outer")
     else:  # one row each
@@ -153,7 +158,7 @@ def compare(source: DataFrame, target: DataFrame, c: Comparison, run: RunInfo |
     empty = "array<struct<validation_name:string,aggregation_type:string,source_column_name:string,source_agg_value:string,target_column_name:string,target_agg_value:string,difference:double,pct_difference:double,pct_threshold:double,validation_status:string>>"
     group = F.lit(None).cast("string")
     if c.keys:
-        texts = [F.concat(F.lit(f'"{k}": "'), json_text(F.when(in_s, s(k)).otherwise(F.col("t")[k].cast(kinds[k])), kinds[k]), F.lit('"')) for k in c.keys]
+        texts = [F.concat(F.lit(f'"{k}": "'), json_text(F.when(in_s, s(k)).otherwise(t(k).cast(kinds[k])), kinds[k]), F.lit('"')) for k in c.keys]
         group = F.concat(F.lit("{"), F.concat_ws(", ", *texts), F.lit("}"))
     rows = joined.select(F.explode(F.array(*parts) if parts else F.array().cast(empty)).alias("x"), group.alias("g"), in_s.alias("in_s"), in_t.alias("in_t"))
     name = lambda table, here: F.lit(table) if c.named else F.when(F.col(here), F.lit(table))
