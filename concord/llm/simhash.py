@@ -319,10 +319,16 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = materialize(near_duplicates(docs, hot=hot), "classified")
     # nulls sort first in min(struct); an id counts before them
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("fp"))).alias("c")).select("c.doc_id", F.col("c.fp").alias("_fp"))
-    often = found.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    chosen = chosen.select(key.alias("_key"), "_fp").join(often, "_key")
+    chosen = chosen.select(key.alias("_key"), "_fp")
+    often = materialize(found.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "ids")
     packed = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = packed.join(chosen, "_key")
-    # only documents whose id repeats need another look at their text
-    own = fingerprint(F.when(F.col("_n") > 1, F.col("row.text")))
-    return joined.where((F.col("_n") == 1) | (own == F.col("_fp"))).dropDuplicates(["_key", "_fp"]).select("row.*")
+    if often.where("_n > 1").isEmpty():
+        dropped = materialize(often.join(chosen, "_key", "left_anti").select("_key"), "dropped")
+        if dropped.count() <= BROADCAST_ROWS:  # then no text is shuffled
+            return packed.join(F.broadcast(dropped), "_key", "left_anti").select("row.*")
+        return packed.join(chosen, "_key", "left_semi").select("row.*")
+    joined = packed.join(chosen.join(often, "_key"), "_key")
+    # documents whose id repeats need another look at their text
+    own = fingerprint(F.col("row.text"))
+    repeated = joined.where("_n > 1").withColumn("own", own).where("own = _fp").drop("own").dropDuplicates(["_key", "_fp"])
+    return joined.where("_n = 1").unionByName(repeated).select("row.*")
