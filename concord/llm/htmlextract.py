@@ -103,7 +103,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
             for x in flat[i:k]:
                 closes[x[0]] -= bool(x[1])
             i = k
-            out.append(("div", ""))
+            out.append(("p", ""))  # a cut between blocks
             continue
         out.append((name, closing))
     return out

@@ -424,7 +424,7 @@ class Scorer:
         base = np.log10((counts + DELTA) / (m.tokens + DELTA * (m.distinct + 1)))
         n = fields[1]
         lowest = m.low_mass / (m.distinct + 1)
-        p1 = lowest + (np.maximum(n - m.low[np.minimum(n, 3).astype(int)], 0) / m.total if m.total else 0.0)
+        p1 = lowest + np.maximum(n - m.low[np.minimum(n, 3).astype(int)], 0) / max(m.total, 1)
         total = np.maximum(fields[2], 1)
         mass = np.where(fields[2] > 0, (m.high[1:, None] * fields[3:]).sum(axis=0) / total, 1.0)
         key = bigram_keys(before, tokens, m.hot, m.bits)

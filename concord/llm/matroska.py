@@ -156,7 +156,7 @@ def block_frames(data, at: int, end: int) -> tuple[int, int, int, str, list[tupl
 
 def parse(data) -> Media:
     """Tracks, packets and cues of a Matroska file."""
-    data = memoryview(data)
+    data = memoryview(data).cast("B")
     out, state = Media(), {"cluster": -1, "time": 0, "segment": 0, "block": 0}
     track: dict = {}
     durations: dict[int, int] = {}

@@ -124,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["model"])
 
     sample = labelled_sample(docs, labels, label, limit).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "label")
-    return np.frombuffer(sample.mapInArrow(train, "model binary").first()[0], np.float32)
+    found = sample.mapInArrow(train, "model binary").first()  # an empty sample has no task
+    return np.frombuffer(found[0], np.float32) if found else fit_ftrl([], np.zeros(0), settings).astype(np.float32)
 
 
 def score_array(texts: pa.Array, weights: np.ndarray) -> pa.Array:

@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         yield pa.RecordBatch.from_arrays([pa.array([fit_machine(rows, np.array(marks, float), settings).packed()], pa.binary())], names=["model"])
 
     sample = labelled_sample(docs, labels, label, limit).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "label")
-    return Machine.unpacked(sample.mapInArrow(train, "model binary").first()[0])
+    found = sample.mapInArrow(train, "model binary").first()  # an empty sample has no task
+    return Machine.unpacked(found[0]) if found else fit_machine([], np.zeros(0), settings)
 
 
 def score_array(texts: pa.Array, machine: Machine) -> pa.Array:
