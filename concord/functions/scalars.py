@@ -72,15 +72,15 @@ def epoch_seconds(fields: list[Field], p: dict) -> Column:
 
 
 def to_char(fields: list[Field], p: dict) -> Column:
+    """Number text; FM drops blanks, and zeros at the end where the format has a 9."""
     pattern, bare = number_pattern(p.get("default_to_char_fmt") or NUMBER_FORMAT)
-    digits = len([c for c in pattern.partition(".")[2] if c in "09"])
-    out = F.to_char(fields[0][0].cast(T.DecimalType(38, digits)), F.lit(pattern))
+    decimals = pattern.partition(".")[2]
+    out = F.to_char(fields[0][0].cast(T.DecimalType(38, len(decimals))), F.lit(pattern))
     if not bare:
         return out
+    kept = decimals.rfind("0") + 1
     out = F.trim(out)
-    # fill mode off: zeros that stand for a 9 at the end go
-    kept = len(pattern.partition(".")[2].rstrip("9"))
-    return F.regexp_replace(out, rf"(\.\d{{{kept}}}\d*?)0+$", "$1") if "." in pattern else out
+    return F.regexp_replace(out, rf"(\.\d{{{kept}}}\d*?)0+$", "$1") if decimals else out
 
 
 def strftime(fields: list[Field], p: dict) -> Column:

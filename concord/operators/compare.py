@@ -25,6 +25,7 @@ REPORT = (
     "target_table_name", "target_column_name", "target_agg_value", "group_by_columns", "primary_keys", "num_random_rows",
     "difference", "pct_difference", "pct_threshold", "validation_status", "run_id", "labels", "start_time", "end_time",
 )
+ROW_TYPES = {"num_random_rows": "bigint"} | dict.fromkeys(("difference", "pct_difference", "pct_threshold"), "double")
 LABELS = "array<struct<key:string,value:string>>"
 
 
@@ -137,42 +138,37 @@ def compare(source: DataFrame, target: DataFrame, c: Comparison, run: RunInfo |
         joined = left.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one", "full_outer")
     in_s, in_t = F.col("in_s").isNotNull(), F.col("in_t").isNotNull()
     both = in_s & in_t
-    parts = []
-    for f in shown:
-        difference, pct, status = outcome(s(f.alias), t(f.alias), kinds[f.alias], others[f.alias], c)
-        text = F.lit(None).cast("string")
-        parts.append(
-            F.struct(
-                F.lit(f.alias).alias("validation_name"),
-                F.lit(f.aggregation).cast("string").alias("aggregation_type"),
-                F.when(in_s, F.lit(f.source_column)).otherwise(text).alias("source_column_name"),
-                plain(s(f.alias), kinds[f.alias]).alias("source_agg_value"),
-                F.when(in_t, F.lit(f.target_column)).otherwise(text).alias("target_column_name"),
-                plain(t(f.alias), others[f.alias]).alias("target_agg_value"),
-                F.when(both, difference).alias("difference"),
-                F.when(both, pct).alias("pct_difference"),
-                F.when(both, F.lit(float(c.threshold))).alias("pct_threshold"),
-                F.when(both, status).otherwise(F.lit("fail")).alias("validation_status"),
-            )
-        )
-    empty = "array<struct<validation_name:string,aggregation_type:string,source_column_name:string,source_agg_value:string,target_column_name:string,target_agg_value:string,difference:double,pct_difference:double,pct_threshold:double,validation_status:string>>"
-    group = F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    group = none
     if c.keys:
         texts = [F.concat(F.lit(f'"{k}": "'), json_text(F.when(in_s, s(k)).otherwise(t(k).cast(kinds[k])), kinds[k]), F.lit('"')) for k in c.keys]
         group = F.concat(F.lit("{"), F.concat_ws(", ", *texts), F.lit("}"))
-    rows = joined.select(F.explode(F.array(*parts) if parts else F.array().cast(empty)).alias("x"), group.alias("g"), in_s.alias("in_s"), in_t.alias("in_t"))
-    name = lambda table, here: F.lit(table) if c.named else F.when(F.col(here), F.lit(table))
-    of_source = lambda value, kind: F.when(F.col("in_s"), F.lit(value).cast(kind))
-    columns = {
-        "validation_type": F.lit(c.validation_type),
-        "source_table_name": name(c.source_table, "in_s").cast("string"),
-        "target_table_name": name(c.target_table, "in_t").cast("string"),
-        "group_by_columns": F.col("g"),
-        "primary_keys": of_source("{" + ", ".join(c.primary_keys) + "}" if c.primary_keys else None, "string"),
-        "num_random_rows": of_source(c.num_random_rows, "bigint"),
-    }
-    rows = rows.select(*[(columns[n] if n in columns else F.col(f"x.{n}")).alias(n) for n in REPORT[:16]])
-    return stamped(rows, run)
+    name = lambda table, here: F.lit(table).cast("string") if c.named else F.when(here, F.lit(table).cast("string"))
+    parts = []
+    for f in shown:
+        difference, pct, status = outcome(s(f.alias), t(f.alias), kinds[f.alias], others[f.alias], c)
+        values = {
+            "validation_name": F.lit(f.alias),
+            "validation_type": F.lit(c.validation_type),
+            "aggregation_type": F.lit(f.aggregation).cast("string"),
+            "source_table_name": name(c.source_table, in_s),
+            "source_column_name": F.when(in_s, F.lit(f.source_column)).otherwise(none),
+            "source_agg_value": plain(s(f.alias), kinds[f.alias]),
+            "target_table_name": name(c.target_table, in_t),
+            "target_column_name": F.when(in_t, F.lit(f.target_column)).otherwise(none),
+            "target_agg_value": plain(t(f.alias), others[f.alias]),
+            "group_by_columns": group,
+            "primary_keys": F.when(in_s, F.lit("{" + ", ".join(c.primary_keys) + "}" if c.primary_keys else None)).otherwise(none),
+            "num_random_rows": F.when(in_s, F.lit(c.num_random_rows).cast("bigint")),
+            "difference": F.when(both, difference),
+            "pct_difference": F.when(both, pct),
+            "pct_threshold": F.when(both, F.lit(float(c.threshold))),
+            "validation_status": F.when(both, status).otherwise(F.lit("fail")),
+        }
+        parts.append(F.struct(*[values[n].alias(n) for n in REPORT[:16]]))
+    # all of a row is in the array, so that nothing has to be carried beside it
+    rows = F.array(*parts) if parts else F.array().cast(f"array<struct<{','.join(f'{n}:{ROW_TYPES.get(n, "string")}' for n in REPORT[:16])}>>")
+    return stamped(joined.select(F.explode(rows).alias("x")).select("x.*"), run)
 
 
 def stamped(rows: DataFrame, run: RunInfo) -> DataFrame:
