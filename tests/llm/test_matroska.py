@@ -63,7 +63,7 @@ def test_packet_table(spark):
     got = m.packet_table(media, "id", "media").collect()
     assert {r["id"] for r in got} == {1, 3, 4} and all(r["error"] for r in got if r["id"] in (3, 4))
     own = sorted((r["offset"], r["size"]) for r in got if r["id"] == 1)
-    assert sum(n for _, n in own) == 5056 + 64 and all(r["cue"] for r in got if r["id"] == 1)
+    assert sum(n for _, n in own) == 5056 + 64 and [r["offset"] for r in got if r["cue"]] == [r["offset"] for r in got if r["id"] == 1 and r["block"] == r["frame"] == 0]
 
 
 TEXTS = [(1, "hello"), (2, "hello"), (3, None), (4, ""), (5, "é" * 40_000), (5, "x" * 64), (None, "y")]
