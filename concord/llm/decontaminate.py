@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.store import opened, shared
 from concord.llm.words import alphanumeric_words, hashed_blocks, pair_hash
 
 #: Words of a seed and of the shortest tile; share of an item's words from which a document is contaminated.
@@ -147,10 +148,10 @@ class BenchmarkBlock:
         gap[:-1][same] = np.minimum(np.diff(place)[same], self.min_match)
         reach = np.bincount(item, gap, len(self.sizes))
         for i in np.flatnonzero((reach > 0) & (reach >= self.threshold * self.sizes)):
-            shared = hits[np.isin(grams[hits], gram[item == i])]
+            seeded = hits[np.isin(grams[hits], gram[item == i])]
             covered = np.zeros(len(h) + 1, bool)
             for k in range(self.min_match):
-                covered[shared + k] = True
+                covered[seeded + k] = True
             keep = covered.copy()
             keep[1:] |= covered[:-1]  # one stop after each covered run
             b, stops = np.append(h, np.uint64(0))[keep], ~covered[keep]
@@ -198,9 +199,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFra
     kind, item_kind = fields["doc_id"].simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, item_words int, matched_words int, tiles int, coverage double"
 
-    def searcher(shared):
+    def searcher(sent):
         def search(batches):
-            block = shared.value
+            block = opened(sent)
             for batch in batches:
                 found = list(block.search(batch.column(1)))
                 at, item, marked, tiles = ([x[k] for x in found] for k in range(4))
@@ -217,17 +218,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFra
 
     out = spark.createDataFrame([], schema)
     for block in benchmark_blocks(benchmark, **settings):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(searcher(spark.sparkContext.broadcast(block)), schema))
+        out = out.union(docs.select("doc_id", "text").mapInArrow(searcher(shared(spark, block)), schema))
     return out
 
 
-def contaminated(text: Column, shared) -> Column:
+def contaminated(text: Column, sent) -> Column:
     """Column: whether the text covers an item of the broadcast block."""
 
     @F.arrow_udf("boolean")
     def covers_item(texts: pa.Array) -> pa.Array:
         hit = np.zeros(len(texts), bool)
-        for row, *_ in shared.value.search(texts):
+        for row, *_ in opened(sent).search(texts):
             hit[row] = True
         return pa.array(hit)
 
@@ -237,5 +238,5 @@ def contaminated(text: Column, shared) -> Column:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item."""
     for block in benchmark_blocks(benchmark, **settings):
-        docs = docs.where(~contaminated(F.col("text"), docs.sparkSession.sparkContext.broadcast(block)))
+        docs = docs.where(~contaminated(F.col("text"), shared(docs.sparkSession, block)))
     return docs

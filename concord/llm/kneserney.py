@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.store import materialize, new_folder
+from concord.llm.store import materialize, new_folder, opened, shared
 from concord.llm.training import id_remainder
 from concord.llm.words import ascii_lower_words, hashed_blocks, pair_hash, splitmix
 
@@ -437,13 +437,13 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, columns: list[Column | str], text: str = "text") -> DataFrame:
     """``columns`` of each row with n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     kept = docs.select(*columns)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"])
     names = [*kept.columns, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(opened(sent))
         for b in batches:
             texts, out = b.column(b.num_columns - 1), [np.zeros(b.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64)]
             for first, last, h, row in hashed_blocks(texts, ascii_lower_words()):

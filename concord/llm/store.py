@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
+import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,12 +29,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this module, if the session still runs."""
+    """Delete a folder of this module."""
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the JVM has gone: nothing can be deleted through it
-        pass
+    except Exception:  # the session has ended before: only a mounted folder can be reached
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,3 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(spark: SparkSession, value):
+    """Broadcast of any value, its class included: executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(broadcast):
+    """The value of a ``shared`` broadcast."""
+    return pickle.loads(broadcast.value)
