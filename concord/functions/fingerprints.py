@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 # Fixed values of the public algorithm.
 K0, K1, K2 = 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F
 FULL = (1 << 64) - 1

@@ -25,7 +25,7 @@ REPORT = (
     "target_table_name", "target_column_name", "target_agg_value", "group_by_columns", "primary_keys", "num_random_rows",
     "difference", "pct_difference", "pct_threshold", "validation_status", "run_id", "labels", "start_time", "end_time",
 )
-ROW_TYPES = {"num_random_rows": "bigint"} | dict.fromkeys(("difference", "pct_difference", "pct_threshold"), "double")
+NO_PARTS = "array<struct<validation_name:string,aggregation_type:string,source_column_name:string,target_column_name:string,source_agg_value:string,target_agg_value:string,g:string,has_s:boolean,has_t:boolean,numeric:boolean,a:double,b:double,d:double,same:boolean>>"
 LABELS = "array<struct<key:string,value:string>>"
 
 
@@ -90,19 +90,29 @@ def normalised(s: Column, t: Column, source: T.DataType, target: T.DataType, exa
     return s.cast("string"), t.cast("string"), "text"
 
 
-def outcome(s: Column, t: Column, source: T.DataType, target: T.DataType, c: Comparison) -> tuple[Column, Column, Column]:
-    """(difference, pct_difference, status) of one field of a matched row."""
+def measured(s: Column, t: Column, source: T.DataType, target: T.DataType, c: Comparison) -> dict[str, Column]:
+    """What decides about a pair of values: whether numbers count, the values and their difference as doubles, whether they are equal."""
     a, b, form = normalised(s, t, source, target, c.exact)
-    none, success, fail = F.lit(None).cast("double"), F.lit("success"), F.lit("fail")
-    if c.values or form in ("text", "boolean"):
-        return none, none, F.when(a.isNull() & b.isNull(), success).when(a == b, success).otherwise(fail)
-    difference = (b - a).cast("double")
-    base = F.when(a == 0, b).otherwise(a).cast("double")
-    narrow = difference if c.exact else difference.cast("float").cast("double")
-    pct = F.when(difference == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(100.0) * narrow, base))
+    numeric = not c.values and form not in ("text", "boolean")
+    none = F.lit(None).cast("double")
+    return {
+        "numeric": F.lit(numeric),
+        "a": a.cast("double") if numeric else none,
+        "b": b.cast("double") if numeric else none,
+        "d": (b - a).cast("double") if numeric else none,
+        "same": F.lit(False) if numeric else a.eqNullSafe(b),
+    }
+
+
+def verdict(c: Comparison) -> tuple[Column, Column]:
+    """(pct_difference, status) of measured values."""
+    a, b, d = F.col("x.a"), F.col("x.b"), F.col("x.d")
+    narrow = d if c.exact else d.cast("float").cast("double")
+    pct = F.when(d == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(100.0) * narrow, F.when(a == 0, b).otherwise(a)))
+    success, fail = F.lit("success"), F.lit("fail")
     # one value null: neither a difference nor a pass
-    status = F.when(a.isNull() & b.isNull(), success).when(a.isNull() | b.isNull(), fail).when(pct.isNull() | F.isnan(pct) | (F.abs(pct) > c.threshold), fail).otherwise(success)
-    return difference, pct, status
+    numbers = F.when(a.isNull() & b.isNull(), success).when(a.isNull() | b.isNull(), fail).when(pct.isNull() | F.isnan(pct) | (F.abs(pct) > c.threshold), fail).otherwise(success)
+    return pct, F.when(F.col("x.numeric"), numbers).when(F.col("x.same"), success).otherwise(fail)
 
 
 def plain(column: Column, kind: T.DataType) -> Column:
@@ -136,39 +146,47 @@ def compare(source: DataFrame, target: DataFrame, c: Comparison, run: RunInfo |
         joined = left.join(right, on, "full_outer")
     else:  # one row each
         joined = left.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one", "full_outer")
-    in_s, in_t = F.col("in_s").isNotNull(), F.col("in_t").isNotNull()
-    both = in_s & in_t
-    none = F.lit(None).cast("string")
-    group = none
+    group = F.lit(None).cast("string")
     if c.keys:
-        texts = [F.concat(F.lit(f'"{k}": "'), json_text(F.when(in_s, s(k)).otherwise(t(k).cast(kinds[k])), kinds[k]), F.lit('"')) for k in c.keys]
+        texts = [F.concat(F.lit(f'"{k}": "'), json_text(F.when(F.col("in_s").isNotNull(), s(k)).otherwise(t(k).cast(kinds[k])), kinds[k]), F.lit('"')) for k in c.keys]
         group = F.concat(F.lit("{"), F.concat_ws(", ", *texts), F.lit("}"))
-    name = lambda table, here: F.lit(table).cast("string") if c.named else F.when(here, F.lit(table).cast("string"))
+    joined = joined.withColumns({"g": group, "has_s": F.col("in_s").isNotNull(), "has_t": F.col("in_t").isNotNull()})
     parts = []
     for f in shown:
-        difference, pct, status = outcome(s(f.alias), t(f.alias), kinds[f.alias], others[f.alias], c)
         values = {
             "validation_name": F.lit(f.alias),
-            "validation_type": F.lit(c.validation_type),
             "aggregation_type": F.lit(f.aggregation).cast("string"),
-            "source_table_name": name(c.source_table, in_s),
-            "source_column_name": F.when(in_s, F.lit(f.source_column)).otherwise(none),
+            "source_column_name": F.lit(f.source_column).cast("string"),
+            "target_column_name": F.lit(f.target_column).cast("string"),
             "source_agg_value": plain(s(f.alias), kinds[f.alias]),
-            "target_table_name": name(c.target_table, in_t),
-            "target_column_name": F.when(in_t, F.lit(f.target_column)).otherwise(none),
             "target_agg_value": plain(t(f.alias), others[f.alias]),
-            "group_by_columns": group,
-            "primary_keys": F.when(in_s, F.lit("{" + ", ".join(c.primary_keys) + "}" if c.primary_keys else None)).otherwise(none),
-            "num_random_rows": F.when(in_s, F.lit(c.num_random_rows).cast("bigint")),
-            "difference": F.when(both, difference),
-            "pct_difference": F.when(both, pct),
-            "pct_threshold": F.when(both, F.lit(float(c.threshold))),
-            "validation_status": F.when(both, status).otherwise(F.lit("fail")),
-        }
-        parts.append(F.struct(*[values[n].alias(n) for n in REPORT[:16]]))
-    # all of a row is in the array, so that nothing has to be carried beside it
-    rows = F.array(*parts) if parts else F.array().cast(f"array<struct<{','.join(f'{n}:{ROW_TYPES.get(n, "string")}' for n in REPORT[:16])}>>")
-    return stamped(joined.select(F.explode(rows).alias("x")).select("x.*"), run)
+            "g": F.col("g"),
+            "has_s": F.col("has_s"),
+            "has_t": F.col("has_t"),
+        } | measured(s(f.alias), t(f.alias), kinds[f.alias], others[f.alias], c)
+        parts.append(F.struct(*[v.alias(n) for n, v in values.items()]))
+    # an element holds all that is needed later, and what follows is computed once, whatever the number of fields
+    rows = joined.select(F.explode(F.array(*parts) if parts else F.array().cast(NO_PARTS)).alias("x"))
+    in_s, in_t = F.col("x.has_s"), F.col("x.has_t")
+    both = in_s & in_t
+    pct, status = verdict(c)
+    name = lambda table, here: F.lit(table).cast("string") if c.named else F.when(here, F.lit(table).cast("string"))
+    keys = "{" + ", ".join(c.primary_keys) + "}" if c.primary_keys else None
+    columns = {
+        "validation_type": F.lit(c.validation_type),
+        "source_table_name": name(c.source_table, in_s),
+        "source_column_name": F.when(in_s, F.col("x.source_column_name")),
+        "target_table_name": name(c.target_table, in_t),
+        "target_column_name": F.when(in_t, F.col("x.target_column_name")),
+        "group_by_columns": F.col("x.g"),
+        "primary_keys": F.when(in_s, F.lit(keys).cast("string")),
+        "num_random_rows": F.when(in_s, F.lit(c.num_random_rows).cast("bigint")),
+        "difference": F.when(both, F.col("x.d")),
+        "pct_difference": F.when(both & F.col("x.numeric"), pct),
+        "pct_threshold": F.when(both, F.lit(float(c.threshold))),
+        "validation_status": F.when(both, status).otherwise(F.lit("fail")),
+    }
+    return stamped(rows.select(*[(columns[n] if n in columns else F.col(f"x.{n}")).alias(n) for n in REPORT[:16]]), run)
 
 
 def stamped(rows: DataFrame, run: RunInfo) -> DataFrame:
