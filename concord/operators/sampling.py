@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.types import family
-from concord.plans.frames import actual
+from concord.plans.frames import SOURCE, actual, filtered
 from concord.plans.spec import ValidationSpec
 
 #: Largest sample that is broadcast.
@@ -27,9 +27,9 @@ def in_sample(df: DataFrame, name: str, keys: DataFrame, rows: int) -> DataFrame
 
 
 def random_rows(source: DataFrame, target: DataFrame, spec: ValidationSpec, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both sides' rows for a sample of the source's first key; an empty sample restricts nothing."""
+    """Both sides' rows for a sample of the source's first key, of rows that pass its filters; an empty sample restricts nothing."""
     key, n = spec.primary_keys[0], spec.random_row_batch_size
-    keys = sample_keys(source, [key.source], n, seed).toDF("key").persist()  # one sample for both sides
+    keys = sample_keys(filtered(source, spec.filters, SOURCE), [key.source], n, seed).toDF("key").persist()  # one sample for both sides
     if keys.isEmpty():
         keys.unpersist()
         return source, target
