@@ -79,6 +79,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
             flat.append(("", "", m[0]))
     out: list[tuple[str, str]] = []
     closes = Counter(name for name, closing, _ in flat if closing)
+    letters = sum(len(x[2]) for x in flat if not x[0])
     i, articles = 0, 0
     while i < len(flat):
         name, closing, more = flat[i]
@@ -96,6 +97,10 @@ def tokens(page: str) -> list[tuple[str, str]]:
                     if name == "head" and flat[k][0] == "body" and not flat[k][1]:
                         break
                     k += 1
+            inner = flat[i:k]
+            if k > i and (any(x[0] in ("article", "main") and not x[1] for x in inner) or name == "form" and 2 * sum(len(x[2]) for x in inner if not x[0]) > letters):
+                out.append((name, ""))  # a frame around the page's content, whatever its name
+                continue
             if closes[name] <= 0 or depth and name != "head":  # never closed: up to the next block
                 k = i
                 while k < len(flat) and flat[k][0] not in BLOCK:

@@ -54,6 +54,14 @@ def test_damaged_and_odd_pages():
     assert text("<p>a&lt;b&gt; &#233; &#x1F600;</p>") == "a<b> é 😀"
 
 
+def test_frames_around_the_content_stay():
+    body = f"<p>{P * 3}</p><p>{P}</p>"
+    want = " ".join((P * 3).split()) + "\n\n" + P.strip()
+    assert text(f'<div class="page with-sidebar"><nav>{P}</nav><article>{body}</article></div>') == want
+    assert text(f"<form action=x><div>{body}</div><input></form>") == want
+    assert text(f'<main>{body}<form><p>{P}</p></form></main><div id="comments">{body * 5}</div>') == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab <&é\t\n", min_size=1, max_size=30), max_size=8))
 def test_articles_come_back_whole(blocks):
