@@ -42,8 +42,9 @@ BLOCK = {
 }
 
 
-def unwanted(name: str, attributes: str, in_article: bool) -> bool:
-    if name in NEVER_UNWANTED:
+def unwanted(name: str, attributes: str, in_article: bool, later: bool) -> bool:
+    """Whether an element holds no article; ``later``: whether an article came before (comments are marked up as such, too)."""
+    if name in NEVER_UNWANTED and not (name == "article" and later):
         return False
     if name in UNWANTED and not (name == "header" and in_article):
         return True
@@ -80,7 +81,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     closes = Counter(name for name, closing, _ in flat if closing)
     letters = sum(len(x[2]) for x in flat if not x[0])
-    i, articles = 0, 0
+    i, articles, seen = 0, 0, False
     while i < len(flat):
         name, closing, more = flat[i]
         i += 1
@@ -88,8 +89,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
             out.append(("", more))
             continue
         closes[name] -= bool(closing)
-        articles += (name == "article") * (-1 if closing else 1)
-        if not closing and name not in VOID and unwanted(name, more, articles > 0):
+        if not closing and name not in VOID and unwanted(name, more, articles > 0, seen):
             depth, k = 1, i
             if closes[name] > 0:
                 while k < len(flat) and depth:
@@ -98,7 +98,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
                         break
                     k += 1
             inner = flat[i:k]
-            if k > i and (any(x[0] in ("article", "main") and not x[1] for x in inner) or name == "form" and 2 * sum(len(x[2]) for x in inner if not x[0]) > letters):
+            if k > i and (not seen and any(x[0] in ("article", "main") and not x[1] for x in inner) or name == "form" and 2 * sum(len(x[2]) for x in inner if not x[0]) > letters):
                 out.append((name, ""))  # a frame around the page's content, whatever its name
                 continue
             if closes[name] <= 0 or depth and name != "head":  # never closed: up to the next block
@@ -110,6 +110,8 @@ def tokens(page: str) -> list[tuple[str, str]]:
             i = k
             out.append(("p", ""))  # a cut between blocks
             continue
+        articles += (name == "article") * (-1 if closing else 1)
+        seen |= name in ("article", "main")
         out.append((name, closing))
     return out
 

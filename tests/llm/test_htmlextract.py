@@ -59,6 +59,8 @@ def test_frames_around_the_content_stay():
     want = " ".join((P * 3).split()) + "\n\n" + P.strip()
     assert text(f'<div class="page with-sidebar"><nav>{P}</nav><article>{body}</article></div>') == want
     assert text(f"<form action=x><div>{body}</div><input></form>") == want
+    for comments in (f'<section class="comments"><article><p>{P * 9}</p></article></section>', f'<article class="comment"><p>{P * 9}</p></article>'):
+        assert text(f"<article>{body}</article>{comments}") == want
     assert text(f'<main>{body}<form><p>{P}</p></form></main><div id="comments">{body * 5}</div>') == want
 
 
