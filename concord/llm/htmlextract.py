@@ -166,7 +166,15 @@ def extract(page: str, weights: dict[str, float]) -> str:
     row = tokens(page)
     word = weights[""]
     unknown = min(weights.values())
-    scores = [(weights.get(f"{text}{name}", -word) if name not in ("article", "main") else unknown) if name else word * len(text.split()) for name, text in row]
+    scores, depth = [], 0
+    for name, text in row:
+        if not name:
+            scores.append(word * len(text.split()))
+        elif name in ("article", "main"):
+            depth = max(depth + (name == "article") * (-1 if text else 1), 0)
+            scores.append(unknown)
+        else:  # within an article marked as such no tag ends it
+            scores.append(-word / 1000 if depth else weights.get(f"{text}{name}", -word))
     start, end = best_region(scores)
     blocks, own = [], []
     for name, text in [*row[start:end], ("p", "")]:
