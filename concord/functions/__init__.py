@@ -1 +1 @@
-
+"""Scalar functions, aggregates, formats, type names and similarity."""

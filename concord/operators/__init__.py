@@ -1 +1 @@
-
+"""Comparison, validation, sampling, schemas, partitions and table matching."""

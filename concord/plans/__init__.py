@@ -1 +1 @@
-
+"""Specifications, and the DataFrame plans made of them."""

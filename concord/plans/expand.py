@@ -40,9 +40,13 @@ def chosen(schema: T.StructType, columns: Sequence[str] | None, exclude: bool) -
     return {k: f for k, f in own.items() if (k in listed) != exclude}
 
 
+#: Fixed value: the name of a column whose own would make an alias too long.
+NUMBERED = "dvt_calc_col_{}"
+
+
 def alias_for(prefix: str, name: str, position: int, longest: int = ALIAS_LENGTH) -> str:
     alias = f"{prefix}__{name}"
-    return alias if len(alias) <= longest else f"{prefix}__dvt_calc_col_{position}"
+    return alias if len(alias) <= longest else f"{prefix}__{NUMBERED.format(position)}"
 
 
 def expand_aggregates(

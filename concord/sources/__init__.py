@@ -1 +1 @@
-
+"""Where data come from, and where reports go."""
