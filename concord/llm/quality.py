@@ -99,14 +99,12 @@ def fit_ftrl(rows: list, labels: np.ndarray, settings: FtrlSettings = FtrlSettin
         over = np.abs(z[i]) - settings.l1 * (i != size - 1)
         return np.where(over > 0, -np.sign(z[i]) * over / ((settings.beta + np.sqrt(n[i])) / settings.alpha + settings.l2), 0.0)
 
-    share = min(max(float(np.mean(labels)), 0.01), 0.99) if len(labels) else 0.5
-    balance = (0.5 / (1 - share), 0.5 / share) if 0.01 < share < 0.99 else (1.0, 1.0)
     for _ in range(settings.epochs):
         for (ids, values), y in zip(rows, labels, strict=True):
             i, x = np.append(ids, size - 1), np.append(values, 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            g = (p - y) * x * balance[int(y)]
+            g = (p - y) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / settings.alpha * w
             n[i] += g * g
     return weights(np.arange(size))

@@ -1,9 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the distinct words of a text and the first 3 to 6 bytes of longer words
-(so that inflected forms of a known stem count), hashed into 2**BITS.  A screen on
-the sample keeps terms whose document frequencies differ clearly between the two
-labels; the machine then learns, for those, linear weights and factors whose inner
+Terms are the words of a text and the first 3 to 6 bytes of longer words (so that
+inflected forms of a known stem count), hashed into 2**BITS, with the logarithm of
+their count.  A screen on
+the sample keeps terms whose mean values differ clearly between the two labels; the machine then learns, for those, linear weights and factors whose inner
 products weigh pairs of terms, by AdaGrad on the logistic loss.
 
 Defined cases: null and empty texts score the intercept alone; whole texts count;
@@ -37,13 +37,13 @@ class MachineSettings:
 
     factors: int = 8
     z: float = 10.0
-    phi: float = 0.3
+    phi: float = 0.2
     least: int = 3
     terms: int = 8192
-    intercept: float = -1.0
+    intercept: float = -2.0
     rate: float = 0.15
     l2: float = 2e-4
-    epochs: int = 12
+    epochs: int = 20
 
 
 def term_blocks(texts: pa.Array):
@@ -63,14 +63,20 @@ def term_blocks(texts: pa.Array):
         yield first, last, (np.concatenate(ids) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(rows)
 
 
+def counted(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, value) of each distinct term of each row; a term that comes n times has the value log2(1 + n)."""
+    key, n = np.unique(row.astype(np.int64) << 32 | ids, return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, np.log2(1 + n)
+
+
 def term_rows(texts: pa.Array):
-    """Distinct term ids of each text."""
+    """(distinct term ids, values) of each text."""
     for first, last, ids, row in term_blocks(texts):
-        key = np.unique(row.astype(np.int64) << BITS | ids)
-        cuts = np.searchsorted(key >> BITS, np.arange(last - first + 1))
-        key = (key & ((1 << BITS) - 1)).astype(np.int32)
+        row, ids, values = counted(ids, row)
+        cuts = np.searchsorted(row, np.arange(last - first + 1))
+        ids, values = ids.astype(np.int32), values.astype(np.float32)
         for i in range(last - first):
-            yield key[cuts[i] : cuts[i + 1]]
+            yield ids[cuts[i] : cuts[i + 1]], values[cuts[i] : cuts[i + 1]]
 
 
 @dataclass(frozen=True)
@@ -98,25 +104,25 @@ class Machine:
         return cls(x["terms"], float(x["w0"]), x["w"], x["v"])
 
 
-def screen(rows: list[np.ndarray], labels: np.ndarray, settings: MachineSettings) -> np.ndarray:
-    """Ids of terms whose document frequency differs clearly between the labels."""
+def screen(rows: list, labels: np.ndarray, settings: MachineSettings) -> np.ndarray:
+    """Ids of terms whose mean value differs clearly between the labels."""
     size, yes = 1 << BITS, int(labels.sum())
     no = len(labels) - yes
     if not yes or not no:
         return np.zeros(0, np.int64)
-    marked = np.zeros((2, size))
-    for y in (0, 1):
-        for ids in (r for r, m in zip(rows, labels, strict=True) if m == y):
-            marked[y, ids] += 1
-    both = marked.sum(axis=0)
-    p = both / len(labels)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / yes + 1 / no))
-    z = np.where(both >= settings.least, np.abs(marked[1] / yes - marked[0] / no) / error, 0)
+    seen, sums, squares = np.zeros(size), np.zeros((2, size)), np.zeros(size)
+    for (ids, x), y in zip(rows, labels, strict=True):
+        seen[ids] += 1
+        sums[int(y), ids] += x
+        squares[ids] += x * x
+    n = len(labels)
+    variance = np.maximum(squares / n - (sums.sum(axis=0) / n) ** 2, 1e-12)
+    z = np.where(seen >= settings.least, np.abs(sums[1] / yes - sums[0] / no) / np.sqrt(variance * (1 / yes + 1 / no)), 0)
     best = np.argsort(-z, kind="stable")[: settings.terms]
     return np.sort(best[z[best] >= min(settings.z, settings.phi * np.sqrt(len(labels)))])
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, settings: MachineSettings = MachineSettings()) -> Machine:
+def fit_machine(rows: list, labels: np.ndarray, settings: MachineSettings = MachineSettings()) -> Machine:
     terms = screen(rows, labels, settings)
     share = float(np.mean(labels)) if len(labels) else 0.5
     n, k = len(terms), settings.factors
@@ -125,22 +131,22 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, settings: MachineSet
         return Machine(terms, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, k)))
     slot = np.full(1 << BITS, -1, np.int64)
     slot[terms] = np.arange(n)
-    kept = [(s := slot[r])[s >= 0] for r in rows]
+    kept = [((own := slot[ids])[on := own >= 0], values[on].astype(float)) for ids, values in rows]
     w0, w, v = settings.intercept, np.zeros(n), np.random.default_rng(7).normal(0, 0.02, (n, k))
     gw, gv = np.ones(n), np.ones((n, k))
     weight = (0.5 / (1 - share), 0.5 / share)
     for epoch in range(settings.epochs):
         for i in np.random.default_rng(epoch).permutation(len(kept)):
-            ids, y = kept[i], labels[i]
-            vi = v[ids]
-            total = vi.sum(axis=0)
-            raw = w0 + w[ids].sum() + 0.5 * float((total * total - (vi * vi).sum(axis=0)).sum())
+            (ids, x), y = kept[i], labels[i]
+            vi, xc = v[ids], x[:, None]
+            total = (vi * xc).sum(axis=0)
+            raw = w0 + w[ids] @ x + 0.5 * float((total * total - (vi * vi * xc * xc).sum(axis=0)).sum())
             g = (1 / (1 + np.exp(-min(max(raw, -30), 30))) - y) * weight[int(y)]
             if len(ids):
-                d = g + settings.l2 * w[ids]
+                d = g * x + settings.l2 * w[ids]
                 gw[ids] += d * d
                 w[ids] -= settings.rate * d / np.sqrt(gw[ids])
-                d = g * (total - vi) + settings.l2 * vi
+                d = g * xc * (total - vi * xc) + settings.l2 * vi
                 gv[ids] += d * d
                 v[ids] = vi - settings.rate * d / np.sqrt(gv[ids])
     return Machine(terms, w0, w, v)
@@ -167,11 +173,11 @@ def score_array(texts: pa.Array, machine: Machine) -> pa.Array:
     for first, last, ids, row in term_blocks(texts):
         known = slot[ids]
         on = known >= 0
-        key = np.unique(row[on].astype(np.int64) << 32 | known[on])
-        row, known, rows = key >> 32, key & 0xFFFFFFFF, last - first
-        out[first:last] += np.bincount(row, machine.w[known], rows)
+        row, known, x = counted(known[on], row[on])
+        rows = last - first
+        out[first:last] += np.bincount(row, machine.w[known] * x, rows)
         for f in range(machine.v.shape[1]):
-            v = machine.v[known, f]
+            v = machine.v[known, f] * x
             out[first:last] += 0.5 * (np.bincount(row, v, rows) ** 2 - np.bincount(row, v * v, rows))
     return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 

@@ -70,13 +70,14 @@ def test_machine_learns_pairs_that_a_linear_model_misses():
 def test_machine_scores_match_the_formula():
     texts = ["bad bad words here", "here", ""]
     rows = list(x.term_rows(pa.array(texts)))
-    terms = np.unique(np.concatenate(rows))
+    terms = np.unique(np.concatenate([ids for ids, _ in rows]))
+    assert sorted(set(rows[0][1].tolist())) == [1.0, pytest.approx(np.log2(3))]
     rng = np.random.default_rng(4)
     m = x.Machine.unpacked(x.Machine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 5))).packed())
     slot = m.slots()
-    for value, ids in zip(x.score_array(pa.array(texts), m).to_numpy(), rows, strict=True):
-        own = slot[ids]
-        raw = 0.3 + m.w[own].sum() + sum(m.v[a] @ m.v[b] for k, a in enumerate(own) for b in own[:k])
+    for value, (ids, values) in zip(x.score_array(pa.array(texts), m).to_numpy(), rows, strict=True):
+        own = list(zip(slot[ids], values, strict=True))
+        raw = 0.3 + sum(m.w[a] * p for a, p in own) + sum(m.v[a] @ m.v[b] * p * r for k, (a, p) in enumerate(own) for b, r in own[:k])
         assert value == pytest.approx(1 / (1 + np.exp(-raw)))
 
 
