@@ -21,8 +21,9 @@ from concord.operators.sampling import in_sample
 from concord.operators.validate import validate
 from concord.plans import expand
 from concord.plans.frames import SOURCE, filtered, prepared, side_frame
-from concord.plans.spec import Filter, ValidationSpec
-from concord.sources.connections import connect
+from concord.plans.spec import Filter, ValidationSpec, format_document, load_specs, parse_document
+from concord.runner import Runner
+from concord.sources.connections import Files, connect
 
 SHOWN = REPORT[:16]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -389,6 +390,87 @@ def kernel_values(spark, sf_dir):
 
 register("kernel_values", kernel_values)
 
+def two_sides(name: str, change_source, change_target, **config) -> Callable[[SparkSession, str], DataFrame]:
+    """Query of a validation of a table against itself, each side changed in its own way."""
+    spec = ValidationSpec.from_dict({"type": "Row", "table_name": "a", "target_table_name": "b"} | config)
+    return lambda spark, sf_dir: shown(validate(change_source(table(spark, sf_dir, name)), change_target(table(spark, sf_dir, name)), spec))
+
+
+A_B = {"kind": "Row", "names": ("a", "b")}
+register(
+    "key_binary_hex",
+    two_sides("customer", lambda d: d.withColumn("k", F.encode("c_name", "UTF-8")), lambda d: d.where("c_custkey % 10 > 0").withColumn("k", F.encode("c_name", "UTF-8")), primary_keys=[pair("k", cast="string")], comparison_fields=[pair("c_nationkey")]),
+    report_sql("SELECT lower(hex(encode(c_name))) AS k, c_nationkey FROM customer", "SELECT lower(hex(encode(c_name))) AS k, c_nationkey FROM customer WHERE c_custkey % 10 > 0", [("c_nationkey", None, "c_nationkey", "value")], keys=("k",), primary=("k",), **A_B),
+)
+register(
+    "key_trim",
+    two_sides("customer", lambda d: d.withColumn("c_name", F.concat("c_name", F.lit(" \t"))), lambda d: d, primary_keys=[pair("c_name")], comparison_fields=[pair("c_mktsegment")], trim_string_pks=True),
+    report_sql("SELECT c_name, c_mktsegment FROM customer", "SELECT c_name, c_mktsegment FROM customer", [("c_mktsegment", None, "c_mktsegment", "value")], keys=("c_name",), primary=("c_name",), **A_B),
+)
+register(
+    "bool_comparison",
+    two_sides("labels", lambda d: d.withColumn("flag", F.col("toxic") == 1), lambda d: d.withColumn("flag", F.when(F.col("doc_id") % 9 > 0, F.col("toxic"))), primary_keys=[pair("doc_id")], comparison_fields=[pair("flag", cast="bool")]),
+    report_sql("SELECT doc_id, toxic = 1 AS flag FROM labels", "SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN toxic = 1 END AS flag FROM labels", [("flag", None, "flag", "value")], keys=("doc_id",), primary=("doc_id",), **A_B),
+)
+register(
+    "null_keys",
+    two_sides("nation", lambda d: d.withColumn("k", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey"))).where("n_nationkey NOT IN (4, 8, 12, 16, 20, 24)"), lambda d: d.withColumn("k", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey"))).where("n_nationkey NOT IN (0, 8, 12, 16, 20, 24)"), primary_keys=[pair("k")], comparison_fields=[pair("n_name")]),
+    report_sql("SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey NOT IN (4, 8, 12, 16, 20, 24)", "SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey NOT IN (0, 8, 12, 16, 20, 24)", [("n_name", None, "n_name", "value")], keys=("k",), primary=("k",), **A_B),
+)
+register(
+    "repeated_keys",
+    two_sides("nation", lambda d: d, lambda d: d, primary_keys=[pair("n_regionkey")], comparison_fields=[pair("n_name")]),
+    report_sql("SELECT n_regionkey, n_name FROM nation", "SELECT n_regionkey, n_name FROM nation", [("n_name", None, "n_name", "value")], keys=("n_regionkey",), primary=("n_regionkey",), **A_B),
+)
+register(
+    "agg_epoch_seconds",
+    orders_report(calculated_fields=[calc("t", "epoch_seconds", "o_orderdate")], aggregates=[agg("total", "sum", "t"), agg("mixed", "bit_xor", "t")]),
+    orders_sql("CAST(sum(CAST(epoch(o_orderdate) AS BIGINT)) AS BIGINT) AS total, bit_xor(CAST(epoch(o_orderdate) AS BIGINT)) AS mixed", [("total", "sum", "t", "int"), ("mixed", "bit_xor", "t", "int")]),
+)
+register(
+    "group_cast",
+    orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_totalprice", "whole", "bigint")], filters=[{"type": "custom", "source": "o_orderkey < 2000", "target": "o_orderkey < 2000"}]),
+    orders_sql("CAST(trunc(o_totalprice) AS BIGINT) AS whole, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", ("WHERE o_orderkey < 2000",) * 2, keys=("whole",)),
+)
+
+
+def row_chunks(spark, sf_dir):
+    """Hashes of at most two columns each, as where an engine limits the columns of a text."""
+    s, t = (x.drop("o_totalprice") for x in both(spark, sf_dir))
+    out = []
+    for chunk in expand.column_chunks([c for c in s.columns if c != "o_orderkey"], 2):
+        fields, pairs = expand.row_pipeline("hash", chunk, s.schema, t.schema)
+        out.append(shown(validate(s, t, ValidationSpec("Row", table_name="orders", target_table_name="changed", primary_keys=expand.key_pairs("o_orderkey", s.schema, t.schema), calculated_fields=fields, comparison_fields=pairs))))
+    return reduce(DataFrame.unionByName, out)
+
+
+HALVES = ("CAST(o_custkey AS VARCHAR) || coalesce(rtrim(o_orderstatus), 'DEFAULT_REPLACEMENT_STRING')", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || coalesce(rtrim(o_orderpriority), 'DEFAULT_REPLACEMENT_STRING')")
+register("row_column_chunks", row_chunks, " UNION ALL ".join(f"SELECT * FROM ({orders_sql(f'o_orderkey, sha256({x}) AS hash__all', [('hash__all', None, 'hash__all', 'value')], **R_MORE)})" for x in HALVES))
+
+
+def config_runner(spark, sf_dir):
+    """The grouped validation, written as a YAML file and run from it over file connections."""
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/concord-runner"
+    changed_orders(table(spark, sf_dir, "orders")).write.mode("overwrite").parquet(f"{root}/changed")
+    files = Files(spark, root if "://" in root or not root.startswith("file:") else f"file://{root.removeprefix('file:')}")
+    one = lambda path: {"source_type": "FileSystem", "table_name": "t", "file_path": path, "file_type": "parquet"}
+    spec = ValidationSpec.from_dict({"type": "Column", "source_conn": one(f"{sf_dir}/orders.parquet"), "target_conn": one(f"{root}/changed")} | EXACT | G)
+    files.write("0000.yaml", format_document({"validations": [spec.to_dict()]}, "0000.yaml"))
+    (read,) = load_specs(parse_document(files.read("0000.yaml"), "0000.yaml"))
+    return shown(Runner(spark).report(read))
+
+
+register("config_runner", config_runner, G_SQL)
+
+
+def schema_self(spark, sf_dir):
+    """Every table's schema against itself."""
+    return reduce(DataFrame.unionByName, [validate(x, x, ValidationSpec("Schema", table_name=n, target_table_name=n)) for n in TABLES for x in [table(spark, sf_dir, n)]]).groupBy("source_table_name", "validation_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("schema_self", schema_self, "SELECT table_name AS source_table_name, 'success' AS validation_status, count(*) AS n FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ") GROUP BY 1")
+
+
 # Schemas --------------------------------------------------------------------------------------------
 
 
