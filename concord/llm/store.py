@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is set here only where none is named (as in tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/concord-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    """The folder named by spark.checkpoint.dir; one of this machine only where none is named (as in tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/concord-checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # without a scheme it is the default file system's
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
