@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from concord.functions.scalars import json_text
 from concord.functions.types import INTEGERS, family
 
-#: Columns of a report, in order.
+#: The columns of a report, in order.
 REPORT = (
     "validation_name", "validation_type", "aggregation_type", "source_table_name", "source_column_name", "source_agg_value",
     "target_table_name", "target_column_name", "target_agg_value", "group_by_columns", "primary_keys", "num_random_rows",

@@ -14,7 +14,7 @@ from concord.functions.types import schema_names
 from concord.operators.compare import RunInfo, stamped
 
 ABSENT = "N/A"
-#: One type of an allow-list: an optional "!", a name, and digits, ranges or 'UTC' in parentheses.
+#: Fixed value: the form of one type of an allow-list: an optional "!", a name, and digits, ranges or 'UTC' in parentheses.
 LISTED_TYPE = r"!?[a-z0-9 ]+(?:\((?:[0-9 ,\-]+|'UTC')\))?"
 DECIMAL = re.compile(r"(!?[a-z0-9]+)\(([0-9\-]+)(?:,([0-9\-]+))?\)", re.IGNORECASE)
 #: Schema reports: those of comparisons without pct_difference.

@@ -14,7 +14,7 @@ from concord.plans.spec import AggregateField, CalculatedField, FieldPair
 #: Longest alias; longer ones get a numbered name.  (Old Oracle versions take 30.)
 ALIAS_LENGTH = 128
 EVERYTHING = "*"
-#: Most columns of one concatenation by engine, where there is a limit.
+#: Most columns of one concatenation by engine, where there is a limit.
 CONCAT_COLUMNS = {"mssql": 254, "oracle": 125, "postgres": 99, "teradata": 500}
 
 

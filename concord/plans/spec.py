@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+# Names and defaults of configurations.
 COLUMN, GROUPED_COLUMN, ROW, SCHEMA, CUSTOM_QUERY = "Column", "GroupedColumn", "Row", "Schema", "Custom-query"
 TYPES = (COLUMN, GROUPED_COLUMN, ROW, SCHEMA, CUSTOM_QUERY)
 STATUSES = ("success", "fail")

@@ -16,7 +16,7 @@ from concord.plans.spec import CUSTOM_QUERY, SCHEMA, ValidationSpec, load_specs,
 from concord.sources.connections import Connection, ConnectionStore, Files, connect
 from concord.sources.reports import sink
 
-#: Which file of a folder a numbered task of an orchestrator runs.
+#: Variables with the number of an orchestrator's task, which is that of its file.
 TASK_VARIABLES = ("JOB_COMPLETION_INDEX", "CLOUD_RUN_TASK_INDEX")
 
 

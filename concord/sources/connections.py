@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 DIRECTORY_VARIABLE, DIRECTORY = "CONCORD_CONN_HOME", "~/.config/concord"
 FILE_TYPES = ("csv", "json", "orc", "parquet")
 
-#: Options of each type of connection; those in the second list may be left out.
+#: Options of each type of connection; those in the second list may be left out.
 FIELDS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "Spark": ((), ("catalog", "database")),
     "FileSystem": (("table_name", "file_path", "file_type"), ("schema", "options")),

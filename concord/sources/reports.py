@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from concord.plans.spec import FORMATS, SCHEMA, STATUSES
 
-#: Columns that the formats table and text leave out.
+#: Columns that the formats table and text leave out.
 HIDDEN = ("aggregation_type", "end_time", "labels", "pct_threshold", "start_time", "target_table_name", "target_column_name", "difference", "primary_keys", "group_by_columns", "num_random_rows")
 HIDDEN_OF_SCHEMAS = ("start_time", "end_time", "aggregation_type", "difference", "primary_keys", "group_by_columns", "num_random_rows", "pct_threshold")
 #: Most rows that are printed; larger reports are written.
