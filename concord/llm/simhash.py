@@ -10,6 +10,9 @@ are a lower bound for all below them, so whole groups go when it passes three.
 A bucket with more than ``HOT`` entries is filed again by four blocks of its
 remaining bits, as often as needed, which keeps the search exact.
 
+``keep_dissimilar`` goes on where texts differ more: candidates within seven bits are
+compared by their shingles of five words.
+
 Each bucket yields edges to one representative per locally connected class, never
 all pairs; classes meet in alternating large-star and small-star rounds.
 
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.store import materialize
-from concord.llm.words import ascii_lower_words, blocks, string_parts, word_bounds
+from concord.llm.words import ascii_lower_words, blocks, hashed_blocks, pair_hash, string_parts, word_bounds
 
 #: Most bits in which linked fingerprints differ, and blocks that so many edits can't all reach.
 DISTANCE, BLOCKS = 3, 4
@@ -213,7 +216,7 @@ def roots_of(n: int, pairs) -> np.ndarray:
     return find(np.arange(n))
 
 
-def bucket_edges(batches):
+def bucket_edges(batches, distance: int = DISTANCE):
     """Edges from each fingerprint to its class's representative, from batches of (key, fp) with equal keys adjacent."""
 
     def search(key, fp):
@@ -223,7 +226,7 @@ def bucket_edges(batches):
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:]
         key, fp = key[same], fp[same]
-        root = roots_of(len(fp), GrayIndex(key, fp).near_pairs())
+        root = roots_of(len(fp), GrayIndex(key, fp).near_pairs(distance))
         bound = np.flatnonzero(root != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[bound].view(np.int64)), pa.array(fp[root[bound]].view(np.int64))], names=["a", "b"])
 
@@ -242,35 +245,36 @@ def bucket_edges(batches):
         yield search(np.concatenate(keys), np.concatenate(codes))
 
 
-def filed(rows: DataFrame, width: int) -> DataFrame:
-    """Each row under the values of the four blocks of its ``width`` remaining bits: (key, fp, rest)."""
-    base, more = divmod(width, BLOCKS)
-    sizes = [base + (i < more) for i in range(BLOCKS)]
+def filed(rows: DataFrame, width: int, blocks: int = BLOCKS) -> DataFrame:
+    """Each row under the values of the blocks of its ``width`` remaining bits: (key, fp, rest)."""
+    base, more = divmod(width, blocks)
+    sizes = [base + (i < more) for i in range(blocks)]
     options, low = [], 0
     for i, size in enumerate(sizes):
         value = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << size) - 1))
         under = F.col("rest").bitwiseAND(F.lit((1 << low) - 1))
         high = low + size
         above = F.lit(0).cast("long") if high >= 64 else F.shiftleft(F.shiftrightunsigned("rest", high), low)
-        options.append(F.struct(F.shiftleft(F.col("key") * BLOCKS + i, size).bitwiseOR(value).alias("key"), above.bitwiseOR(under).alias("rest")))
+        options.append(F.struct(F.shiftleft(F.col("key") * blocks + i, size).bitwiseOR(value).alias("key"), above.bitwiseOR(under).alias("rest")))
         low = high
     return rows.select("fp", F.explode(F.array(*options)).alias("o")).select("o.key", "fp", "o.rest")
 
 
-def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+def links(fps: DataFrame, hot: int = HOT, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints of column ``fp`` within the distance."""
     rows, edges = fps.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("key")), []
-    width = 64
+    width, levels = 64, 0
     while True:
-        rows = filed(rows, width)
-        width -= -(-width // BLOCKS)
-        crowded = materialize(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded") if width >= 20 else None
+        rows = filed(rows, width, distance + 1)
+        width -= -(-width // (distance + 1))
+        levels += 1
+        crowded = materialize(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded") if levels < 4 else None
         n = crowded.count() if crowded is not None else 0
         here, again = rows, None
         if n:
             side = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
             here, again = rows.join(side, "key", "left_anti"), rows.join(side, "key", "left_semi")
-        edges.append(here.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges, "a long, b long"))
+        edges.append(here.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: bucket_edges(b, distance), "a long, b long"))
         if again is None:
             break
         rows = again
@@ -332,3 +336,99 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
     own = fingerprint(F.col("row.text"))
     repeated = joined.where("_n > 1").withColumn("own", own).where("own = _fp").drop("own").dropDuplicates(["_key", "_fp"])
     return joined.where("_n = 1").unionByName(repeated).select("row.*")
+
+
+# Near copies by their texts -----------------------------------------------------------------------
+
+#: Words of a shingle and share of shingles from which texts are near copies, and the bits in which candidates' fingerprints differ at most.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_DISTANCE = 5, 0.8, 7
+#: Largest class of candidates that one task compares; larger ones shrink first, a leader a round.
+TASK_CLASS = 1000
+#: Entries from which a bucket is filed again; at the larger distance trees prune little.
+COPY_HOT = 2000
+
+
+def shingle_sets(text: Column, shingle: int = COPY_SHINGLE) -> Column:
+    """Column of the distinct word shingles of a text, hashed (fewer words: the whole sequence; none: empty)."""
+
+    @F.arrow_udf("array<long>")
+    def distinct_shingles(texts: pa.Array) -> pa.Array:
+        table, out = ascii_lower_words(), []
+        for first, last, h, row in hashed_blocks(texts, table):
+            cuts = np.searchsorted(row, np.arange(last - first + 1))
+            for i in range(last - first):
+                own = h[cuts[i] : cuts[i + 1]]
+                n = min(shingle, len(own))
+                g = own[: len(own) - n + 1]
+                for k in range(1, n):
+                    g = pair_hash(g, own[k : len(own) - n + 1 + k])
+                out.append(np.unique(g).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return distinct_shingles(text)
+
+
+def overlap(a, b) -> float:
+    """Jaccard similarity of two sorted arrays of distinct values; of two empty ones 1."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def followers(rows: pa.Table) -> pa.Table:
+    """(key, fp) of a class's rows that are near copies of one before them that isn't; smallest ids lead."""
+    order = rows.sort_by([("no_id", "ascending"), ("doc_id", "ascending"), ("fp", "ascending")])
+    sets = [np.array(x.values) for x in order.column("shingles").combine_chunks()]
+    leaders: list[int] = []
+    copies = []
+    for i, own in enumerate(sets):
+        if any(min(len(own), len(sets[k])) >= COPY_SIMILARITY * max(len(own), len(sets[k])) and overlap(own, sets[k]) >= COPY_SIMILARITY for k in leaders):
+            copies.append(i)
+        else:
+            leaders.append(i)
+    return order.take(pa.array(copies, pa.int64())).select(["key", "fp"])
+
+
+def keep_dissimilar(docs: DataFrame, task_class: int = TASK_CLASS) -> DataFrame:
+    """Documents without near copies by text: of those that share ``COPY_SIMILARITY`` of their shingles, that with the smallest id stays.
+
+    Candidates come from the same index at a larger distance; their classes are
+    compared exactly, each row with the rows of its class that stay.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    own = materialize(docs.select(key.alias("key"), fingerprint(F.col("text")).alias("fp")), "own")
+    bound = components(links(own.select("fp").distinct(), COPY_HOT, COPY_DISTANCE))
+    linked = bound.select(F.col("node").alias("fp"), "root").union(bound.select(F.col("root").alias("fp"), "root").distinct())
+    alike = own.groupBy("fp").count().where("count > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
+    members = materialize(linked.union(alike), "members")
+    listed = materialize(own.join(members, "fp").select("key", "fp", "root").distinct(), "candidates")
+    few = listed.count() <= BROADCAST_ROWS
+    packed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = packed.join(F.broadcast(listed) if few else listed, "key").withColumn("own", fingerprint(F.col("row.text"))).where("own = fp")
+    alive = materialize(found.select("key", "fp", "root", F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), shingle_sets(F.col("row.text")).alias("shingles")), "shingles")
+    rank = F.struct("no_id", "doc_id", "fp")
+    dropped = []
+    while True:
+        large = materialize(alive.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("lead")).where(F.col("n") > task_class).select("root", "lead"), "large")
+        if large.isEmpty():
+            break
+        led = alive.join(large, "root")
+        lead = led.where(rank.eqNullSafe(F.col("lead"))).dropDuplicates(["root"]).select("root", F.col("shingles").alias("lead_shingles"))
+        both = F.size(F.array_intersect("shingles", "lead_shingles"))
+        share = both / F.greatest(F.size("shingles") + F.size("lead_shingles") - both, F.lit(1))
+        similar = (share >= COPY_SIMILARITY) | ((F.size("shingles") == 0) & (F.size("lead_shingles") == 0))
+        compared = materialize(led.where(~rank.eqNullSafe(F.col("lead"))).join(lead, "root").select("key", "fp", "root", "no_id", "doc_id", "shingles", similar.alias("similar")), "compared")
+        dropped.append(compared.where("similar").select("key", "fp"))
+        alive = materialize(alive.join(large, "root", "left_anti").select("key", "fp", "root", "no_id", "doc_id", "shingles").unionByName(compared.where("NOT similar").drop("similar")), "alive")
+    kind = alive.schema["key"].dataType.simpleString()
+    dropped.append(alive.groupBy("root").applyInArrow(followers, f"key {kind}, fp long"))
+    gone = dropped[0]
+    for more in dropped[1:]:
+        gone = gone.unionByName(more)
+    gone = materialize(gone.distinct(), "copies")
+    repeated = not own.groupBy("key").count().where("count > 1").isEmpty()
+    if repeated:
+        packed = packed.withColumn("fp", fingerprint(F.col("row.text")))
+    on = ["key", "fp"] if repeated else ["key"]
+    return packed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti").select("row.*")

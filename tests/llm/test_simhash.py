@@ -120,3 +120,74 @@ def test_one_document_of_each_class_stays(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+
+
+def shingle_set(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_leaders(rows):
+    """Rows that stay: in order of id, nulls last, those that aren't near copies of one before them that stays."""
+    kept = []
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        own = shingle_set(text)
+        if all(jaccard(own, x) < 0.8 for *_, x in kept):
+            kept.append((i, text, own))
+    return sorted(((str(i), str(t)) for i, t, _ in kept))
+
+
+def edited(seed):
+    """Families of texts of a few hundred words with a few words changed, and of some only one."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for family in range(12):
+        base = [word() for _ in range(rng.randrange(400, 600))]
+        for _ in range(rng.choice([1, 2, 6, 9])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1])):
+                own[rng.randrange(len(own))] = word()
+            rows.append((rng.randrange(10_000), " ".join(own)))
+    return rows
+
+
+def test_near_copies_by_text(spark):
+    rows = [*edited(1), (None, "one two three four five six"), (3, "one two three four five six"), (4, None), (5, ""), (6, "a"), (7, "a"), (6, "other words of a repeated id that stay here")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
+    for task_class in (1000, 2):
+        out = simhash.keep_dissimilar(docs, task_class)
+        assert out.columns == docs.columns
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == brute_leaders(rows)
+    assert simhash.keep_dissimilar(docs.limit(0)).count() == 0
+
+
+def test_links_at_a_larger_distance(spark):
+    codes = scattered(5, 200)
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 7
+    label = list(range(len(codes)))
+    for _ in range(len(codes)):
+        label = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(codes))]
+    place = {int(c): i for i, c in enumerate(codes.view(np.int64))}
+    fps = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    for hot in (20_000, 10):
+        got = list(range(len(codes)))
+        edges = [(place[a], place[b]) for a, b in simhash.links(fps, hot, 7).collect()]
+        for _ in range(len(codes)):
+            for a, b in edges:
+                got[a] = got[b] = min(got[a], got[b])
+        assert got == label
+
+
+def test_shingle_sets_match_plain_ones(spark):
+    texts = ["a b c d e f", "A  b c d e", "a b", "", None, "x y z w v x y z w v x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    sets = [set(r[0]) for r in df.orderBy("i").select(simhash.shingle_sets(F.col("t"))).collect()]
+    plain = [shingle_set(t) for t in texts]
+    for a, x in zip(sets, plain, strict=True):
+        for b, y in zip(sets, plain, strict=True):
+            assert len(a & b) == len(x & y) and len(a) == len(x)
