@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.store import opened, shared
-from concord.llm.words import alphanumeric_words, hashed_blocks, pair_hash
+from concord.llm.words import alphanumeric_words, hashed_blocks, pair_hash, release
 
 #: Words of a seed and of the shortest tile; share of an item's words from which a document is contaminated.
 MIN_MATCH, THRESHOLD = 5, 0.5
@@ -230,6 +230,7 @@ def contaminated(text: Column, sent) -> Column:
         hit = np.zeros(len(texts), bool)
         for row, *_ in opened(sent).search(texts):
             hit[row] = True
+        release()
         return pa.array(hit)
 
     return covers_item(text)

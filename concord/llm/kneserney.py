@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from concord.llm.store import materialize, new_folder, opened, shared
 from concord.llm.training import id_remainder
-from concord.llm.words import ascii_lower_words, hashed_blocks, pair_hash, splitmix
+from concord.llm.words import ascii_lower_words, hashed_blocks, pair_hash, release, splitmix
 
 #: Hashes of the start, as a context, and of the end, as a word.
 START, END = (splitmix(np.array([x], np.uint64))[0] for x in (0x5354415254, 0x454E44))
@@ -449,6 +449,7 @@ def score(docs: DataFrame, model: Model, columns: list[Column | str], text: str
             for first, last, h, row in hashed_blocks(texts, ascii_lower_words()):
                 for x, y in zip(out, scorer.score(h, row, last - first), strict=True):
                     x[first:last] = y
+            release()
             known = np.full(b.num_rows, scorer.model.tokens, np.int64)
             with np.errstate(over="ignore"):
                 perplexity = 10 ** (-out[3] / np.maximum(out[0], 1))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.training import TRAIN_ROWS, id_remainder, labelled_sample
-from concord.llm.words import ascii_lower_words, blocks, hash_runs, pair_hash, string_parts, word_bounds
+from concord.llm.words import ascii_lower_words, blocks, hash_runs, pair_hash, release, string_parts, word_bounds
 
 BITS = 18
 #: Feature values are shares of the text, brought to this sum for each kind of feature.
@@ -119,6 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
             rows += list(sparse_rows(batch.column(0)))
             marks += batch.column(1).to_pylist()
         w = fit_ftrl(rows, np.array(marks, float), settings).astype(np.float32)
+        rows.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["model"])
 
     sample = labelled_sample(docs, labels, label, limit).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "label")
@@ -132,6 +134,7 @@ def score_array(texts: pa.Array, weights: np.ndarray) -> pa.Array:
         for ids, row in kinds:
             counts = np.bincount(row, minlength=last - first)
             out[first:last] += SCALE * np.bincount(row, weights[ids], last - first) / np.maximum(counts, 1)
+    release()
     return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.words import release
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -129,6 +131,8 @@ def redact(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def without_secrets(texts: pa.Array) -> pa.Array:
-        return pa.array([None if (t := x.as_py()) is None else redacted(t) for x in texts], pa.string())
+        found = pa.array([None if (t := x.as_py()) is None else redacted(t) for x in texts], pa.string())
+        release()
+        return found
 
     return without_secrets(text)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.store import materialize
-from concord.llm.words import ascii_lower_words, blocks, hashed_blocks, pair_hash, string_parts, word_bounds
+from concord.llm.words import ascii_lower_words, blocks, hashed_blocks, pair_hash, release, string_parts, word_bounds
 
 #: Most bits in which linked fingerprints differ, and blocks that so many edits can't all reach.
 DISTANCE, BLOCKS = 3, 4
@@ -133,6 +133,7 @@ def fingerprint_array(texts: pa.Array, shingle: int = 3) -> pa.Array:
         stop = begin + np.minimum(shingle, words[row[begin]]) - 1
         h = xxh64(joined, starts[begin], ends[stop] - starts[begin])
         out[first:last] = majority_bits(h, row[begin], last - first)
+    release()
     return pa.array(out.view(np.int64))
 
 
@@ -243,6 +244,7 @@ def bucket_edges(batches, distance: int = DISTANCE):
             keys, codes, rows = [key[done:]], [fp[done:]], len(key) - done
     if rows:
         yield search(np.concatenate(keys), np.concatenate(codes))
+    release()
 
 
 def filed(rows: DataFrame, width: int, blocks: int = BLOCKS) -> DataFrame:
@@ -342,8 +344,8 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 #: Words of a shingle and share of shingles from which texts are near copies, and the bits in which candidates' fingerprints differ at most.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_DISTANCE = 5, 0.8, 7
-#: Largest class of candidates that one task compares; larger ones shrink first, a leader a round.
-TASK_CLASS = 1000
+#: Most rows and shingles of a class of candidates that one task compares; larger ones shrink first, a leader a round.
+TASK_CLASS, TASK_SHINGLES = 1000, 2_000_000
 #: Entries from which a bucket is filed again; at the larger distance trees prune little.
 COPY_HOT = 2000
 
@@ -363,7 +365,10 @@ def shingle_sets(text: Column, shingle: int = COPY_SHINGLE) -> Column:
                 for k in range(1, n):
                     g = pair_hash(g, own[k : len(own) - n + 1 + k])
                 out.append(np.unique(g).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        found = pa.array(out, pa.list_(pa.int64()))
+        del out
+        release()
+        return found
 
     return distinct_shingles(text)
 
@@ -410,7 +415,7 @@ def keep_dissimilar(docs: DataFrame, task_class: int = TASK_CLASS) -> DataFrame:
     rank = F.struct("no_id", "doc_id", "fp")
     dropped = []
     while True:
-        large = materialize(alive.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("lead")).where(F.col("n") > task_class).select("root", "lead"), "large")
+        large = materialize(alive.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("m"), F.min(rank).alias("lead")).where((F.col("n") > task_class) | (F.col("m") > TASK_SHINGLES)).select("root", "lead"), "large")
         if large.isEmpty():
             break
         led = alive.join(large, "root")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.training import TRAIN_ROWS, id_remainder, labelled_sample
-from concord.llm.words import alphanumeric_words, blocks, hash_runs, pair_hash, string_parts, word_bounds
+from concord.llm.words import alphanumeric_words, blocks, hash_runs, pair_hash, release, string_parts, word_bounds
 
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
@@ -179,6 +179,7 @@ def score_array(texts: pa.Array, machine: Machine) -> pa.Array:
         for f in range(machine.v.shape[1]):
             v = machine.v[known, f] * x
             out[first:last] += 0.5 * (np.bincount(row, v, rows) ** 2 - np.bincount(row, v * v, rows))
+    release()
     return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
 

@@ -7,6 +7,8 @@ kernels treat null texts as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,14 @@ FNV_OFFSET = np.uint64(0xCBF29CE484222325)
 FNV_PRIME = np.uint64(0x100000001B3)
 
 
+def release() -> None:
+    """Give memory that isn't used any more back to the system: executors keep their Python workers, and so what those keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def splitmix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads all 64 bits (the public splitmix64 constants)."""
     with np.errstate(over="ignore"):
