@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.training import TRAIN_ROWS, id_remainder, labelled_sample
+from concord.llm.training import id_remainder, labelled_sample
 from concord.llm.words import ascii_lower_words, blocks, hash_runs, pair_hash, release, string_parts, word_bounds
 
 BITS = 18
+#: Bound of the labelled sample: junk differs so much that more rows don't help, and their features take memory.
+TRAIN_ROWS = 5_000
 #: Feature values are shares of the text, brought to this sum for each kind of feature.
 SCALE = 16.0
 
