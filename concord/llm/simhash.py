@@ -10,8 +10,8 @@ are a lower bound for all below them, so whole groups go when it passes three.
 A bucket with more than ``HOT`` entries is filed again by four blocks of its
 remaining bits, as often as needed, which keeps the search exact.
 
-``keep_dissimilar`` goes on where texts differ more: candidates within seven bits are
-compared by their shingles of five words.
+``keep_dissimilar`` goes on where texts differ more, whatever their fingerprints: an exact
+prefix filter over shingles of five words names the candidates, which are then compared.
 
 Each bucket yields edges to one representative per locally connected class, never
 all pairs; classes meet in alternating large-star and small-star rounds.
@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.store import materialize
@@ -342,35 +342,93 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 # Near copies by their texts -----------------------------------------------------------------------
 
-#: Words of a shingle and share of shingles from which texts are near copies, and the bits in which candidates' fingerprints differ at most.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_DISTANCE = 5, 0.8, 7
+#: Words of a shingle and share of shingles from which texts are near copies.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Most rows and shingles of a class of candidates that one task compares; larger ones shrink first, a leader a round.
 TASK_CLASS, TASK_SHINGLES = 1000, 2_000_000
-#: Entries from which a bucket is filed again; at the larger distance trees prune little.
-COPY_HOT = 2000
+
+
+def distinct_shingles(texts: pa.Array, shingle: int = COPY_SHINGLE):
+    """Sorted distinct hashes of each text's word shingles (fewer words: the whole sequence; none: empty)."""
+    table = ascii_lower_words()
+    for first, last, h, row in hashed_blocks(texts, table):
+        cuts = np.searchsorted(row, np.arange(last - first + 1))
+        for i in range(last - first):
+            own = h[cuts[i] : cuts[i + 1]]
+            n = min(shingle, len(own))
+            g = own[: len(own) - n + 1]
+            for k in range(1, n):
+                g = pair_hash(g, own[k : len(own) - n + 1 + k])
+            yield np.unique(g).view(np.int64)
 
 
 def shingle_sets(text: Column, shingle: int = COPY_SHINGLE) -> Column:
-    """Column of the distinct word shingles of a text, hashed (fewer words: the whole sequence; none: empty)."""
+    """Column of the distinct word shingles of a text, hashed."""
 
     @F.arrow_udf("array<long>")
-    def distinct_shingles(texts: pa.Array) -> pa.Array:
-        table, out = ascii_lower_words(), []
-        for first, last, h, row in hashed_blocks(texts, table):
-            cuts = np.searchsorted(row, np.arange(last - first + 1))
-            for i in range(last - first):
-                own = h[cuts[i] : cuts[i + 1]]
-                n = min(shingle, len(own))
-                g = own[: len(own) - n + 1]
-                for k in range(1, n):
-                    g = pair_hash(g, own[k : len(own) - n + 1 + k])
-                out.append(np.unique(g).view(np.int64))
-        found = pa.array(out, pa.list_(pa.int64()))
-        del out
+    def sets(texts: pa.Array) -> pa.Array:
+        found = pa.array(list(distinct_shingles(texts, shingle)), pa.list_(pa.int64()))
         release()
         return found
 
-    return distinct_shingles(text)
+    return sets(text)
+
+
+def common(n):
+    """Shingles that a set of ``n`` shares with each near copy at least (less a rounding error, which is safe)."""
+    return np.ceil(COPY_SIMILARITY * n - 1e-6).astype(np.int64)
+
+
+def surplus(n):
+    """Shingles by which the first filter's prefixes are longer than needed; two near copies share one more, by the smaller set."""
+    return n - common(n)
+
+
+def prefixes(batches):
+    """(h, rid) of the smallest shingles of each (rid, text); near copies share over ``surplus`` of the smaller set's."""
+    for batch in batches:
+        sets = list(distinct_shingles(batch.column(1)))
+        cut = [x[: 2 * int(surplus(np.int64(len(x)))) + 1] for x in sets]
+        rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in cut])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), pa.array(rid)], names=["h", "rid"])
+        del sets, cut
+    release()
+
+
+def whole_sets(batches):
+    """(h, rid, n) of all ``n`` shingles of each (rid, text, shared), unless it shares too few of its prefix, even for its smallest near copy."""
+    for batch in batches:
+        sets = list(distinct_shingles(batch.column(1)))
+        n = np.array([len(x) for x in sets], np.int64)
+        on = np.flatnonzero((batch.column(2).to_numpy() > surplus(common(n))) & (n > 0))
+        rid, n = np.repeat(batch.column(0).to_numpy()[on], n[on]), np.repeat(n[on], n[on])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(sets[i] for i in on)])), pa.array(rid), pa.array(n)], names=["h", "rid", "n"])
+        del sets
+    release()
+
+
+def copy_links(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all of ``rows`` (rid, text) that share ``COPY_SIMILARITY`` of their shingles, and some others.
+
+    Two sets of which each shares ``common(n)`` with the other share one, whatever the order of
+    shingles, among the first ``n - common(n) + 1`` of both.  First the order is that of hashes
+    and prefixes are longer, which leaves out most texts without a copy; then, among the rest,
+    shingles in few texts come first, so that common lines connect nothing.
+    """
+    small = rows.mapInArrow(prefixes, "h long, rid long")
+    shared = small.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1").groupBy("rid").agg(F.count(F.lit(1)).alias("shared"))
+    shared = materialize(shared, "shared")
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    every = rows.join(side, "rid").select("rid", "text", "shared").mapInArrow(whole_sets, "h long, rid long, n long")
+    often = every.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
+    lists = often.groupBy("rid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))
+    # shingles of one text alone come before these; they connect nothing
+    take = F.size("l") - F.ceil(F.col("n") * COPY_SIMILARITY - 1e-6).cast("int") + 1
+    first = lists.withColumn("take", take).where("take > 0").select("rid", "n", F.explode(F.slice("l", 1, F.col("take"))).alias("x")).select("rid", "n", "x.h")
+    # in order of size, no near copies are on both sides of a step that is too wide
+    before = Window.partitionBy("h").orderBy("n", "rid")
+    steps = first.select("rid", "n", F.lag("rid").over(before).alias("b"), F.lag("n").over(before).alias("m"))
+    return steps.where(F.col("b").isNotNull() & (F.col("m") >= F.col("n") * COPY_SIMILARITY - 1e-6)).select(F.col("rid").alias("a"), "b").distinct()
 
 
 def overlap(a, b) -> float:
@@ -382,8 +440,8 @@ def overlap(a, b) -> float:
 
 
 def followers(rows: pa.Table) -> pa.Table:
-    """(key, fp) of a class's rows that are near copies of one before them that isn't; smallest ids lead."""
-    order = rows.sort_by([("no_id", "ascending"), ("doc_id", "ascending"), ("fp", "ascending")])
+    """(key, rid) of a class's rows that are near copies of one before them that isn't; smallest ids lead."""
+    order = rows.sort_by([("no_id", "ascending"), ("doc_id", "ascending"), ("rid", "ascending")])
     sets = [np.array(x.values) for x in order.column("shingles").combine_chunks()]
     leaders: list[int] = []
     copies = []
@@ -392,27 +450,28 @@ def followers(rows: pa.Table) -> pa.Table:
             copies.append(i)
         else:
             leaders.append(i)
-    return order.take(pa.array(copies, pa.int64())).select(["key", "fp"])
+    return order.take(pa.array(copies, pa.int64())).select(["key", "rid"])
 
 
 def keep_dissimilar(docs: DataFrame, task_class: int = TASK_CLASS) -> DataFrame:
     """Documents without near copies by text: of those that share ``COPY_SIMILARITY`` of their shingles, that with the smallest id stays.
 
-    Candidates come from the same index at a larger distance; their classes are
-    compared exactly, each row with the rows of its class that stay.
+    Candidates come from an exact prefix filter; their classes are compared exactly,
+    each row with the rows of its class that stay.  Texts without words are near
+    copies of each other.  Of rows with the same id and text one stays.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    own = materialize(docs.select(key.alias("key"), fingerprint(F.col("text")).alias("fp")), "own")
-    bound = components(links(own.select("fp").distinct(), COPY_HOT, COPY_DISTANCE))
-    linked = bound.select(F.col("node").alias("fp"), "root").union(bound.select(F.col("root").alias("fp"), "root").distinct())
-    alike = own.groupBy("fp").count().where("count > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
-    members = materialize(linked.union(alike), "members")
-    listed = materialize(own.join(members, "fp").select("key", "fp", "root").distinct(), "candidates")
-    few = listed.count() <= BROADCAST_ROWS
-    packed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = packed.join(F.broadcast(listed) if few else listed, "key").withColumn("own", fingerprint(F.col("row.text"))).where("own = fp")
-    alive = materialize(found.select("key", "fp", "root", F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), shingle_sets(F.col("row.text")).alias("shingles")), "shingles")
-    rank = F.struct("no_id", "doc_id", "fp")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rid = F.xxhash64(key, text)
+    bound = components(copy_links(docs.select(rid.alias("rid"), text.alias("text"))))
+    linked = bound.select(F.col("node").alias("rid"), "root").union(bound.select(F.col("root").alias("rid"), "root").distinct())
+    blank = docs.where(~text.rlike(r"[^ \t\n\x0B\f\r]")).select(rid.alias("rid"), F.lit(0).cast("long").alias("root"), F.lit(True).alias("blank"))
+    members = materialize(linked.select("rid", "root", F.lit(False).alias("blank")).unionByName(blank).distinct(), "members")
+    few = members.count() <= BROADCAST_ROWS
+    packed = docs.select(key.alias("key"), rid.alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = packed.join(F.broadcast(members) if few else members, "rid").dropDuplicates(["key", "rid"])
+    alive = materialize(found.select("key", "rid", F.struct("blank", "root").alias("root"), F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), shingle_sets(F.col("row.text")).alias("shingles")), "shingles")
+    rank = F.struct("no_id", "doc_id", "rid")
     dropped = []
     while True:
         large = materialize(alive.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("m"), F.min(rank).alias("lead")).where((F.col("n") > task_class) | (F.col("m") > TASK_SHINGLES)).select("root", "lead"), "large")
@@ -423,17 +482,15 @@ def keep_dissimilar(docs: DataFrame, task_class: int = TASK_CLASS) -> DataFrame:
         both = F.size(F.array_intersect("shingles", "lead_shingles"))
         share = both / F.greatest(F.size("shingles") + F.size("lead_shingles") - both, F.lit(1))
         similar = (share >= COPY_SIMILARITY) | ((F.size("shingles") == 0) & (F.size("lead_shingles") == 0))
-        compared = materialize(led.where(~rank.eqNullSafe(F.col("lead"))).join(lead, "root").select("key", "fp", "root", "no_id", "doc_id", "shingles", similar.alias("similar")), "compared")
-        dropped.append(compared.where("similar").select("key", "fp"))
-        alive = materialize(alive.join(large, "root", "left_anti").select("key", "fp", "root", "no_id", "doc_id", "shingles").unionByName(compared.where("NOT similar").drop("similar")), "alive")
+        compared = materialize(led.where(~rank.eqNullSafe(F.col("lead"))).join(lead, "root").select("key", "rid", "root", "no_id", "doc_id", "shingles", similar.alias("similar")), "compared")
+        dropped.append(compared.where("similar").select("key", "rid"))
+        alive = materialize(alive.join(large, "root", "left_anti").select("key", "rid", "root", "no_id", "doc_id", "shingles").unionByName(compared.where("NOT similar").drop("similar")), "alive")
     kind = alive.schema["key"].dataType.simpleString()
-    dropped.append(alive.groupBy("root").applyInArrow(followers, f"key {kind}, fp long"))
+    dropped.append(alive.groupBy("root").applyInArrow(followers, f"key {kind}, rid long"))
     gone = dropped[0]
     for more in dropped[1:]:
         gone = gone.unionByName(more)
     gone = materialize(gone.distinct(), "copies")
-    repeated = not own.groupBy("key").count().where("count > 1").isEmpty()
-    if repeated:
-        packed = packed.withColumn("fp", fingerprint(F.col("row.text")))
-    on = ["key", "fp"] if repeated else ["key"]
-    return packed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti").select("row.*")
+    left = packed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["key", "rid"], "left_anti")
+    repeated = not docs.groupBy(key, rid).count().where("count > 1").isEmpty()
+    return (left.dropDuplicates(["key", "rid"]) if repeated else left).select("row.*")

@@ -166,6 +166,32 @@ def test_near_copies_by_text(spark):
     assert simhash.keep_dissimilar(docs.limit(0)).count() == 0
 
 
+def far_copies(seed):
+    """Families of shorter texts with up to two changed words, all with one common line."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    line, rows = " ".join(word() for _ in range(12)), []
+    for family in range(40):
+        base = [word() for _ in range(rng.choice([12, 40, 70, 110]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 2])):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows) * 7919 % 10_007, " ".join([*own, line])))
+    return rows
+
+
+def test_near_copies_whose_fingerprints_differ_widely(spark):
+    rows = far_copies(3)
+    fps = simhash.fingerprint_array(pa.array([t for _, t in rows])).to_numpy().view(np.uint64)
+    sets = [shingle_set(t) for _, t in rows]
+    far = [(i, k) for i in range(len(rows)) for k in range(i) if jaccard(sets[i], sets[k]) >= 0.8 and np.bitwise_count(fps[i] ^ fps[k]) > 7]
+    assert len(far) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for task_class in (1000, 2):
+        assert sorted((str(r[0]), r[1]) for r in simhash.keep_dissimilar(docs, task_class).collect()) == brute_leaders(rows)
+
+
 def test_links_at_a_larger_distance(spark):
     codes = scattered(5, 200)
     near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 7
