@@ -4,8 +4,9 @@ Base patterns find assignments, access keys and hexadecimal runs.  Besides, each
 candidate (a long run of token characters) is classed by its characters, and a
 window slides over it while counts, and so the sum of c*log2(c), are kept by adding
 one character and taking one away.  Windows at or over their class's bits join to a
-span of kind "entropy", unless the candidate is on the allow-list or meets a base
-span.  Offsets are code points, ends exclusive.
+span of kind "entropy", unless the candidate is on the allow-list or at least half of
+the window is placeholders.  Base spans are cut out of candidates first; what is left
+is scanned.  Offsets are code points, ends exclusive.
 
 Defined cases: null texts count as empty and have no spans; repeated rows give
 repeated results; texts are scanned whole.
@@ -17,6 +18,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,10 +42,12 @@ CLASSES = (
     ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 3.6),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8),
 )
-#: Candidates that are no secrets: UUIDs, placeholders, rulers, dates and counters, hyphenated words and paths of words.
+#: Words that stand for a value.
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|x{4,}|0{7,}|1234567")
+SEPARATORS = "+/_=-"
+#: Candidates that are no secrets: UUIDs, rulers, dates and counters, hyphenated words and paths of words.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i).*(example|placeholder|changeme|xxxx|0000000|1234567).*"),
     re.compile(r"(.)\1*"),
     re.compile(r"[0-9]+([-_/=+][0-9]+)*"),
     re.compile(r"[-_/=+]*[A-Za-z]?[a-z]*([-_/=+]+([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*"),
@@ -52,8 +56,8 @@ ALLOWED = (
 TERMS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def entropy_windows(s: str, window: int, bits: float):
-    """Merged (start, end) of the windows of ``s`` with at least ``bits`` a character."""
+def entropy_windows(s: str, window: int, bits: float, marked: list[int] | None = None):
+    """Merged (start, end) of the windows of ``s`` with at least ``bits`` a character; ``marked`` counts placeholders' characters before each place, and windows with half of them don't count."""
     counts: Counter[str] = Counter(s[:window])
     total, start, end = sum(TERMS[c] for c in counts.values()), -1, -1
     most = math.log2(window)
@@ -64,7 +68,7 @@ def entropy_windows(s: str, window: int, bits: float):
                 total += TERMS[counts[out] - 1] - TERMS[counts[out]] + TERMS[counts[new] + 1] - TERMS[counts[new]]
                 counts[out] -= 1
                 counts[new] += 1
-        if most - total / window >= bits - 1e-9:
+        if most - total / window >= bits - 1e-9 and (marked is None or 2 * (marked[at + window] - marked[at]) < window):
             if at > end:
                 if start >= 0:
                     yield start, end
@@ -81,14 +85,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def pieces(s: str, start: int, base: list[tuple[int, int, int]]):
+    """(start, text) of what base spans leave of a candidate that starts at ``start``; cut ends lose their separators."""
+    end, at = start + len(s), start
+    for a, kind, b in base:
+        if a < end and at < b:
+            # the value of an assignment has all characters of candidates, so nothing of the candidate is behind it
+            if a > at:
+                yield at, s[at - start : a - start]
+            at = end if kind == 0 else b
+    if at < end:
+        yield at, s[at - start :]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        bits = next(b for _, pattern, b in CLASSES if pattern.fullmatch(s))
-        if bits == math.inf or any(x[0] < m.end() and m.start() < x[2] for x in base) or any(p.fullmatch(s) for p in ALLOWED):
+        whole = m.group()
+        if any(p.fullmatch(whole) for p in ALLOWED):
             continue
-        found += [(m.start() + a, 3, m.start() + b) for a, b in entropy_windows(s, WINDOW, bits)]
+        for start, s in pieces(whole, m.start(), base):
+            if len(s) < len(whole):
+                start += len(s) - len(s.lstrip(SEPARATORS))
+                s = s.strip(SEPARATORS)
+            if len(s) < WINDOW:
+                continue
+            bits = next(b for _, pattern, b in CLASSES if pattern.fullmatch(s))
+            if bits == math.inf or any(p.fullmatch(s) for p in ALLOWED):
+                continue
+            marked = None
+            for x in PLACEHOLDER.finditer(s):
+                marked = marked or [0] * (len(s) + 1)
+                for k in range(x.start(), x.end()):
+                    marked[k + 1] = 1
+            if marked:
+                marked = list(accumulate(marked))
+            found += [(start + a, 3, start + b) for a, b in entropy_windows(s, WINDOW, bits, marked)]
     return found
 
 
