@@ -30,30 +30,40 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-WINDOW = 20
-#: Character classes from narrow to wide, and the bits a character from which a window of theirs is a secret.
+#: Shortest candidate: a window of the class that needs fewest characters.
+SHORTEST = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Character classes from narrow to wide, the characters of their windows, and the bits a character from which a window is a secret.
 #: Letters of one case alone are words: no window reaches theirs.
 CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), math.inf),
-    ("hex", re.compile(r"[0-9A-F]+|[0-9a-f]+"), 3.0),
-    ("word", re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), math.inf),
-    ("letters", re.compile(r"[A-Za-z]+"), 4.1),
-    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 3.6),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8),
+    ("digits", re.compile(r"[0-9]+"), 20, math.inf),
+    ("hex", re.compile(r"[0-9A-F]+|[0-9a-f]+"), 16, 2.9),
+    ("word", re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 20, math.inf),
+    ("letters", re.compile(r"[A-Za-z]+"), 20, 4.1),
+    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 16, 3.5),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8),
 )
 #: Words that stand for a value.
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|x{4,}|0{7,}|1234567")
 SEPARATORS = "+/_=-"
-#: Candidates that are no secrets: UUIDs, rulers, dates and counters, hyphenated words and paths of words.
+#: Candidates that are no secrets by one pattern: UUIDs, rulers, dates and counters.  No pattern can match a text in two ways, so all take linear time.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"(.)\1*"),
     re.compile(r"[0-9]+([-_/=+][0-9]+)*"),
-    re.compile(r"[-_/=+]*[A-Za-z]?[a-z]*([-_/=+]+([A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*"),
 )
+#: Parts of hyphenated words and paths of words.
+PART = re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}")
 #: Bits that a count of c adds: c*log2(c).
-TERMS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+TERMS = [0.0] + [c * math.log2(c) for c in range(1, max(w for _, _, w, _ in CLASSES) + 1)]
+
+
+def allowed(s: str) -> bool:
+    """Whether a candidate is on the allow-list; words and numbers between separators, of which the first is a word, are."""
+    if any(p.fullmatch(s) for p in ALLOWED):
+        return True
+    parts = re.split(r"[-_/=+]+", s.lstrip(SEPARATORS))
+    return not parts[0].isdigit() and all(PART.fullmatch(x) for x in parts)
 
 
 def entropy_windows(s: str, window: int, bits: float, marked: list[int] | None = None):
@@ -102,16 +112,16 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     found = []
     for m in CANDIDATE.finditer(text):
         whole = m.group()
-        if any(p.fullmatch(whole) for p in ALLOWED):
+        if allowed(whole):
             continue
         for start, s in pieces(whole, m.start(), base):
             if len(s) < len(whole):
                 start += len(s) - len(s.lstrip(SEPARATORS))
                 s = s.strip(SEPARATORS)
-            if len(s) < WINDOW:
+            if len(s) < SHORTEST:
                 continue
-            bits = next(b for _, pattern, b in CLASSES if pattern.fullmatch(s))
-            if bits == math.inf or any(p.fullmatch(s) for p in ALLOWED):
+            window, bits = next((w, b) for _, pattern, w, b in CLASSES if pattern.fullmatch(s))
+            if len(s) < window or bits == math.inf or len(s) < len(whole) and allowed(s):
                 continue
             marked = None
             for x in PLACEHOLDER.finditer(s):
@@ -120,7 +130,7 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
                     marked[k + 1] = 1
             if marked:
                 marked = list(accumulate(marked))
-            found += [(start + a, 3, start + b) for a, b in entropy_windows(s, WINDOW, bits, marked)]
+            found += [(start + a, 3, start + b) for a, b in entropy_windows(s, window, bits, marked)]
     return found
 
 

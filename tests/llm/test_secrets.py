@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -32,6 +33,9 @@ def test_base_spans_match_plain_patterns(text):
     assert s.base_spans(text) == brute_base(text)
 
 
+WINDOW = 20
+
+
 def entropy(x):
     return -sum(c / len(x) * math.log2(c / len(x)) for c in Counter(x).values())
 
@@ -40,10 +44,10 @@ def entropy(x):
 @given(st.text("abcd01", min_size=20, max_size=80), st.sampled_from([1.5, 2.0, 2.3]))
 def test_sliding_windows_match_plain_entropy(text, bits):
     hit = set()
-    for i in range(len(text) - s.WINDOW + 1):
-        if entropy(text[i : i + s.WINDOW]) >= bits - 1e-9:
-            hit |= set(range(i, i + s.WINDOW))
-    got = list(s.entropy_windows(text, s.WINDOW, bits))
+    for i in range(len(text) - WINDOW + 1):
+        if entropy(text[i : i + WINDOW]) >= bits - 1e-9:
+            hit |= set(range(i, i + WINDOW))
+    got = list(s.entropy_windows(text, WINDOW, bits))
     covered = [k for a, b in got for k in range(a, b)]
     assert set(covered) == hit and len(covered) == len(set(covered))
 
@@ -100,6 +104,45 @@ def test_redaction(spark):
     assert s.redacted("no secret here") == "no secret here"
 
 
+def brute_entropy(text, base):
+    """Characters of windows with enough entropy, each window counted anew."""
+    hit = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < s.SHORTEST or s.allowed(m[0]):
+            continue
+        for start, own in s.pieces(m[0], m.start(), base):
+            if len(own) < len(m[0]):
+                start, own = start + len(own) - len(own.lstrip(s.SEPARATORS)), own.strip(s.SEPARATORS)
+            if len(own) < s.SHORTEST or len(own) < len(m[0]) and s.allowed(own):
+                continue
+            window, bits = next((w, b) for _, p, w, b in s.CLASSES if p.fullmatch(own))
+            marked = {k for x in s.PLACEHOLDER.finditer(own) for k in range(x.start(), x.end())}
+            for k in range(len(own) - window + 1):
+                if entropy(own[k : k + window]) >= bits - 1e-9 and 2 * len(marked & set(range(k, k + window))) < window:
+                    hit |= set(range(start + k, start + k + window))
+    return hit
+
+
+SOUP = st.one_of(st.text("abcXYZ019-_/=+", max_size=40), st.text("0123456789ABCDEF", max_size=24), st.sampled_from([" ", "example", "1234567", "token=", "AKIA", MIXED]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SOUP, max_size=8).map("".join))
+def test_entropy_spans_match_a_plain_scan(text):
+    base = s.base_spans(text)
+    assert {k for a, _, b in s.entropy_spans(text, base) for k in range(a, b)} == brute_entropy(text, base)
+
+
+def test_long_runs_take_linear_time():
+    for run in ("-" * 10**6 + SECRET, "_" * 10**6 + "aB3", "/a" * 500_000, "a-" * 500_000 + "$", "1-" * 500_000 + "x", "aB3-" * 250_000, "=" * 10**6, "0" * 10**6, "x" * 10**6, "password" + " " * 10**6, "f" * 10**6 + "g", "A" * 10**6 + "b", "AKIA" * 250_000, "token=" * 100_000, "api_key:" * 100_000):
+        began = time.perf_counter()
+        base = s.base_spans(run)
+        s.entropy_spans(run, base)
+        assert time.perf_counter() - began < 8, run[:20]
+    run = "-" * 40 + SECRET
+    assert [run[a:b].lstrip("-") for a, _, b in s.entropy_spans(run, [])] == [SECRET]
+
+
 def test_query_against_plain_patterns(spark):
     from concord.llm.queries import op7_secrets
 
@@ -109,6 +152,8 @@ def test_query_against_plain_patterns(spark):
     for r in rows:
         base = brute_base(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(s.written(base).encode()).hexdigest() and set(s.written(base).split(",")) <= set(r["spans"].split(","))
+        found = [x.split(":") for x in r["spans"].split(",") if x.startswith("entropy")]
+        assert {k for _, a, b in found for k in range(int(a), int(b))} == brute_entropy(texts[r["doc_id"]] or "", base)
 
 
 def test_random_words_are_quiet():
