@@ -8,29 +8,30 @@ on, hold the bits on which all below agree (a mask and a pattern).  A search joi
 the tree with itself from the top: the differing bits of two nodes' shared masks
 are a lower bound for all below them, so whole groups go when it passes three.
 A bucket with more than ``HOT`` entries is filed again by four blocks of its
-remaining bits, as often as needed, which keeps the search exact.
+remaining bits, three times at most; the search stays exact.
 
-``keep_dissimilar`` goes on where texts differ more, whatever their fingerprints: an exact
-prefix filter over shingles of five words names the candidates, which are then compared.
+``keep_dissimilar`` goes on where texts differ more, whatever their fingerprints: bands of
+least hashes over shingles of five words name candidate pairs, which are then compared exactly.
 
 Each bucket yields edges to one representative per locally connected class, never
 all pairs; classes meet in alternating large-star and small-star rounds.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other;
 null doc_ids take part (a class of nulls only has component_id null); repeated
-rows each get a row of the result; an empty table gives an empty result.
+rows each get a row of the result; an empty table gives an empty result; of extra
+columns ``near_duplicates`` takes none and the ``keep_`` functions return all, whatever
+their names; texts are read whole, in blocks of rows of 1 MB or of one longer text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.store import materialize
-from concord.llm.words import ascii_lower_words, blocks, hashed_blocks, pair_hash, release, string_parts, word_bounds
+from concord.llm.store import discard, materialize
+from concord.llm.words import ascii_lower_words, blocks, hashed_blocks, pair_hash, release, splitmix, string_parts, word_bounds
 
 #: Most bits in which linked fingerprints differ, and blocks that so many edits can't all reach.
 DISTANCE, BLOCKS = 3, 4
@@ -296,7 +297,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # here u > v throughout
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = materialize(small, "stars")
+        edges, old = materialize(small, "stars"), edges
+        discard(old)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -344,153 +346,148 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 #: Words of a shingle and share of shingles from which texts are near copies.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Most rows and shingles of a class of candidates that one task compares; larger ones shrink first, a leader a round.
-TASK_CLASS, TASK_SHINGLES = 1000, 2_000_000
+#: Bands of least hashes, and least hashes of each: near copies share one with a chance of 1 - (1 - 0.8**5)**25, over 0.9999.
+BANDS, BAND_ROWS = 25, 5
 
 
-def distinct_shingles(texts: pa.Array, shingle: int = COPY_SHINGLE):
-    """Sorted distinct hashes of each text's word shingles (fewer words: the whole sequence; none: empty)."""
-    table = ascii_lower_words()
-    for first, last, h, row in hashed_blocks(texts, table):
-        cuts = np.searchsorted(row, np.arange(last - first + 1))
-        for i in range(last - first):
-            own = h[cuts[i] : cuts[i + 1]]
-            n = min(shingle, len(own))
-            g = own[: len(own) - n + 1]
-            for k in range(1, n):
-                g = pair_hash(g, own[k : len(own) - n + 1 + k])
-            yield np.unique(g).view(np.int64)
+def shingle_hashes(texts: pa.Array, shingle: int = COPY_SHINGLE):
+    """For each block of rows: (first, last, shingle hashes, row of each from 0), repeats included; fewer words: the whole sequence."""
+    for first, last, h, row in hashed_blocks(texts, ascii_lower_words()):
+        words = np.bincount(row, minlength=last - first)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(words) - words, words)
+        begin = np.flatnonzero((place + shingle <= words[row]) | (place == 0))
+        size = np.minimum(shingle, words[row[begin]])
+        g = h[begin]
+        for k in range(1, shingle):
+            on = np.flatnonzero(size > k)
+            g[on] = pair_hash(g[on], h[begin[on] + k])
+        yield first, last, g, row[begin]
 
 
 def shingle_sets(text: Column, shingle: int = COPY_SHINGLE) -> Column:
-    """Column of the distinct word shingles of a text, hashed."""
+    """Column of the distinct word shingles of a text, hashed, ascending."""
 
     @F.arrow_udf("array<long>")
     def sets(texts: pa.Array) -> pa.Array:
-        found = pa.array(list(distinct_shingles(texts, shingle)), pa.list_(pa.int64()))
+        out = []
+        for first, last, g, row in shingle_hashes(texts, shingle):
+            cuts = np.searchsorted(row, np.arange(last - first + 1))
+            out += [np.unique(g[cuts[i] : cuts[i + 1]]).view(np.int64) for i in range(last - first)]
         release()
-        return found
+        return pa.array(out, pa.list_(pa.int64()))
 
     return sets(text)
 
 
-def common(n):
-    """Shingles that a set of ``n`` shares with each near copy at least (less a rounding error, which is safe)."""
-    return np.ceil(COPY_SIMILARITY * n - 1e-6).astype(np.int64)
-
-
-def surplus(n):
-    """Shingles by which the first filter's prefixes are longer than needed; two near copies share one more, by the smaller set."""
-    return n - common(n)
+def least_hashes(g: np.ndarray, row: np.ndarray, rows: int, n: int) -> np.ndarray:
+    """The least of each of ``n`` hash functions over each row's shingles; rows without any get zeros."""
+    out = np.zeros((n, rows), np.uint64)
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    factors = splitmix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(n if len(starts) else 0):
+            out[k, row[starts]] = np.minimum.reduceat((g ^ factors[k]) * factors[n - 1 - k], starts)
+    return out
 
 
-def prefixes(batches):
-    """(h, rid) of the smallest shingles of each (rid, text); near copies share over ``surplus`` of the smaller set's."""
+def banded(batches):
+    """(band, near, rid) for each band of each (rid, text): rows with similar texts share a band and mostly ``near``, too."""
     for batch in batches:
-        sets = list(distinct_shingles(batch.column(1)))
-        cut = [x[: 2 * int(surplus(np.int64(len(x)))) + 1] for x in sets]
-        rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in cut])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), pa.array(rid)], names=["h", "rid"])
-        del sets, cut
+        rid = batch.column(0).to_numpy()
+        for first, last, g, row in shingle_hashes(batch.column(1)):
+            least = least_hashes(g, row, last - first, BANDS * BAND_ROWS)
+            keys = []
+            for k in range(BANDS):
+                key = np.full(last - first, np.uint64(k))
+                for m in least[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
+                    key = pair_hash(key, m)
+                keys.append(key)
+            columns = np.concatenate(keys), np.tile(least[0], BANDS), np.tile(rid[first:last], BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["band", "near", "rid"])
     release()
 
 
-def whole_sets(batches):
-    """(h, rid, n) of all ``n`` shingles of each (rid, text, shared), unless it shares too few of its prefix, even for its smallest near copy."""
+def neighbours(batches):
+    """(a, b, first) from (band, rid) in order: each row with the row before it in its band and, ``first``, with the first one there."""
+    band = head = before = None
     for batch in batches:
-        sets = list(distinct_shingles(batch.column(1)))
-        n = np.array([len(x) for x in sets], np.int64)
-        on = np.flatnonzero((batch.column(2).to_numpy() > surplus(common(n))) & (n > 0))
-        rid, n = np.repeat(batch.column(0).to_numpy()[on], n[on]), np.repeat(n[on], n[on])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(sets[i] for i in on)])), pa.array(rid), pa.array(n)], names=["h", "rid", "n"])
-        del sets
-    release()
+        bands, rids = (batch.column(k).to_numpy() for k in range(2))
+        if not len(bands):
+            continue
+        new = np.append(bands[0] != band if band is not None else True, bands[1:] != bands[:-1])
+        at = np.arange(len(bands))
+        run = np.maximum.accumulate(np.where(new, at, -1))
+        heads = np.where(run >= 0, rids[np.maximum(run, 0)], head if head is not None else 0)
+        previous = np.append(before if before is not None else 0, rids[:-1])
+        band, head, before = bands[-1], heads[-1], rids[-1]
+        on = np.flatnonzero(~new & (previous != rids))
+        far = np.flatnonzero(~new & (heads != rids) & (heads != previous))
+        a, b = np.append(rids[on], rids[far]), np.append(previous[on], heads[far])
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.arange(len(a)) >= len(on))], names=["a", "b", "first"])
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, first) of ``rows`` (rid, text) that share a band: a row's neighbours there, at most two for each band, never all pairs.
+
+    Rows are dealt by ranges of band and order within it, so a band that many share
+    is cut over tasks; a cut misses one link, which other bands have.
+    """
+    bands = materialize(rows.mapInArrow(banded, "band long, near long, rid long"), "bands")
+    ordered = bands.repartitionByRange("band", "near", "rid").sortWithinPartitions("band", "near", "rid").select("band", "rid")
+    pairs = materialize(ordered.mapInArrow(neighbours, "a long, b long, first boolean").groupBy("a", "b").agg(F.min("first").alias("first")), "pairs")
+    discard(bands)
+    return pairs
+
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` (rid, shingles) are at least ``COPY_SIMILARITY`` alike; two empty ones are."""
+    n = F.size("shingles")
+    a, b = (sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"s{x}"), n.alias(f"n{x}")) for x in "ab")
+    lengths = F.least("na", "nb") >= F.greatest("na", "nb") * COPY_SIMILARITY
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both >= (F.col("na") + F.col("nb") - both) * COPY_SIMILARITY - 1e-9
+    return pairs.join(a, "a").join(b, "b").where(lengths & alike).select("a", "b")
 
-def copy_links(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all of ``rows`` (rid, text) that share ``COPY_SIMILARITY`` of their shingles, and some others.
 
-    Two sets of which each shares ``common(n)`` with the other share one, whatever the order of
-    shingles, among the first ``n - common(n) + 1`` of both.  First the order is that of hashes
-    and prefixes are longer, which leaves out most texts without a copy; then, among the rest,
-    shingles in few texts come first, so that common lines connect nothing.
+def copy_classes(rows: DataFrame) -> DataFrame:
+    """(rid, root) of the ``rows`` (rid, text) that have a near copy: classes linked by pairs that are compared exactly.
+
+    Neighbours in a band are compared first.  A row and a band's first one are
+    compared only if they aren't in one class by then.
     """
-    small = rows.mapInArrow(prefixes, "h long, rid long")
-    shared = small.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1").groupBy("rid").agg(F.count(F.lit(1)).alias("shared"))
-    shared = materialize(shared, "shared")
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    every = rows.join(side, "rid").select("rid", "text", "shared").mapInArrow(whole_sets, "h long, rid long, n long")
-    often = every.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
-    lists = often.groupBy("rid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))
-    # shingles of one text alone come before these; they connect nothing
-    take = F.size("l") - F.ceil(F.col("n") * COPY_SIMILARITY - 1e-6).cast("int") + 1
-    first = lists.withColumn("take", take).where("take > 0").select("rid", "n", F.explode(F.slice("l", 1, F.col("take"))).alias("x")).select("rid", "n", "x.h")
-    # in order of size, no near copies are on both sides of a step that is too wide
-    before = Window.partitionBy("h").orderBy("n", "rid")
-    steps = first.select("rid", "n", F.lag("rid").over(before).alias("b"), F.lag("n").over(before).alias("m"))
-    return steps.where(F.col("b").isNotNull() & (F.col("m") >= F.col("n") * COPY_SIMILARITY - 1e-6)).select(F.col("rid").alias("a"), "b").distinct()
-
-
-def overlap(a, b) -> float:
-    """Jaccard similarity of two sorted arrays of distinct values; of two empty ones 1."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def followers(rows: pa.Table) -> pa.Table:
-    """(key, rid) of a class's rows that are near copies of one before them that isn't; smallest ids lead."""
-    order = rows.sort_by([("no_id", "ascending"), ("doc_id", "ascending"), ("rid", "ascending")])
-    sets = [np.array(x.values) for x in order.column("shingles").combine_chunks()]
-    leaders: list[int] = []
-    copies = []
-    for i, own in enumerate(sets):
-        if any(min(len(own), len(sets[k])) >= COPY_SIMILARITY * max(len(own), len(sets[k])) and overlap(own, sets[k]) >= COPY_SIMILARITY for k in leaders):
-            copies.append(i)
-        else:
-            leaders.append(i)
-    return order.take(pa.array(copies, pa.int64())).select(["key", "rid"])
-
-
-def keep_dissimilar(docs: DataFrame, task_class: int = TASK_CLASS) -> DataFrame:
-    """Documents without near copies by text: of those that share ``COPY_SIMILARITY`` of their shingles, that with the smallest id stays.
-
-    Candidates come from an exact prefix filter; their classes are compared exactly,
-    each row with the rows of its class that stay.  Texts without words are near
-    copies of each other.  Of rows with the same id and text one stays.
+    pairs = candidate_pairs(rows)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    ids = materialize(ids, "candidates")
+    few = ids.count() <= BROADCAST_ROWS
+    sets = rows.dropDuplicates(["rid"]) if not few else rows.join(F.broadcast(ids), "rid").dropDuplicates(["rid"])
+    sets = sets if few else sets.join(ids, "rid")
+    sets = materialize(sets.select("rid", shingle_sets(F.col("text")).alias("shingles")), "shingles")
+    near = materialize(similar_pairs(pairs.where("NOT first").select("a", "b"), sets), "similar")
+    bound = components(near)
+    root = lambda x: bound.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    apart = pairs.where("first").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    more = materialize(similar_pairs(apart, sets), "similar")
+    discard(pairs, ids, sets)
+    bound = components(near.union(more))
+    return bound.select(F.col("node").alias("rid"), "root").union(bound.select(F.col("root").alias("rid"), "root").distinct())
+
+
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """Documents without near copies by text: of each class linked by ``COPY_SIMILARITY`` of shared shingles, that with the smallest id stays.
+
+    Texts without words are near copies of each other.  Of rows with the same id and text one stays.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rid = F.xxhash64(key, text)
-    bound = components(copy_links(docs.select(rid.alias("rid"), text.alias("text"))))
-    linked = bound.select(F.col("node").alias("rid"), "root").union(bound.select(F.col("root").alias("rid"), "root").distinct())
-    blank = docs.where(~text.rlike(r"[^ \t\n\x0B\f\r]")).select(rid.alias("rid"), F.lit(0).cast("long").alias("root"), F.lit(True).alias("blank"))
-    members = materialize(linked.select("rid", "root", F.lit(False).alias("blank")).unionByName(blank).distinct(), "members")
-    few = members.count() <= BROADCAST_ROWS
+    classes = materialize(copy_classes(docs.select(rid.alias("rid"), text.alias("text"))), "members")
+    members = docs.select(rid.alias("rid"), key.alias("key"), F.col("doc_id").isNull().alias("no_id"), "doc_id").join(F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes, "rid")
+    members = materialize(members, "copies")
+    stays = members.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "rid")).alias("stays"))
+    gone = members.join(stays, "root").where(F.col("rid") != F.col("stays.rid")).select("key", "rid").distinct()
+    gone = materialize(gone, "gone")
     packed = docs.select(key.alias("key"), rid.alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = packed.join(F.broadcast(members) if few else members, "rid").dropDuplicates(["key", "rid"])
-    alive = materialize(found.select("key", "rid", F.struct("blank", "root").alias("root"), F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), shingle_sets(F.col("row.text")).alias("shingles")), "shingles")
-    rank = F.struct("no_id", "doc_id", "rid")
-    dropped = []
-    while True:
-        large = materialize(alive.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("m"), F.min(rank).alias("lead")).where((F.col("n") > task_class) | (F.col("m") > TASK_SHINGLES)).select("root", "lead"), "large")
-        if large.isEmpty():
-            break
-        led = alive.join(large, "root")
-        lead = led.where(rank.eqNullSafe(F.col("lead"))).dropDuplicates(["root"]).select("root", F.col("shingles").alias("lead_shingles"))
-        both = F.size(F.array_intersect("shingles", "lead_shingles"))
-        share = both / F.greatest(F.size("shingles") + F.size("lead_shingles") - both, F.lit(1))
-        similar = (share >= COPY_SIMILARITY) | ((F.size("shingles") == 0) & (F.size("lead_shingles") == 0))
-        compared = materialize(led.where(~rank.eqNullSafe(F.col("lead"))).join(lead, "root").select("key", "rid", "root", "no_id", "doc_id", "shingles", similar.alias("similar")), "compared")
-        dropped.append(compared.where("similar").select("key", "rid"))
-        alive = materialize(alive.join(large, "root", "left_anti").select("key", "rid", "root", "no_id", "doc_id", "shingles").unionByName(compared.where("NOT similar").drop("similar")), "alive")
-    kind = alive.schema["key"].dataType.simpleString()
-    dropped.append(alive.groupBy("root").applyInArrow(followers, f"key {kind}, rid long"))
-    gone = dropped[0]
-    for more in dropped[1:]:
-        gone = gone.unionByName(more)
-    gone = materialize(gone.distinct(), "copies")
     left = packed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["key", "rid"], "left_anti")
     repeated = not docs.groupBy(key, rid).count().where("count > 1").isEmpty()
     return (left.dropDuplicates(["key", "rid"]) if repeated else left).select("row.*")

@@ -131,14 +131,17 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def brute_leaders(rows):
-    """Rows that stay: in order of id, nulls last, those that aren't near copies of one before them that stays."""
-    kept = []
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        own = shingle_set(text)
-        if all(jaccard(own, x) < 0.8 for *_, x in kept):
-            kept.append((i, text, own))
-    return sorted(((str(i), str(t)) for i, t, _ in kept))
+def brute_classes(rows):
+    """The row with the smallest id, nulls last, of each class linked by pairs of near copies."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    sets = [shingle_set(text) for _, text in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, own in enumerate(sets):
+            for k in range(i):
+                if jaccard(own, sets[k]) >= 0.8:
+                    label[i] = label[k] = min(label[i], label[k])
+    return sorted((str(rows[i][0]), str(rows[i][1])) for i in set(label))
 
 
 def edited(seed):
@@ -159,10 +162,9 @@ def edited(seed):
 def test_near_copies_by_text(spark):
     rows = [*edited(1), (None, "one two three four five six"), (3, "one two three four five six"), (4, None), (5, ""), (6, "a"), (7, "a"), (6, "other words of a repeated id that stay here")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
-    for task_class in (1000, 2):
-        out = simhash.keep_dissimilar(docs, task_class)
-        assert out.columns == docs.columns
-        assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == brute_leaders(rows)
+    out = simhash.keep_dissimilar(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == brute_classes(rows)
     assert simhash.keep_dissimilar(docs.limit(0)).count() == 0
 
 
@@ -188,8 +190,33 @@ def test_near_copies_whose_fingerprints_differ_widely(spark):
     far = [(i, k) for i in range(len(rows)) for k in range(i) if jaccard(sets[i], sets[k]) >= 0.8 and np.bitwise_count(fps[i] ^ fps[k]) > 7]
     assert len(far) > 5
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for task_class in (1000, 2):
-        assert sorted((str(r[0]), r[1]) for r in simhash.keep_dissimilar(docs, task_class).collect()) == brute_leaders(rows)
+    assert sorted((str(r[0]), r[1]) for r in simhash.keep_dissimilar(docs).collect()) == brute_classes(rows)
+
+
+def test_large_family_of_near_copies_and_unlike_texts_of_one_frame(spark):
+    """One family of near copies, and texts that share half of their words with all others: recall of links, and nothing else goes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    base, frame, rows = [word() for _ in range(200)], [word() for _ in range(60)], []
+    for k in range(300):
+        own = list(base)
+        for _ in range(2):
+            own[rng.randrange(len(own))] = word()
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join([*frame, *(word() for _ in range(50))])) for k in range(300)]
+    for k in range(200):  # pairs at just 0.8 or more
+        own = [word() for _ in range(100)]
+        other = list(own)
+        for _ in range(2):
+            other[rng.randrange(100)] = word()
+        rows += [(2000 + 2 * k, " ".join(own)), (2001 + 2 * k, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r[0] for r in simhash.keep_dissimilar(docs).collect()}
+    assert len([i for i in left if i < 1000]) <= 3 and len([i for i in left if 1000 <= i < 2000]) == 300
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = [i for i in range(2001, 2400, 2) if jaccard(sets[i], sets[i - 1]) >= 0.8]
+    assert len(pairs) > 50 and sum(i not in left for i in pairs) >= 0.98 * len(pairs)
+    assert all(i in left for i in range(2000, 2400, 2)) and all(i in left for i in range(2001, 2400, 2) if i not in pairs)
 
 
 def test_links_at_a_larger_distance(spark):
