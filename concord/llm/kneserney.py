@@ -1,27 +1,31 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from memory-mapped arrays.
 
-Words (and the end of a text) are 64-bit hashes.  Tasks pre-aggregate counts and ship
-them as packed arrays by shard; a shard is a range of the leading bits of a hash.
+Words (and the end of a text) are 64-bit hashes; a text starts with ``order - 1`` start
+marks.  Tasks pre-aggregate counts and ship them as packed arrays by shard; a shard is
+a range of the leading bits of a hash.  Shards follow the number of tokens.
 
-1. Unigram counts, merged by word shard; contexts with a large share of all tokens
+1. Unigram counts, merged by word shard; words with a large share of all tokens
    ("hot", a bounded list) are found.
-2. Bigram counts, merged in the shard of their context, so that a context's totals
-   are known there; a hot context's bigrams spread over all shards by their own hash
-   and its totals are added up in step 3.  Each shard becomes a file of sorted bigram
-   hashes and counts.
-3. By word shard: counts, numbers of different predecessors, and context totals
-   become a file of sorted word hashes.
-4. Workers map the files and look up the distinct bigrams of a block of texts in
-   sorted order.
-
-P(w|u) = max(c(u,w)-D(c),0)/c(u) + g(u) P1(w), and P1(w) = max(n(w)-D'(n),0)/T +
-g1/(V+1) with n(w) the different predecessors of w; D and D' have three values
-each, from counts of counts.  Files go to the shared folder; where it is no local
-path, workers copy the files that they need into their own temporary folder.
+2. Counts of the longest n-grams, merged in the shard of the word before the last, or,
+   where that is hot, spread over all shards by their own hash.  Each distinct n-gram is
+   in one shard only, so all that is derived from it can be added up later.
+3. Level by level downwards: an n-gram's different predecessors, and, of what follows
+   it, the total and how many came once, twice or more often.
+
+Each level leaves a file of sorted hashes and counts for each shard.  Workers map the
+files and look up the distinct n-grams of a block of texts in sorted order.
+
+P_k(w|c) = max(a(c,w)-D_k(a),0)/a(c) + g_k(c) P_(k-1)(w|c'), with a the count at the
+longest level and the number of different predecessors below, down to 1/(V+1); D_k has
+three values from counts of counts, kept above zero, so that no probability is zero.
+Files go to the shared folder; where it is no mounted path, workers copy the files that
+they need into an unlinked file, whose space is free again when they end.
 
 Defined cases: null texts are empty, and score their end; unknown words get their
 share of the lowest level; without training texts every token scores 1/(V+1) = 1;
-repeated rows count each time.
+repeated rows count each time; an empty table gives no rows; texts are scored whole, in
+blocks of rows of 1 MB or of one longer text; extra columns are never read, whatever
+their names; rows that tie score the same.
 """
 
 from __future__ import annotations
@@ -29,62 +33,94 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.store import materialize, new_folder, opened, shared
+from concord.llm.store import discard, materialize, new_folder, opened, shared
 from concord.llm.training import id_remainder
 from concord.llm.words import ascii_lower_words, hashed_blocks, pair_hash, release, splitmix
 
 #: Hashes of the start, as a context, and of the end, as a word.
 START, END = (splitmix(np.array([x], np.uint64))[0] for x in (0x5354415254, 0x454E44))
-#: Entries that a task gathers before it ships them.
-FLUSH = 3_000_000
+#: Words of the longest n-grams.
+ORDER = 3
+#: Entries that a task gathers before it ships them; tokens of a shard; bytes of text of a shard of words.
+FLUSH, SHARD_TOKENS, SHARD_BYTES = 2_000_000, 1_500_000, 64 << 20
 #: Base model's pseudo-count.
 DELTA = 0.1
+#: Least discount, and by how much a count exceeds its discount at least.
+LEAST_DISCOUNT = 0.05
+
 
+def log2_shards(parts: float) -> int:
+    """Leading bits for about ``parts`` shards (16 to 2**20)."""
+    return min(max(int(np.ceil(np.log2(max(parts, 1)))), 4), 20)
 
-def log2_shards(spark) -> int:
-    """Shards follow the session's shuffle partitions (16 to 65536)."""
-    return min(max(int(np.ceil(np.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)))), 4), 16)
 
+def text_parts(df: DataFrame) -> float:
+    """Shards of words for a DataFrame, by the plan's size where it is known, and the session's shuffle partitions else."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size / SHARD_BYTES if size < 1 << 56 else float(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of n-grams given as a column for each place."""
+    out = words[0]
+    for w in words[1:]:
+        out = pair_hash(out, w)
+    return out
 
-def bigram_keys(u: np.ndarray, v: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """Hash of each bigram; its leading bits, the shard, are those of the context, or of the hash itself for a hot context."""
-    mixed = pair_hash(u, v)
-    low = mixed & np.uint64((1 << 64 - bits) - 1)
-    own = (u >> np.uint64(64 - bits)) << np.uint64(64 - bits)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
-        return np.where(hot[at] == u, mixed, own | low)
-    return own | low
 
+def placed(words: list[np.ndarray], hot: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of n-grams; the leading bits, the shard, are those of the word before the last, or of the hash itself where that is hot."""
+    mixed = gram_hash(words)
+    if len(words) == 1:
+        return mixed
+    u = words[-2]
+    low = np.uint64((1 << 64 - bits) - 1)
+    own = (u & ~low) | (mixed & low)
+    at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
+    return np.where(hot[at] == u, mixed, own)
 
-def token_rows(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context, row) of each token, a text's end included."""
+
+def token_grams(h: np.ndarray, row: np.ndarray, rows: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of the n-gram that ends at each token, row of each token), a text's end included."""
     lengths = np.bincount(row, minlength=rows) + 1
     stops = np.cumsum(lengths)
     tokens = np.empty(len(h) + rows, np.uint64)
     ends = np.zeros(len(tokens), bool)
     ends[stops - 1] = True
     tokens[~ends], tokens[ends] = h, END
-    before = np.empty_like(tokens)
-    before[1:], before[stops - lengths] = tokens[:-1], START
-    return tokens, before, np.repeat(np.arange(rows), lengths)
+    place = np.arange(len(tokens)) - np.repeat(stops - lengths, lengths)
+    columns = [tokens]
+    for k in range(1, order):
+        before = np.full_like(tokens, START)
+        before[k:] = tokens[:-k] if k < len(tokens) else before[k:]
+        before[place < k] = START
+        columns.insert(0, before)
+    return columns, np.repeat(np.arange(rows), lengths)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and their summed counts."""
-    if not len(keys):
-        return keys, counts
+    order, first = runs(keys)
+    return keys[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts the keys, where there each distinct one starts)."""
     order = np.argsort(keys, kind="quicksort")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
+    return order, np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def distinct_grams(words: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams and their summed counts."""
+    order, first = runs(gram_hash(words))
+    return [w[order[first]] for w in words], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -115,79 +151,74 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 def by_shard(keys: np.ndarray, bits: int):
     """(shard, slice) of ascending keys."""
-    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = np.append(edges, len(keys))
-    for shard in np.flatnonzero(np.diff(edges)):
-        yield int(shard), slice(edges[shard], edges[shard + 1])
-
-
-def batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-
-
-PIECES, PIECE_NAMES, PIECE_TYPES = "shard int, kind string, data binary", ["shard", "kind", "data"], [pa.int32(), pa.string(), pa.binary()]
-
-
-def count_unigrams(bits: int):
-    """Texts to pieces of kind "count": (hashes, counts)."""
+    shards = keys >> np.uint64(64 - bits)
+    first = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(first, np.append(first[1:], len(keys)), strict=True):
+        yield int(shards[a]), slice(int(a), int(b))
+
+
+PIECES = "shard int, kind string, data binary, stats array<long>"
+PIECE_FIELDS = (("shard", pa.int32()), ("kind", pa.string()), ("data", pa.binary()), ("stats", pa.list_(pa.int64())))
+#: Of a level's counts: those of 1, 2, 3 and 4, those over 2, and their sum.
+STATS = 6
+
+
+def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of PIECES from rows (shard, kind, data) or (shard, kind, data, stats)."""
+    rows = [(*r, None)[:4] for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(PIECE_FIELDS)], names=[n for n, _ in PIECE_FIELDS])
+
+
+def gram_pieces(words: list[np.ndarray], counts: np.ndarray, hot: np.ndarray, bits: int):
+    """Rows of kind "gram" by shard: contexts, a column for each place, followers of each, last words and counts."""
+    if len(words) == 1:
+        order = np.argsort(words[0], kind="quicksort")
+        keys, counts = words[0][order], counts[order]
+        yield from ((shard, "gram", packed(keys[s], counts[s])) for shard, s in by_shard(keys, bits))
+        return
+    shard = placed(words, hot, bits) >> np.uint64(64 - bits)
+    order = np.lexsort((*words[:-1], shard))
+    words, counts, shard = [w[order] for w in words], counts[order], shard[order]
+    for k, s in by_shard(shard << np.uint64(64 - bits), bits):
+        own = [w[s] for w in words[:-1]]
+        new = np.zeros(len(own[0]), bool)
+        new[0] = True
+        for w in own:
+            new[1:] |= w[1:] != w[:-1]
+        first = np.flatnonzero(new)
+        yield k, "gram", packed(*(w[first] for w in own), np.diff(np.append(first, len(new))).astype(np.uint64), words[-1][s], counts[s])
+
+
+def grams_of(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """(n-gram columns, counts) of a piece of kind "gram"."""
+    *contexts, w, c = unpacked(data)
+    if not contexts:
+        return [w], c
+    followers = contexts.pop().astype(np.int64)
+    return [*(np.repeat(u, followers) for u in contexts), w], c
+
+
+def count_grams(order: int, bits: int, hot: np.ndarray):
+    """Texts to pieces of kind "gram" of n-grams of ``order`` words."""
 
     def run(batches):
         held, rows = [], 0
 
         def flush():
-            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            return batch([(shard, "count", packed(keys[s], counts[s])) for shard, s in by_shard(keys, bits)], PIECE_NAMES, PIECE_TYPES)
+            words, counts = distinct_grams([np.concatenate(x) for x in zip(*(w for w, _ in held), strict=True)], np.concatenate([c for _, c in held]))
+            return pieces_batch(list(gram_pieces(words, counts, hot, bits)))
 
         for b in batches:
             for first, last, h, row in hashed_blocks(b.column(0), ascii_lower_words()):
-                tokens = np.append(h, np.full(last - first, END))
-                held.append(summed(tokens, np.ones(len(tokens), np.uint64)))
-                rows += len(held[-1][0])
-                if rows >= FLUSH:
-                    yield flush()
-                    held, rows = [], 0
-        if held:
-            yield flush()
-
-    return run
-
-
-def count_bigrams(bits: int, hot: np.ndarray):
-    """Texts to pieces of kind "bigram": (contexts, followers of each, words, counts)."""
-
-    def run(batches):
-        held, rows = [], 0
-
-        def distinct(u, v, c):
-            key = pair_hash(u, v)
-            order = np.argsort(key, kind="quicksort")
-            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-            return u[order[first]], v[order[first]], np.add.reduceat(c[order], first)
-
-        def flush():
-            u, v, c = distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            shard_key = bigram_keys(u, v, hot, bits)
-            shard = shard_key >> np.uint64(64 - bits)
-            order = np.lexsort((u, shard))
-            u, v, c, shard = u[order], v[order], c[order], shard[order]
-            edges = np.append(np.searchsorted(shard, np.arange(1 << bits, dtype=np.uint64)), len(shard))
-            out = []
-            for k in np.flatnonzero(np.diff(edges)):
-                s = slice(edges[k], edges[k + 1])
-                first = np.flatnonzero(np.append(True, u[s][1:] != u[s][:-1]))
-                out.append((int(k), "bigram", packed(u[s][first], np.diff(np.append(first, len(u[s]))).astype(np.uint64), v[s], c[s])))
-            return batch(out, PIECE_NAMES, PIECE_TYPES)
-
-        for b in batches:
-            for first, last, h, row in hashed_blocks(b.column(0), ascii_lower_words()):
-                tokens, before, _ = token_rows(h, row, last - first)
-                held.append(distinct(before, tokens, np.ones(len(tokens), np.uint64)))
-                rows += len(held[-1][0])
+                words, _ = token_grams(h, row, last - first, order)
+                held.append(distinct_grams(words, np.ones(len(words[0]), np.uint64)))
+                rows += len(held[-1][1])
                 if rows >= FLUSH:
                     yield flush()
                     held, rows = [], 0
         if held:
             yield flush()
+        release()
 
     return run
 
@@ -199,9 +230,13 @@ class Folder:
         self.uri = uri
         self.local = uri.removeprefix("file://") if uri.startswith("file://") else uri.removeprefix("file:") if uri.startswith("file:") else None
 
-    def write(self, name: str, *arrays: np.ndarray) -> None:
-        """A complete file or none: an interrupted or repeated task leaves no half of one."""
-        own = f"{name}.{uuid.uuid4().hex}"
+    def write(self, name: str, keys: np.ndarray, *columns: np.ndarray) -> None:
+        """Keys and columns of counts, each count in as few bytes as the largest needs.
+
+        A complete file or none: an interrupted or repeated task leaves no half of one.
+        """
+        own, parts = f"{name}.{uuid.uuid4().hex}", [narrow(x) for x in columns]
+        arrays = [np.array([len(keys), *(p[0] for p in parts)], "<u8"), keys, *(np.frombuffer(p, np.uint8, offset=1) for p in parts)]
         if self.local is not None:
             os.makedirs(self.local, exist_ok=True)
             with open(f"{self.local}/{own}", "wb") as f:
@@ -218,148 +253,179 @@ class Folder:
                     f.write(x.tobytes())
             store.move(f"{path}/{own}", f"{path}/{name}")
 
-    def mapped(self, name: str) -> np.ndarray | None:
-        """The file's bytes, memory-mapped; None where there is no such file."""
+    def mapped(self, name: str) -> np.ndarray:
+        """The file's bytes, memory-mapped; a file that isn't there is an error."""
         path = f"{self.local}/{name}"
         if self.local is None:
             from pyarrow import fs
 
             store, base = fs.FileSystem.from_uri(self.uri)
-            path = f"{tempfile.gettempdir()}/concord-{uuid.uuid5(uuid.NAMESPACE_URL, self.uri).hex}-{name}"
-            if not os.path.exists(path):
-                if store.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
-                    return None
-                own = f"{path}.{uuid.uuid4().hex}"
-                with store.open_input_stream(f"{base}/{name}") as f, open(own, "wb") as out:
+            with tempfile.NamedTemporaryFile(prefix="concord-") as out:  # unlinked at once; the mapping holds its space
+                with store.open_input_stream(f"{base}/{name}") as f:
                     while data := f.read(1 << 22):
                         out.write(data)
-                os.replace(own, path)
-        if not os.path.exists(path) or not os.path.getsize(path):
-            return None
+                out.flush()
+                return np.memmap(out.name, np.uint8, "r")
         return np.memmap(path, np.uint8, "r")
 
 
-#: A bigram file is n hashes (u64), then n counts (u32); a word file n hashes (u64), then WORD_FIELDS columns of u64.
-WORD_FIELDS = 6  # count, predecessors, context total, followers seen once, twice, more often
+    def columns(self, name: str, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(keys, columns) of a mapped file."""
+        raw = self.mapped(name)
+        n, *widths = raw[: 8 * (1 + fields)].view("<u8").tolist()
+        at = 8 * (1 + fields + n)
+        keys, out = raw[8 * (1 + fields) : at].view("<u8"), []
+        for w in widths:
+            out.append(raw[at : at + n * w].view(f"<u{w}"))
+            at += n * w
+        return keys, out
+
+
+def count_unigrams(bits: int):
+    """Texts to pieces of kind "count": (hashes, counts)."""
+
+    def run(batches):
+        held, rows = [], 0
+
+        def flush():
+            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            return pieces_batch([(shard, "count", packed(keys[s], counts[s])) for shard, s in by_shard(keys, bits)])
 
+        for b in batches:
+            for first, last, h, _ in hashed_blocks(b.column(0), ascii_lower_words()):
+                tokens = np.append(h, np.full(last - first, END))
+                held.append(summed(tokens, np.ones(len(tokens), np.uint64)))
+                rows += len(held[-1][0])
+                if rows >= FLUSH:
+                    yield flush()
+                    held, rows = [], 0
+        if held:
+            yield flush()
+        release()
 
-def piece_table(pieces: pa.Table):
-    return zip(pieces.column("kind").to_pylist(), pieces.column("data"), strict=True)
+    return run
 
 
 def merge_unigrams(hot_from: float):
-    """A shard's pieces to one of kind "count", with its tokens, distinct tokens and hot candidates."""
+    """A shard's pieces to one of kind "count", with its tokens and distinct tokens as stats, and one of kind "hot", its frequent words."""
 
     def run(pieces: pa.Table) -> pa.Table:
-        parts = [unpacked(d.as_py()) for _, d in piece_table(pieces)]
+        parts = [unpacked(d.as_py()) for d in pieces.column("data")]
         keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        shard = pieces.column("shard")[0].as_py()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "kind": ["count"], "data": pa.array([packed(keys, counts)], pa.binary()), "tokens": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([len(keys)], pa.int64()), "most": pa.array([packed(keys[big := counts >= hot_from], counts[big])], pa.binary())})
+        shard, big = pieces.column("shard")[0].as_py(), counts >= hot_from
+        return pa.Table.from_batches([pieces_batch([(shard, "count", packed(keys, counts), [int(counts.sum()), len(keys)]), (shard, "hot", packed(keys[big], counts[big]))])])
 
     return run
 
 
-def merge_bigrams(uri: str, bits: int, hot: np.ndarray):
-    """Write a shard's bigram file; give context totals and predecessors by word shard, and counts of counts."""
-    folder = Folder(uri)
+def cut_again(bits: int):
+    """Pieces of kind "count" by other shards."""
 
-    def run(pieces: pa.Table) -> pa.Table:
-        shard = pieces.column("shard")[0].as_py()
-        us, vs, cs = [], [], []
-        for _, data in piece_table(pieces):
-            u, followers, v, c = unpacked(data.as_py())
-            us.append(np.repeat(u, followers.astype(np.int64)))
-            vs.append(v)
-            cs.append(c)
-        u, v, c = np.concatenate(us), np.concatenate(vs), np.concatenate(cs)
-        del us, vs, cs
-        key = bigram_keys(u, v, hot, bits)
-        order = np.argsort(key, kind="quicksort")
-        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        c = np.add.reduceat(c[order], first)
-        order = order[first]
-        key, u, v = key[order], u[order], v[order]
-        folder.write(f"bigrams-{shard}", key, np.minimum(c, 2**32 - 1).astype("<u4"))
-        out = []
-        order = np.argsort(u, kind="quicksort")
-        first = np.flatnonzero(np.append(True, u[order][1:] != u[order][:-1]))
-        own = c[order]
-        totals = [np.add.reduceat(x.astype(np.uint64), first) for x in (own, own == 1, own == 2, own > 2)]
-        contexts = u[order[first]]
-        for k, s in by_shard(contexts, bits):
-            out.append((k, "context", packed(contexts[s], *(t[s] for t in totals))))
-        words, predecessors = summed(v, np.ones(len(v), np.uint64))
-        for k, s in by_shard(words, bits):
-            out.append((k, "predecessors", packed(words[s], predecessors[s])))
-        out.append((shard, "counts", packed(np.array([(c == k).sum() for k in (1, 2, 3, 4)], np.uint64))))
-        return pa.Table.from_batches([batch(out, PIECE_NAMES, PIECE_TYPES)])
+    def run(batches):
+        for b in batches:
+            rows = []
+            for data in b.column(0):
+                keys, counts = unpacked(data.as_py())
+                rows += [(shard, "count", packed(keys[s], counts[s])) for shard, s in by_shard(keys, bits)]
+            yield pieces_batch(rows)
 
     return run
 
 
-def merge_words(uri: str):
-    """Write a shard's word file; give its counts of predecessor counts and their total."""
+#: Columns of a level's file: of the longest n-grams the count; of others predecessors, total of what follows, followers seen once,
+#: twice and more often; of words, besides, the count.
+def width(n: int, order: int) -> int:
+    return 1 if n == order else 5 + (n == 1)
+
+
+def merge_level(n: int, order: int, uri: str, bits: int, hot: np.ndarray):
+    """Write a shard's file of n-grams; give the pieces of the level below, and this level's counts of counts as stats."""
     folder = Folder(uri)
 
     def run(pieces: pa.Table) -> pa.Table:
-        parts: dict[str, list] = {"count": [], "context": [], "predecessors": []}
-        bigram_counts = np.zeros(4, np.int64)
-        for kind, data in piece_table(pieces):
-            arrays = unpacked(data.as_py())
-            if kind == "counts":
-                bigram_counts += arrays[0].astype(np.int64)
-            else:
-                parts[kind].append(arrays)
-        keys = np.unique(np.concatenate([a[0] for arrays in parts.values() for a in arrays] or [np.zeros(0, np.uint64)]))
-        fields = np.zeros((WORD_FIELDS, len(keys)), np.uint64)
-        for kind, first in (("count", 0), ("predecessors", 1), ("context", 2)):
-            for own, *columns in parts[kind]:
-                at = np.searchsorted(keys, own)  # distinct within a piece
-                for k, x in enumerate(columns):
-                    fields[first + k][at] += x
         shard = pieces.column("shard")[0].as_py()
-        if len(keys):
-            folder.write(f"words-{shard}", keys, fields)
-        n = fields[1]
-        m = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 2).sum()), int(n.sum())]
-        return pa.table({f"b{k + 1}": pa.array([int(bigram_counts[k])], pa.int64()) for k in range(4)} | {f"m{k + 1}": pa.array([m[k]], pa.int64()) for k in range(4)} | {"m_more": pa.array([m[4]], pa.int64()), "total": pa.array([m[5]], pa.int64())})
+        parts: dict[str, list] = {"gram": [], "context": [], "count": []}
+        for kind, data in zip(pieces.column("kind").to_pylist(), pieces.column("data"), strict=True):
+            parts[kind].append(grams_of(data.as_py()) if kind == "gram" else unpacked(data.as_py()))
+        words, counts = [np.zeros(0, np.uint64)] * n, np.zeros(0, np.uint64)
+        if parts["gram"]:
+            words, counts = [np.concatenate(x) for x in zip(*(w for w, _ in parts["gram"]), strict=True)], np.concatenate([c for _, c in parts["gram"]])
+        parts["gram"].clear()
+        own = placed(words, hot, bits) if len(counts) else counts
+        order_, first = runs(own)
+        counts = np.add.reduceat(counts[order_], first) if len(first) else counts
+        own, words = own[order_[first]], [w[order_[first]] for w in words]
+        del order_
+        if n == order:
+            folder.write(f"level{n}-{shard}", own, counts)
+        else:
+            keys = np.unique(np.concatenate([own, *(a[0] for kind in ("context", "count") for a in parts[kind])]))
+            fields = np.zeros((width(n, order), len(keys)), np.uint64)
+            fields[0][np.searchsorted(keys, own)] = counts
+            for kind, at in (("context", 1), ("count", 5)):
+                for k, *columns in parts[kind]:
+                    to = np.searchsorted(keys, k)  # distinct within a piece
+                    for i, x in enumerate(columns):
+                        fields[at + i][to] += x
+            folder.write(f"level{n}-{shard}", keys, *fields)
+            del keys, fields
+        parts.clear()
+        stats = [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum()), int(counts.sum())]
+        out: list[tuple] = [(shard, "stats", b"", stats)]
+        if n > 1 and len(counts):
+            contexts = placed(words[:-1], hot, bits)
+            order_, first = runs(contexts)
+            each = counts[order_]
+            totals = [np.add.reduceat(x.astype(np.uint64), first) for x in (each, each == 1, each == 2, each > 2)]
+            contexts = contexts[order_[first]]
+            out += [(k, "context", packed(contexts[s], *(t[s] for t in totals))) for k, s in by_shard(contexts, bits)]
+            out += gram_pieces(*distinct_grams(words[1:], np.ones(len(counts), np.uint64)), hot, bits)
+        return pa.Table.from_batches([pieces_batch(out)])
 
     return run
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """D for counts 0, 1, 2 and 3 or more, from counts of counts; each within 0 and its count."""
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
-    ratios = (n2 / n1 if n1 else 0.0, n3 / n2 if n2 else 0.0, n4 / n3 if n3 else 0.0)
-    return np.array([0.0] + [min(max(k - (k + 1) * y * r, 0.0), float(k)) for k, r in enumerate(ratios, 1)])
+    """D for counts 0, 1, 2 and 3 or more, from counts of counts; above zero and below its count, so that what is unseen keeps some mass."""
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    ratios = (n2 / n1 if n1 else 0.5, n3 / n2 if n2 else 0.5, n4 / n3 if n3 else 0.5)
+    return np.array([0.0] + [min(max(k - (k + 1) * y * r, LEAST_DISCOUNT), k - LEAST_DISCOUNT) for k, r in enumerate(ratios, 1)])
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the files are and what holds for all: training tokens, distinct ones, hot contexts, discounts, the lowest level."""
+    """Where the files are and what holds for all: training tokens, distinct ones, hot words, each level's discounts and shards, the lowest level."""
 
     uri: str
+    order: int
     bits: int
     hot: np.ndarray
     tokens: int
     distinct: int
-    high: np.ndarray
-    low: np.ndarray
-    total: int
-    low_mass: float
+    total: int = 0
+    low_mass: float = 1.0
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)
+    shards: dict[int, np.ndarray] = field(default_factory=dict)
 
 
-def fit(texts: DataFrame, text: str = "text") -> Model:
+def level_stats(parts: DataFrame) -> tuple[list[int], np.ndarray]:
+    """(summed stats, shards with a file) of a merged level; one row a shard."""
+    found = parts.where("kind = 'stats'")
+    *sums, shards = found.agg(*[F.sum(F.element_at("stats", k + 1)) for k in range(STATS)], F.sort_array(F.collect_set("shard"))).first()
+    return [int(x or 0) for x in sums], np.array(shards, np.int64)
+
+
+def fit(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """Count the model over all rows of ``texts``."""
+    if order < 2:
+        raise ValueError("a Kneser-Ney model has order 2 at least")
     spark = texts.sparkSession
-    bits = log2_shards(spark)
     uri = new_folder(spark, "kneserney")
     rows = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    merged_type = f"{PIECES}, tokens long, distinct long, most binary"
-    pieces = rows.mapInArrow(count_unigrams(bits), PIECES)
-    # a shard can hold 64 contexts of note at most: those with over a 64th of what a shard has on average
-    unigrams = materialize(pieces.groupBy("shard").applyInArrow(merge_unigrams(1024), merged_type), "unigrams")
-    tokens, distinct = (int(x or 0) for x in unigrams.agg(F.sum("tokens"), F.sum("distinct")).first())
+    pieces = rows.mapInArrow(count_unigrams(log2_shards(text_parts(rows))), PIECES)
+    unigrams = materialize(pieces.groupBy("shard").applyInArrow(merge_unigrams(1024), PIECES), "unigrams")
+    tokens, distinct = (int(x or 0) for x in unigrams.where("kind = 'count'").agg(F.sum(F.element_at("stats", 1)), F.sum(F.element_at("stats", 2))).first())
+    bits = log2_shards(tokens / SHARD_TOKENS)
     share = max(tokens / (1 << bits) / 8, 1024)
 
     def hottest(batches):
@@ -371,68 +437,73 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["u"])
 
     # at most 8 * 2**bits words reach that share
-    found = [r[0] for r in unigrams.select("most").mapInArrow(hottest, "u long").collect()]
+    found = [r[0] for r in unigrams.where("kind = 'hot'").select("data").mapInArrow(hottest, "u long").collect()]
     hot = np.unique(np.append(np.array(found, np.int64).view(np.uint64), START)).astype(np.uint64)
-    bigrams = rows.mapInArrow(count_bigrams(bits, hot), PIECES)
-    parts = materialize(bigrams.groupBy("shard").applyInArrow(merge_bigrams(uri, bits, hot), PIECES), "bigrams")
-    sums = [*(f"b{k}" for k in range(1, 5)), *(f"m{k}" for k in range(1, 5)), "m_more", "total"]
-    ended = parts.union(unigrams.select("shard", "kind", "data")).groupBy("shard").applyInArrow(merge_words(uri), ", ".join(f"{x} long" for x in sums))
-    *counts, more, total = (int(x or 0) for x in ended.agg(*[F.sum(x) for x in sums]).first())
-    high, low = discounts(*counts[:4]), discounts(*counts[4:8])
-    low_mass = float(low[1] * counts[4] + low[2] * counts[5] + low[3] * more) / total if total else 1.0
-    return Model(uri, bits, hot, tokens, distinct, high, low, total, low_mass)
+    model, stats = Model(uri, order, bits, hot, tokens, distinct), []
+    todo, spent = rows.mapInArrow(count_grams(order, bits, hot), PIECES), []
+    for n in range(order, 0, -1):
+        if n == 1:
+            todo = todo.union(unigrams.where("kind = 'count'").select("data").mapInArrow(cut_again(bits), PIECES))
+        parts = materialize(todo.groupBy("shard").applyInArrow(merge_level(n, order, uri, bits, hot), PIECES), f"level{n}")
+        discard(*spent)
+        stats, model.shards[n] = level_stats(parts)
+        model.discounts[n] = discounts(*stats[:4])
+        todo, spent = parts.where("kind <> 'stats'"), [parts]
+    discard(*spent, unigrams)
+    ones, twos, _, _, more, total = stats
+    low = model.discounts[1]
+    mass = float(low[1] * ones + low[2] * twos + low[3] * more) / total if total else 1.0
+    return Model(uri, order, bits, hot, tokens, distinct, total, mass, model.discounts, model.shards)
 
 
 class Scorer:
-    """Looks up words and bigrams in a model's mapped files."""
+    """Looks up n-grams in a model's mapped files."""
 
     def __init__(self, model: Model):
         self.model, self.folder = model, Folder(model.uri)
-        self.files: dict[str, tuple | None] = {}
-
-    def file(self, name: str, words: bool):
-        if name not in self.files:
-            raw = self.folder.mapped(name)
-            if raw is None:
-                self.files[name] = None
-            else:
-                n = len(raw) // (8 + (8 * WORD_FIELDS if words else 4))
-                keys, rest = raw[: 8 * n].view("<u8"), raw[8 * n :]
-                self.files[name] = (keys, rest.view("<u8").reshape(WORD_FIELDS, n) if words else rest.view("<u4").reshape(1, n))
-        return self.files[name]
-
-    def lookup(self, kind: str, keys: np.ndarray, width: int) -> np.ndarray:
-        """Fields of ascending distinct keys; zeros for those that aren't there."""
-        out = np.zeros((width, len(keys)), np.uint64)
-        for shard, s in by_shard(keys, self.model.bits):
-            if (found := self.file(f"{kind}-{shard}", kind == "words")) is not None:
-                own, fields = found
-                at = np.minimum(np.searchsorted(own, keys[s]), len(own) - 1)
-                here = np.flatnonzero(own[at] == keys[s])
-                for k in range(width):
-                    out[k, s.start + here] = fields[k, at[here]]
-        return out
+        self.files: dict[tuple[int, int], tuple] = {}
+
+    def lookup(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """Fields of n-grams by key; zeros for those that aren't there."""
+        own, place = np.unique(keys, return_inverse=True)
+        fields = width(n, self.model.order)
+        out = np.zeros((fields, len(own)))
+        for shard, s in by_shard(own, self.model.bits):
+            if (n, shard) not in self.files:
+                at = np.searchsorted(self.model.shards[n], shard)
+                there = at < len(self.model.shards[n]) and self.model.shards[n][at] == shard
+                self.files[n, shard] = self.folder.columns(f"level{n}-{shard}", fields) if there else (np.zeros(0, np.uint64), [])
+            known, columns = self.files[n, shard]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own[s]), len(known) - 1)
+                here = np.flatnonzero(known[at] == own[s])
+                for k, column in enumerate(columns):
+                    out[k, s.start + here] = column[at[here]]
+        return out[:, place]
 
     def score(self, h: np.ndarray, row: np.ndarray, rows: int):
         """(n_tokens, n_known, base score, score) of each row."""
         m = self.model
-        tokens, before, row = token_rows(h, row, rows)
-        words, place = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        fields = self.lookup("words", words, WORD_FIELDS).astype(np.float64)
-        w, u = place[: len(tokens)], place[len(tokens) :]
-        counts = fields[0]
+        words, row = token_grams(h, row, rows, m.order)
+        size = len(row)
+        fields = self.lookup(1, np.concatenate([words[-1], words[-2]]))
+        counts, n = fields[5, :size], fields[0, :size]
         base = np.log10((counts + DELTA) / (m.tokens + DELTA * (m.distinct + 1)))
-        n = fields[1]
-        lowest = m.low_mass / (m.distinct + 1)
-        p1 = lowest + np.maximum(n - m.low[np.minimum(n, 3).astype(int)], 0) / max(m.total, 1)
-        total = np.maximum(fields[2], 1)
-        mass = np.where(fields[2] > 0, (m.high[1:, None] * fields[3:]).sum(axis=0) / total, 1.0)
-        key = bigram_keys(before, tokens, m.hot, m.bits)
-        distinct, which = np.unique(key, return_inverse=True)
-        c = self.lookup("bigrams", distinct, 1)[0].astype(np.float64)[which]
-        p = np.maximum(c - m.high[np.minimum(c, 3).astype(int)], 0) / total[u] + mass[u] * p1[w]
+        p = m.low_mass / (m.distinct + 1) + np.maximum(n - m.discounts[1][np.minimum(n, 3).astype(int)], 0) / max(m.total, 1)
+        context = fields[1:5, size:]
+        for k in range(2, m.order + 1):
+            grams = placed(words[-k:], m.hot, m.bits)
+            if k < m.order:
+                fields = self.lookup(k, np.concatenate([grams, placed(words[-k - 1 : -1], m.hot, m.bits)]))
+            else:
+                fields = self.lookup(k, grams)
+            c, d = fields[0, :size], m.discounts[k]
+            total = np.maximum(context[0], 1)
+            mass = np.where(context[0] > 0, (d[1:, None] * context[1:]).sum(axis=0) / total, 1.0)
+            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / total + mass * p
+            context = fields[1:5, size:]
         sums = lambda x: np.bincount(row, x, rows)
-        return np.bincount(row, minlength=rows), sums(counts[w] > 0).astype(np.int64), sums(base[w]), sums(np.log10(p))
+        return np.bincount(row, minlength=rows), sums(counts > 0).astype(np.int64), sums(base), sums(np.log10(p))
 
 
 def score(docs: DataFrame, model: Model, columns: list[Column | str], text: str = "text") -> DataFrame:
@@ -458,8 +529,8 @@ def score(docs: DataFrame, model: Model, columns: list[Column | str], text: str
     return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
-def held_out_scores(docs: DataFrame) -> DataFrame:
+def held_out_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores of all texts by a model of those whose id remainder modulo 10 isn't 0."""
     held = id_remainder(F.col("doc_id"), 10) == 0
-    model = fit(docs.where(~held))
+    model = fit(docs.where(~held), order=order)
     return score(docs, model, [F.col("doc_id"), held.alias("held_out")])

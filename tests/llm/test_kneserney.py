@@ -13,42 +13,43 @@ from concord.llm.words import ascii_lower_words, hashed_blocks
 class Plain:
     """The model by dictionaries."""
 
-    def __init__(self, texts):
-        self.c, self.bi = collections.Counter(), collections.Counter()
+    def __init__(self, texts, order=k.ORDER):
+        self.order, self.c, top = order, collections.Counter(), collections.Counter()
         for t in texts:
             w = self.tokens(t)
             self.c.update(w)
-            self.bi.update(zip([b"<s>", *w], w))
+            top.update(self.grams(w))
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.before = collections.Counter(v for _, v in self.bi)
+        self.counts = {order: top}
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = collections.Counter(g[1:] for g in self.counts[n + 1])
+        self.d = {n: k.discounts(*(sum(x == i for x in c.values()) for i in (1, 2, 3, 4))) for n, c in self.counts.items()}
         self.total, self.follow = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-        for (u, _), c in self.bi.items():
-            self.total[u] += c
-            self.follow[u][min(c, 3) - 1] += 1
-        of = lambda counts: k.discounts(*(sum(x == i for x in counts) for i in (1, 2, 3, 4)))
-        self.high, self.low = of(self.bi.values()), of(self.before.values())
-        self.types = len(self.bi)
-        self.mass = sum(self.low[min(x, 3)] for x in self.before.values()) / self.types if self.types else 1.0
+        for counts in self.counts.values():
+            for g, c in counts.items():
+                self.total[g[:-1]] += c
+                self.follow[g[:-1]][min(c, 3) - 1] += 1
 
     @staticmethod
     def tokens(text):
         return [*(text or "").encode().lower().split(), b"</s>"]
 
-    def one(self, w):
-        n = self.before[w]
-        return (max(n - self.low[min(n, 3)], 0) / self.types if self.types else 0) + self.mass / (self.v + 1)
+    def grams(self, w):
+        padded = [b"<s>"] * (self.order - 1) + w
+        return [tuple(padded[i : i + self.order]) for i in range(len(w))]
 
-    def p(self, u, w):
-        if not self.total[u]:
-            return self.one(w)
-        g = sum(self.high[i + 1] * self.follow[u][i] for i in range(3)) / self.total[u]
-        c = self.bi[u, w]
-        return max(c - self.high[min(c, 3)], 0) / self.total[u] + g * self.one(w)
+    def p(self, gram):
+        n = len(gram)
+        lower = self.p(gram[1:]) if n > 1 else 1 / (self.v + 1)
+        if not (total := self.total[gram[:-1]]):
+            return lower
+        d, c = self.d[n], self.counts[n][gram]
+        return max(c - d[min(c, 3)], 0) / total + sum(d[i + 1] * x for i, x in enumerate(self.follow[gram[:-1]])) / total * lower
 
     def row(self, text):
         w = self.tokens(text)
         base = sum(math.log10((self.c[x] + 0.1) / (self.n + 0.1 * (self.v + 1))) for x in w)
-        return len(w), sum(self.c[x] > 0 for x in w), self.n, base, sum(math.log10(self.p(u, x)) for u, x in zip([b"<s>", *w], w))
+        return len(w), sum(self.c[x] > 0 for x in w), self.n, base, sum(math.log10(self.p(g)) for g in self.grams(w))
 
 
 TEXTS = ["the cat sat", "The CAT ran  fast", "the dog sat\ton the mat", "a b a b a b a b", "the the the the", "", None, "é x é y", "the cat sat", "unique words only here", "the cat and the dog and the cat"] * 2
@@ -63,17 +64,18 @@ def check(rows, plain, texts):
         assert r["perplexity"] == pytest.approx(10 ** (-score / n))
 
 
-def scored(spark, train, texts, monkeypatch=None):
+def scored(spark, train, texts, order=k.ORDER):
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(train)], "doc_id long, text string, score double").repartition(3)
     asked = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
-    model = k.fit(docs)
+    model = k.fit(docs, order=order)
     return model, k.score(asked, model, ["doc_id"]).orderBy("doc_id").collect()
 
 
-def test_scores_match_plain_counts(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_match_plain_counts(spark, order):
     asked = [*TEXTS, "never seen words", "the unseen cat", "x" * 5000, "the " * 20_000]
-    model, rows = scored(spark, TEXTS, asked)
-    check(rows, Plain(TEXTS), asked)
+    model, rows = scored(spark, TEXTS, asked, order)
+    check(rows, Plain(TEXTS, order), asked)
     assert (model.tokens, model.distinct) == (Plain(TEXTS).n, Plain(TEXTS).v)
 
 
@@ -90,8 +92,8 @@ def test_flushes_and_hot_contexts_change_nothing(spark, monkeypatch):
 def test_probabilities_add_up_to_one(spark):
     model, _ = scored(spark, TEXTS, ["a"])
     plain = Plain(TEXTS)
-    for u in [b"<s>", b"the", b"cat", b"nowhere"]:
-        assert sum(plain.p(u, w) for w in plain.c) + plain.p(u, b"unknown") == pytest.approx(1)
+    for context in [(b"<s>", b"<s>"), (b"<s>", b"the"), (b"the", b"cat"), (b"nowhere", b"the"), (b"no", b"where")]:
+        assert sum(plain.p((*context, w)) for w in plain.c) + plain.p((*context, b"unknown")) == pytest.approx(1)
     scorer = k.Scorer(model)
     words = [w for w in plain.c if w != b"</s>"]
     text = [f"the {w.decode()}" for w in words]
@@ -100,6 +102,29 @@ def test_probabilities_add_up_to_one(spark):
     assert np.allclose(both, [plain.row(t)[4] for t in text])
 
 
+def test_a_corpus_of_copies_scores_nothing_as_impossible(spark):
+    """Copies leave no n-gram that came once, and counts of counts from which plain discounts are zero."""
+    train = ["all of these words come often"] * 9 + ["some of these come too"] * 5 + ["x y"] * 4
+    asked = [*dict.fromkeys(train), "often words", "x unseen y", "too x", ""]
+    _, rows = scored(spark, train, asked)
+    assert all(math.isfinite(r["score"]) and math.isfinite(r["perplexity"]) for r in rows)
+    plain = Plain(train)
+    check(rows, plain, asked)
+    for context in [(b"<s>", b"<s>"), (b"of", b"these"), (b"these", b"words")]:
+        assert sum(plain.p((*context, w)) for w in plain.c) + plain.p((*context, b"unknown")) == pytest.approx(1)
+    for counts in ((10, 1, 1, 100), (0, 0, 0, 0), (0, 5, 0, 1), (1, 0, 0, 0), (1, 10**9, 10**9, 10**9)):
+        d = k.discounts(*counts)
+        assert all(0 < x < n for n, x in enumerate(d[1:], 1))
+
+
+def test_counts_have_no_cap(tmp_path):
+    folder = k.Folder(f"file://{tmp_path}")
+    keys, counts = np.array([3, 9], np.uint64), np.array([2**40, 1], np.uint64)
+    folder.write("level3-0", keys, counts)
+    own, (column,) = folder.columns("level3-0", 1)
+    assert own.tolist() == [3, 9] and column.tolist() == [2**40, 1]
+
+
 def test_no_training_texts(spark):
     _, rows = scored(spark, [], ["a b", "", None])
     assert [(r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows] == [(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)]
@@ -114,15 +139,25 @@ def test_packed_arrays():
         assert b.tolist() == x
 
 
-def test_files_through_other_stores(tmp_path, monkeypatch):
+def test_files_through_other_stores(tmp_path):
     folder = k.Folder(f"file://{tmp_path}")
     other = k.Folder(f"file://{tmp_path}")
     other.local = None  # as if it were no local path
-    other.write("words-1", np.arange(5, dtype=np.uint64))
-    monkeypatch.setattr(k.tempfile, "gettempdir", lambda: str(tmp_path / "own"))
-    (tmp_path / "own").mkdir()
-    assert folder.mapped("words-1").view("<u8").tolist() == other.mapped("words-1").view("<u8").tolist() == [0, 1, 2, 3, 4]
-    assert folder.mapped("none") is None and other.mapped("none") is None
+    other.write("words-1", np.arange(5, dtype=np.uint64), np.arange(300, 305, dtype=np.uint64))
+    for f in (folder, other):
+        keys, (column,) = f.columns("words-1", 1)
+        assert keys.tolist() == [0, 1, 2, 3, 4] and column.tolist() == [300, 301, 302, 303, 304]
+        with pytest.raises(OSError):
+            f.mapped("none")
+
+
+def test_a_missing_file_is_an_error(spark):
+    model, _ = scored(spark, TEXTS, ["a"])
+    for shard in model.shards[3]:
+        k.os.remove(f"{k.Folder(model.uri).local}/level3-{shard}")
+    (_, _, h, row), = hashed_blocks(pa.array(["the cat sat"]), ascii_lower_words())
+    with pytest.raises(OSError):
+        k.Scorer(model).score(h, row, 1)
 
 
 def test_query_against_plain_counts(spark):
