@@ -161,12 +161,12 @@ def test_a_missing_file_is_an_error(spark):
 
 
 def test_query_against_plain_counts(spark):
-    from concord.llm.queries import op4_kneser_ney
+    from concord.llm.queries import OP4_ORDER, op4_kneser_ney
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    plain = Plain([r["text"] for r in docs if not held(r["doc_id"])])
+    plain = Plain([r["text"] for r in docs if not held(r["doc_id"])], OP4_ORDER)
     rows = op4_kneser_ney(spark, d).orderBy("doc_id").collect()
     check(rows, plain, [r["text"] for r in docs])
     assert all(r["held_out"] == held(r["doc_id"]) for r in rows)
