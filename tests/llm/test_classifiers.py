@@ -50,21 +50,111 @@ def test_ftrl_learns_and_stays_sparse():
     assert s[0] > 0.5 > s[1] and 0 < s[2] < 1 and (w != 0).sum() < 500
 
 
-def test_machine_learns_pairs_that_a_linear_model_misses():
-    """Label 1 only where an insult meets a group's name."""
+def linear_accuracy(rows, labels):
+    """Share of rows that a logistic regression on the same terms, fitted to the end, gets right."""
+    terms = np.unique(np.concatenate([ids for ids, _ in rows]))
+    X = np.zeros((len(rows), len(terms)))
+    for i, (ids, values) in enumerate(rows):
+        X[i, np.searchsorted(terms, ids)] = values
+    w, b = np.zeros(len(terms)), 0.0
+    for _ in range(400):
+        g = 1 / (1 + np.exp(-np.clip(X @ w + b, -30, 30))) - labels
+        w, b = w - 2.0 * X.T @ g / len(rows), b - 2.0 * g.mean()
+    return float(((X @ w + b > 0) == labels).mean())
+
+
+def test_machine_learns_exclusive_pairs_that_a_linear_model_misses():
+    """Label 1 where exactly one of two words stands: neither has an effect of its own."""
     rng = random.Random(3)
-    rows, labels = [], []
+    texts, labels = [], []
     for _ in range(3000):
         words = rng.choices([f"w{k}" for k in range(30)], k=10)
-        insult, group = rng.random() < 0.4, rng.random() < 0.4
-        rows.append(" ".join(words + ["insult"] * insult + ["people"] * group))
-        labels.append(int(insult and group))
-    machine = x.fit_machine(list(x.term_rows(pa.array(rows))), np.array(labels, float), x.MachineSettings(epochs=20))
-    s = x.score_array(pa.array(["w1 insult w2 people", "w1 insult w2", "people w3", "w4", "", None]), machine).to_numpy()
-    assert s[0] > 0.7 and max(s[1:]) < 0.6 and s[4] == s[5]
-    single = x.Machine(machine.terms, machine.w0, machine.w, np.zeros_like(machine.v))
-    linear = x.score_array(pa.array(["w1 insult w2 people"]), single).to_numpy()
-    assert s[0] > linear[0]
+        first, second = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join(words + ["insult"] * first + ["people"] * second))
+        labels.append(float(first != second))
+    rows, labels = list(x.term_rows(pa.array(texts))), np.array(labels)
+    (own,) = x.term_rows(pa.array(["insult people"]))
+    assert not np.isin(own[0], x.screen(rows, labels, x.MachineSettings())).any()
+    machine = x.fit_machine(rows, labels)
+    assert np.isin(own[0], machine.terms).any()
+    s = x.score_array(pa.array(texts), machine).to_numpy()
+    assert ((s > 0.5) == labels).mean() > 0.97 and linear_accuracy(rows, labels) < 0.65
+    a, b, c, d = x.score_array(pa.array(["w1 insult w2", "w3 people", "insult w4 people", "w5 w6"]), machine).to_numpy()
+    assert min(a, b) > 0.7 > 0.4 > max(c, d)
+
+
+@pytest.mark.parametrize("kinds", [40, 80])
+def test_many_rare_words_that_matter_together(kinds):
+    """Label 1 only where one of many insults meets one of many group names."""
+    rng = random.Random(5)
+
+    def text():
+        words = rng.choices([f"w{k}" for k in range(500)], k=20)
+        insult, group = rng.random() < 0.45, rng.random() < 0.45
+        return " ".join(words + [f"zi{rng.randrange(kinds)}q"] * insult + [f"gr{rng.randrange(kinds)}v"] * group), float(insult and group)
+
+    train, held = [text() for _ in range(10_000)], [text() for _ in range(1500)]
+    machine = x.fit_machine(list(x.term_rows(pa.array([t for t, _ in train]))), np.array([y for _, y in train]))
+    s = x.score_array(pa.array([t for t, _ in held]), machine).to_numpy() >= x.THRESHOLD
+    y = np.array([y for _, y in held]) == 1
+    assert s[y].mean() > 0.8 and s[~y].mean() < 0.05, (s[y].mean(), s[~y].mean())
+
+
+def test_machine_fit_matches_plain_updates():
+    """AdaGrad on the logistic loss of the machine's formula, one number at a time."""
+    rng = np.random.default_rng(6)
+    rows = [(np.unique(rng.integers(0, 12, 5)).astype(np.int32), None) for _ in range(40)]
+    rows = [(ids, rng.uniform(0.5, 2, len(ids)).astype(np.float32)) for ids, _ in rows]
+    labels, settings, terms = rng.integers(0, 2, 40).astype(float), x.MachineSettings(factors=3, epochs=3), np.arange(10)
+    got = x.fit_terms(rows, labels, terms, settings)
+    share, w0, g0 = labels.mean(), settings.start, 1.0
+    w, gw = dict.fromkeys(range(10), 0.0), dict.fromkeys(range(10), 1.0)
+    start = np.random.default_rng(7).normal(0, 0.02, (10, 3))
+    v, gv = {(i, f): start[i, f] for i in range(10) for f in range(3)}, {(i, f): 1.0 for i in range(10) for f in range(3)}
+    for epoch in range(3):
+        for r in np.random.default_rng(epoch).permutation(40):
+            own = [(int(i), float(value)) for i, value in zip(*rows[r]) if i < 10]
+            raw = w0 + sum(w[i] * p for i, p in own) + sum(v[i, f] * v[j, f] * p * q_ for k, (i, p) in enumerate(own) for j, q_ in own[:k] for f in range(3))
+            g = (1 / (1 + np.exp(-raw)) - labels[r]) * (0.5 / share if labels[r] else 0.5 / (1 - share))
+            sums = [sum(v[i, f] * p for i, p in own) for f in range(3)]
+            g0 += g * g
+            w0 -= settings.slow * settings.rate * g / g0**0.5
+            for i, p in own:
+                d = g * p + settings.l2 * w[i]
+                gw[i] += d * d
+                w[i] -= settings.rate * d / gw[i] ** 0.5
+                for f in range(3):
+                    d = g * p * (sums[f] - v[i, f] * p) + settings.l2 * v[i, f]
+                    gv[i, f] += d * d
+                    v[i, f] -= settings.rate * d / gv[i, f] ** 0.5
+    assert got.w0 == pytest.approx(w0) and np.allclose(got.w, list(w.values())) and np.allclose(got.v.ravel(), list(v.values()))
+
+
+def test_ftrl_matches_plain_updates():
+    """Per-coordinate FTRL-proximal, one weight at a time in a dictionary."""
+    rng = np.random.default_rng(8)
+    rows = [(ids := np.unique(rng.integers(0, 30, 6)).astype(np.int32), rng.uniform(0.1, 3, len(ids)).astype(np.float32)) for _ in range(60)]
+    labels, s = rng.integers(0, 2, 60).astype(float), q.FtrlSettings(epochs=3)
+    z, n, bias = {}, {}, 1 << q.BITS
+
+    def weight(i):
+        l1 = 0 if i == bias else s.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -np.sign(z[i]) * (abs(z[i]) - l1) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for (ids, values), y in zip(rows, labels, strict=True):
+            own = [*zip(ids.tolist(), values.tolist()), (bias, 1.0)]
+            w = {i: weight(i) for i, _ in own}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in own)))
+            for i, v in own:
+                g = (p - y) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = q.fit_ftrl(rows, labels, s)
+    assert np.allclose(got[[*range(30), bias]], [weight(i) for i in [*range(30), bias]]) and not got[30:-1].any()
 
 
 def test_machine_scores_match_the_formula():
