@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, lower-cased.  A document and a benchmark item
-are joined on shared seeds of ``MIN_MATCH`` words; an item goes on if its words under
+Words are runs of letters, marks and digits of any script, lower-cased and composed.  A
+document and a benchmark item are joined on shared seeds of ``MIN_MATCH`` words; an item goes on if its words under
 shared seeds could reach the threshold (no tile covers others).  Tiling then marks
 the longest common unmarked runs again and again, found by running Karp-Rabin
 hashes of falling length, and the item's share of marked words decides, so passages
@@ -11,8 +11,12 @@ The benchmark is read in blocks of at most ``BLOCK_TEXT`` bytes of text, each
 broadcast for one pass over the documents; nothing else is sent to all executors.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than
-``MIN_MATCH`` words matches only documents with exactly its words; repeated
-documents or items each match; empty tables give no rows.
+``MIN_MATCH`` words matches documents that hold all of it in one piece, and one of fewer
+than ``PHRASE`` words, a name rather than a passage, only documents with exactly its
+words; repeated documents or items each match, and ties between matches of one length go
+to the earliest in the item; empty tables give no rows; texts are searched whole, in
+blocks of rows of 1 MB or of one longer text, and pairs of matches in bounded pieces;
+extra columns are kept and never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.store import opened, shared
-from concord.llm.words import alphanumeric_words, hashed_blocks, pair_hash, release
+from concord.llm.words import alphanumeric_words, blocks, hashed_blocks, pair_hash, release, string_parts
 
 #: Words of a seed and of the shortest tile; share of an item's words from which a document is contaminated.
 MIN_MATCH, THRESHOLD = 5, 0.5
+#: Words from which a shorter item counts wherever it stands.
+PHRASE = 3
 BLOCK_TEXT = 8 << 20
+#: Pairs of windows that are held at once.
+PAIRS = 1 << 20
 #: Window length with which tiling starts.
 START_LENGTH = 20
 KR_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,64 +53,146 @@ def word_grams(h: np.ndarray, n: int) -> np.ndarray:
     return g
 
 
-def window_hashes(x: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin hash of each window, from running sums."""
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.append(np.uint64(1), np.full(len(x) - 1, KR_BASE)))
-        inverse = np.cumprod(np.append(np.uint64(1), np.full(len(x) - 1, KR_INVERSE)))
-        sums = np.append(np.uint64(0), np.cumsum(x * powers))
-        return (sums[length:] - sums[:-length]) * inverse[: len(x) - length + 1]
-
-
-def free_windows(marked: np.ndarray, length: int) -> np.ndarray:
-    """Starts of windows without a marked entry."""
-    sums = np.append(0, np.cumsum(marked))
-    return np.flatnonzero(sums[length:] == sums[:-length])
-
-
-def longest_matches(a, b, marked_a, marked_b, length):
-    """(start in a, start in b, size) of left-maximal unmarked common runs of ``length`` at least."""
-    if len(a) < length or len(b) < length:
-        return np.zeros((0, 3), np.int64)
-    wa, wb = free_windows(marked_a, length), free_windows(marked_b, length)
-    if not len(wa) or not len(wb):
-        return np.zeros((0, 3), np.int64)
-    ha, hb = window_hashes(a, length)[wa], window_hashes(b, length)[wb]
-    order = np.argsort(ha, kind="stable")
-    ha, wa = ha[order], wa[order]
-    left, right = np.searchsorted(ha, hb, "left"), np.searchsorted(ha, hb, "right")
-    counts = right - left
-    j = np.repeat(wb, counts)
-    i = wa[np.repeat(left, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    ia, jb = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-    inner = (i > 0) & (j > 0) & (a[ia] == b[jb]) & ~marked_a[ia] & ~marked_b[jb]
-    i, j = i[~inner], j[~inner]
+def word_blocks(texts: pa.Array):
+    """``hashed_blocks`` of texts whose letters of any script are lower-cased and composed, and whose marks of any script separate words."""
+    offsets, _ = string_parts(texts)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    for first, last in blocks(offsets):
+        own = pc.fill_null(texts.slice(first, last - first), "")
+        if not pc.all(pc.string_is_ascii(own)).as_py():
+            own = pc.utf8_lower(pc.utf8_normalize(own, "NFC"))
+            own = pc.replace_substring_regex(own, r"[^\p{L}\p{M}\p{N}]+", " ")
+        for a, b, h, row in hashed_blocks(own, alphanumeric_words(), offsets[last] - offsets[first] << 2):
+            yield first + a, first + b, h, row
+
+
+class RunningHashes:
+    """Karp-Rabin hashes of any window of a sequence, from running sums."""
+
+    def __init__(self, x: np.ndarray):
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.append(np.uint64(1), np.full(len(x), KR_BASE)))
+            self.inverse = np.cumprod(np.append(np.uint64(1), np.full(len(x), KR_INVERSE)))
+            self.sums = np.append(np.uint64(0), np.cumsum(x * powers[:-1]))
+
+    def windows(self, at: np.ndarray, length) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
+
+
+def free_lengths(marked: np.ndarray) -> np.ndarray:
+    """Entries from each place on up to the next marked one or the end."""
+    n = len(marked)
+    stops = np.where(marked, np.arange(n), n)
+    return np.minimum.accumulate(stops[::-1])[::-1] - np.arange(n)
+
+
+def common_lengths(ka: RunningHashes, kb: RunningHashes, i, j, most) -> np.ndarray:
+    """Length of the common run from i and j on, up to ``most``: by halving steps."""
     size = np.zeros(len(i), np.int64)
-    on = np.arange(len(i))
-    while len(on):  # compares the words themselves, so equal hashes of unequal windows fall out
-        p, q = i[on] + size[on], j[on] + size[on]
-        fits = (p < len(a)) & (q < len(b))
-        on, p, q = on[fits], p[fits], q[fits]
-        same = (a[p] == b[q]) & ~marked_a[p] & ~marked_b[q]
-        on = on[same]
-        size[on] += 1
-    return np.stack([i, j, size], axis=1)[size >= length]
+    step = 1 << max(int(most.max()).bit_length() - 1, 0) if len(i) else 0
+    while step:
+        on = np.flatnonzero(size + step <= most)
+        same = ka.windows(i[on], size[on] + step) == kb.windows(j[on], size[on] + step)
+        size[on[same]] += step
+        step >>= 1
+    return size
+
+
+def before_each(x: np.ndarray, marked: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Number of the entry before each place among ``symbols``; -1 where there is none, or it is marked or no symbol."""
+    last = np.maximum(at - 1, 0)
+    place = np.minimum(np.searchsorted(symbols, x[last]), len(symbols) - 1)
+    return np.where((at > 0) & ~marked[last] & (symbols[place] == x[last]), place, -1)
+
+
+def matches(a, b, marked_a, marked_b, length, hashes):
+    """(number of pairs, function that gives them in pieces): arrays (start in a, start in b, size) of left-maximal unmarked common runs of ``length`` at least.
+
+    Only pairs of windows after different entries are formed, so a text that repeats
+    itself gives about as many as it has words.  Pieces hold about ``PAIRS`` pairs.
+    """
+    free_a, free_b = free_lengths(marked_a), free_lengths(marked_b)
+    wa, wb = np.flatnonzero(free_a >= length), np.flatnonzero(free_b >= length)
+    ka, kb = hashes
+    kinds, hb = np.unique(ka.windows(wa, length)), kb.windows(wb, length)
+    if len(kinds):
+        class_b = np.minimum(np.searchsorted(kinds, hb), len(kinds) - 1)
+        wb, class_b = wb[kinds[class_b] == hb], class_b[kinds[class_b] == hb]
+    if not len(kinds) or not len(wb):
+        return 0, lambda: iter(())
+    symbols = np.unique(a)
+    many = len(symbols) + 1
+    code = np.searchsorted(kinds, ka.windows(wa, length)) * many + before_each(a, marked_a, wa, symbols) + 1
+    order = np.argsort(code, kind="stable")
+    wa, code = wa[order], code[order]
+    before_b = before_each(b, marked_b, wb, symbols)
+    left, right = np.searchsorted(code, class_b * many), np.searchsorted(code, (class_b + 1) * many)
+    # windows after the same entry go on to the left: they are left out
+    cut = np.where(before_b >= 0, np.searchsorted(code, class_b * many + before_b + 1), right)
+    after = np.where(before_b >= 0, np.searchsorted(code, class_b * many + before_b + 2), right)
+    counts = cut - left + right - after
+    ends = np.cumsum(counts)
+
+    def pieces():
+        from_ = 0
+        while from_ < len(wb):
+            to = max(from_ + 1, int(np.searchsorted(ends, (ends[from_ - 1] if from_ else 0) + PAIRS, "right")))
+            n = counts[from_:to]
+            which = np.repeat(np.arange(from_, to), n)
+            k = left[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            k += np.where(k >= cut[which], after[which] - cut[which], 0)
+            i, j = wa[k], wb[which]
+            size = common_lengths(ka, kb, i, j, np.minimum(free_a[i], free_b[j]))
+            on = size >= length
+            yield i[on], j[on], size[on]
+            from_ = to
+
+    return int(ends[-1]), pieces
 
 
 def tile(a: np.ndarray, b: np.ndarray, stops: np.ndarray, min_match: int = MIN_MATCH) -> tuple[np.ndarray, int]:
-    """Marks of ``a`` after greedy string tiling with ``b`` (``stops``: entries of b that never match), and the number of tiles."""
+    """Marks of ``a`` after greedy string tiling with ``b`` (``stops``: entries of b that never match), and the number of tiles.
+
+    Of up to ``PAIRS`` pairs of windows all matches are marked, the longest first.  Of
+    more, only the longest are, found in one sweep and marked in a second.
+    """
     marked_a, marked_b, tiles = np.zeros(len(a), bool), stops.copy(), 0
-    length = max(min_match, min(START_LENGTH, len(a)))
+    length, hashes = max(min_match, min(START_LENGTH, len(a))), (RunningHashes(a), RunningHashes(b))
+
+    def mark(i, j, size):
+        # the words themselves are compared, so equal hashes of unequal windows fall out
+        if marked_a[i : i + size].any() or marked_b[j : j + size].any() or (a[i : i + size] != b[j : j + size]).any():
+            return False
+        marked_a[i : i + size] = marked_b[j : j + size] = True
+        return True
+
     while True:
-        found = longest_matches(a, b, marked_a, marked_b, length)
-        if len(found) and found[:, 2].max() > 2 * length:
-            length = int(found[:, 2].max())
-            continue
-        fresh = False
-        for i, j, size in found[np.lexsort((found[:, 1], found[:, 0], -found[:, 2]))]:
-            if not marked_a[i : i + size].any() and not marked_b[j : j + size].any():
-                marked_a[i : i + size] = marked_b[j : j + size] = True
-                tiles, fresh = tiles + 1, True
+        number, pieces = matches(a, b, marked_a, marked_b, length, hashes)
+        fresh = 0
+        if number <= PAIRS:
+            found = list(pieces())
+            i, j, size = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(3))
+            if len(size) and size.max() > 2 * length:
+                length = int(size.max())
+                continue
+            for k in np.lexsort((j, i, -size)).tolist():
+                fresh += mark(int(i[k]), int(j[k]), int(size[k]))
+        else:
+            longest = max((int(size.max()) for *_, size in pieces() if len(size)), default=0)
+            if longest > 2 * length:
+                length = longest
+                continue
+            for i, j, size in pieces() if longest else ():
+                i, j = i[size == longest], j[size == longest]
+                starts = np.flatnonzero(np.append(True, j[1:] != j[:-1])) if len(j) else []
+                for k, end in zip(starts, np.append(starts[1:], len(j)), strict=True) if len(j) else ():
+                    taken = np.append(0, np.cumsum(marked_a))
+                    own = i[k:end]
+                    for x in own[taken[own + longest] == taken[own]][:1].tolist():
+                        fresh += mark(x, int(j[k]), longest)
+        tiles += fresh
         if fresh:
             continue  # runs that were cut short may still be of this length
         if length == min_match or marked_a.all():
@@ -116,7 +206,7 @@ class BenchmarkBlock:
     def __init__(self, ids: list, texts: list, min_match: int = MIN_MATCH, threshold: float = THRESHOLD):
         self.ids, self.min_match, self.threshold = ids, min_match, threshold
         words: list[np.ndarray] = []
-        for first, last, h, row in hashed_blocks(pa.array(texts, pa.string()), alphanumeric_words()):
+        for first, last, h, row in word_blocks(pa.array(texts, pa.string())):
             cuts = np.searchsorted(row, np.arange(last - first + 1))
             words += [h[cuts[i] : cuts[i + 1]] for i in range(last - first)]
         self.words = words
@@ -127,10 +217,13 @@ class BenchmarkBlock:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.item, self.place = seeds[order], item[order], place[order]
         self.sizes = np.array([len(w) for w in words], np.int64)
-        self.short: dict[bytes, list[int]] = {}
+        self.short: dict[bytes, list[int]] = {}  # items that only whole documents match
+        self.phrases: dict[int, dict[int, list[int]]] = {}  # by length and hash, items that match wherever they stand
         for i, w in enumerate(words):
-            if 0 < len(w) < min_match:
+            if 0 < len(w) < min(min_match, PHRASE):
                 self.short.setdefault(w.tobytes(), []).append(i)
+            elif 0 < len(w) < min_match:
+                self.phrases.setdefault(len(w), {}).setdefault(int(word_grams(w, len(w))[0]), []).append(i)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.seeds >> np.uint64(44)] = True
 
@@ -161,10 +254,16 @@ class BenchmarkBlock:
 
     def search(self, texts: pa.Array):
         """(row, item index, words marked, tiles) of all contaminated texts."""
-        for first, last, h, row in hashed_blocks(texts, alphanumeric_words()):
+        for first, last, h, row in word_blocks(texts):
             cuts = np.searchsorted(row, np.arange(last - first + 1))
+            for n, items in self.phrases.items():
+                grams = word_grams(h, n)
+                at = np.flatnonzero(np.isin(grams, np.array(list(items), np.uint64)))
+                at = at[row[at] == row[at + n - 1]]
+                found = {(int(row[k]), i) for k in at for i in items[int(grams[k])] if (h[k : k + n] == self.words[i]).all()}
+                yield from ((first + r, i, n, 1) for r, i in sorted(found))
             if self.short:
-                for r in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < self.min_match)):
+                for r in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < PHRASE)):
                     for i in self.short.get(h[cuts[r] : cuts[r + 1]].tobytes(), ()):
                         yield first + int(r), i, int(self.sizes[i]), 1
             grams = word_grams(h, self.min_match)
@@ -225,10 +324,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFra
 def contaminated(text: Column, sent) -> Column:
     """Column: whether the text covers an item of the broadcast block."""
 
+    held = []
+
     @F.arrow_udf("boolean")
     def covers_item(texts: pa.Array) -> pa.Array:
+        if not held:  # once for each worker
+            held.append(opened(sent))
         hit = np.zeros(len(texts), bool)
-        for row, *_ in opened(sent).search(texts):
+        for row, *_ in held[0].search(texts):
             hit[row] = True
         release()
         return pa.array(hit)

@@ -12,15 +12,19 @@ first record end after ``ARCHIVE`` bytes.
 Of records with equal payloads of 100 bytes or more the one with the smallest id is
 a response; the others are revisits that refer to it and carry no payload.
 
-Defined cases: ids are numbers or words without blanks; a null payload is empty; a null or repeated id is written as often as
-it comes (of repeated smallest ids one row is the response); an empty table gives no
-archive.
+Defined cases: an id of any characters, empty or not, is percent-encoded in its record's
+name, and a null one has a name of its own; a null payload is empty; a null or repeated id
+is written as often as it comes (of repeated smallest ids one row is the response; a null
+id counts after all others, and rows with equal payloads without any id are all responses,
+as nothing could refer to one); an empty table gives no archive; payloads of any length
+are written and read in chunks; extra columns are not written, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,7 @@ from concord.llm.store import materialize
 CHUNK, ARCHIVE = 256 << 10, 16 << 20
 REVISIT_BYTES = 100
 BROADCAST_ROWS = 200_000
-ID_PREFIX, PROFILE = "urn:record:", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ID_PREFIX, NULL_ID, PROFILE = "urn:record:", "urn:no-id", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -55,10 +59,20 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "revisit")
 
 
+def record_name(page_id) -> str:
+    return f"<{NULL_ID}>" if page_id is None else f"<{ID_PREFIX}{quote(str(page_id), safe='')}>"
+
+
+def record_id(name: str | None) -> str | None:
+    """The id in a record's name."""
+    name = (name or "").strip("<>")
+    return unquote(name.removeprefix(ID_PREFIX)) if name.startswith(ID_PREFIX) else None
+
+
 def record_header(page_id, url, digest, refers_to, revisit, size: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{ID_PREFIX}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_name(page_id)}", f"WARC-Date: {DATE}"]
     lines += [f"WARC-Target-URI: {''.join(url.split())}"] if url is not None else []
-    lines += [f"WARC-Refers-To: <{ID_PREFIX}{refers_to}>", f"WARC-Profile: {PROFILE}"] if revisit else []
+    lines += [f"WARC-Refers-To: {record_name(refers_to)}", f"WARC-Profile: {PROFILE}"] if revisit else []
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/octet-stream", f"Content-Length: {size}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
@@ -164,9 +178,6 @@ def parse_chunks(keep_payload: bool, only_last: bool):
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[x.split()[1]] for x in RECORDS.split(", ")]
 
-    def bare(value):
-        return None if value is None else value.strip("<>").removeprefix(ID_PREFIX)
-
     def parse(batches):
         archive, parser, record = None, None, 0
         for batch in batches:
@@ -177,7 +188,7 @@ def parse_chunks(keep_payload: bool, only_last: bool):
                 for header, number, piece, size, digest, last in parser.read(batch.column(2)[i].as_buffer()):
                     if last or not only_last:
                         said = header.get("warc-payload-digest", "").partition(":")[2] or None
-                        rows.append((archive, record, bare(header.get("warc-record-id")), header.get("warc-type"), header.get("warc-target-uri"), bare(header.get("warc-refers-to")), said, number, bytes(piece) if keep_payload else None, size, digest, last))
+                        rows.append((archive, record, record_id(header.get("warc-record-id")), header.get("warc-type"), header.get("warc-target-uri"), record_id(header.get("warc-refers-to")), said, number, bytes(piece) if keep_payload else None, size, digest, last))
                     record += last
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -187,7 +198,8 @@ def parse_chunks(keep_payload: bool, only_last: bool):
 
 def record_chunks(archives: DataFrame, keep_payload: bool = True, only_last: bool = False) -> DataFrame:
     """The chunked record table (RECORDS) of archives (archive, chunk, data); ``only_last``: each record's last row."""
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "chunk")
+    number = max(archives.select("archive").distinct().count(), 1)  # about one archive a task, whatever their number
+    ordered = archives.repartition(number, "archive").sortWithinPartitions("archive", "chunk")
     return ordered.mapInArrow(parse_chunks(keep_payload, only_last), RECORDS)
 
 
@@ -195,7 +207,7 @@ def archived(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the archives written of ``pages``."""
     kind = pages.schema["page_id"].dataType.simpleString()
     back = materialize(record_chunks(write_archives(planned(pages)), False, True).select("record_id", "record_type", "refers_to", F.col("bytes_so_far").alias("size"), F.col("digest_so_far").alias("digest"), "payload_digest"), "records")
-    typed = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    typed = lambda c: F.col(c).cast(kind)
     responses = back.where("record_type = 'response'")
     revisits = back.where("record_type = 'revisit'")
     # what a revisit says of its payload is what its response holds

@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ def words(n, seed):
     return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
 
 
-ITEMS = [(1, " ".join(words(40, 1))), (2, " ".join(words(30, 2))), (3, None), (4, ""), (5, "too short Item"), (2, " ".join(words(30, 2)))]
+ITEMS = [(1, " ".join(words(40, 1))), (2, " ".join(words(30, 2))), (3, None), (4, ""), (5, "too short Item"), (6, "Some Name"), (2, " ".join(words(30, 2)))]
 A, B = words(40, 1), words(30, 2)
 DOCS = [
     (10, "Before. " + " ".join(A) + " after", {1}),
@@ -71,7 +73,9 @@ DOCS = [
     (15, None, set()),
     (16, "", set()),
     (17, "Too short: item!", {5}),
-    (18, "too short item but longer", set()),
+    (18, "too short item but longer", {5}),
+    (20, "some name", {6}),
+    (21, "some name but longer", set()),
     (19, " ".join(words(3000, 9) + B + words(3000, 8)), {2}),
     (19, " ".join(words(3000, 9) + B + words(3000, 8)), {2}),
     (None, " ".join(A) * 2, {1}),
@@ -126,6 +130,51 @@ def test_against_plain_search_of_all_pairs():
     assert got == want and want
 
 
+def test_repetitive_texts_take_little_time_and_memory():
+    """A word, or a phrase, that comes thousands of times in both."""
+    for a, b in (([7] * 3000, [7] * 9000), ([1, 2, 3, 4, 5, 6] * 800, [1, 2, 3, 4, 5, 6] * 3000), ([7] * 3000, [7, 7, 7, 7, 7, 7, 8] * 3000)):
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        tracemalloc.start()
+        began = time.perf_counter()
+        marked, tiles = d.tile(x, y, np.zeros(len(y), bool))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert marked.mean() > 0.99 and peak < 300 << 20 and time.perf_counter() - began < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=40))
+def test_matches_in_pieces_are_those_of_plain_search(a, b):
+    """With room for one pair at a time."""
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    none = lambda z: np.zeros(len(z), bool)
+    hashes = d.RunningHashes(x), d.RunningHashes(y)
+    kept, d.PAIRS = d.PAIRS, 1
+    try:
+        _, pieces = d.matches(x, y, none(x), none(y), 3, hashes)
+        found = [tuple(map(int, m)) for piece in pieces() for m in zip(*piece, strict=True)]
+        marked, _ = d.tile(x, y, none(y), 3)
+    finally:
+        d.PAIRS = kept
+    run = lambda i, j: next(n for n in range(len(a) + 1) if i + n == len(a) or j + n == len(b) or a[i + n] != b[j + n])
+    plain = {(i, j, run(i, j)) for i in range(len(a)) for j in range(len(b)) if run(i, j) >= 3 and not (i and j and a[i - 1] == b[j - 1])}
+    assert len(found) == len(plain) and set(found) == plain
+    assert bool(marked.any()) == bool(plain)
+
+
+def test_words_of_any_script_and_punctuation():
+    item = "L’été, “où” naïve ÉCOLE größe 東京 мир слово"
+    block = d.BenchmarkBlock([1, 2], [item, "three “word” item"])
+    found = list(block.search(pa.array(["x l été — où «NAÏVE» e\u0301cole GRÖSSE größe", "l été où naïve école größe 東京 МИР Слово!", None, "a three word; item", "threeword item", "l été où naïve école grosse 東京"])))
+    assert {(row, i) for row, i, *_ in found} == {(0, 0), (1, 0), (3, 1), (5, 0)}
+
+
+def test_clashing_columns_of_a_benchmark(spark):
+    items = spark.createDataFrame([(1, " ".join(A), 5, 0.1)], "item_id long, text string, doc_id long, coverage double")
+    docs = spark.createDataFrame([(10, " ".join(A), 1, 2)], "doc_id long, text string, item_id long, tiles long")
+    assert [tuple(r)[:2] for r in d.contaminations(docs, items).collect()] == [(10, 1)] and d.keep_clean(docs, items).columns == docs.columns
+
+
 def test_query_covers_the_whole_table(spark):
     from concord.llm.queries import op1_decontamination
 

@@ -68,6 +68,17 @@ def test_archives_hold_nulls_copies_ties_and_long_payloads(spark, monkeypatch):
     assert sorted(map(tuple, w.archived(pages).select(*got.columns).collect()), key=str) == plain(ROWS)
 
 
+def test_ids_of_any_characters_come_back(spark):
+    ids = ["", " ", "a b", "line\r\nbreak: x", "<>%25", "ü/#", "plain", "null", None, None]
+    pages = spark.createDataFrame([(i, "u", "y" * 200) for i in ids] + [(i, "u", f"z{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    rows = w.archived(pages).collect()
+    assert sorted(str(r["page_id"]) for r in rows) == sorted(str(i) for i in ids * 2) and sum(r["page_id"] is None for r in rows) == 4
+    big = [r for r in rows if r["payload_bytes"] == 200]
+    assert [r["page_id"] for r in big if r["record_type"] == "response"] == [""] and all(r["refers_to"] == "" for r in big if r["record_type"] == "revisit")
+    alone = spark.createDataFrame([(None, "u", "y" * 200)] * 2, "page_id string, url string, html string")
+    assert [(r["record_type"], r["refers_to"]) for r in w.archived(alone).collect()] == [("response", None)] * 2
+
+
 def test_chunk_rows_carry_running_digests(spark):
     pages = spark.createDataFrame([(1, "u", "z" * 1_000_000), (2, "v", "")], "page_id long, url string, html string")
     rows = w.record_chunks(w.write_archives(w.planned(pages).coalesce(1))).orderBy("record", "chunk").collect()
