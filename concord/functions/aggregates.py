@@ -14,8 +14,8 @@ AGGREGATES = ("count", "sum", "avg", "min", "max", "std", "bit_xor")
 def aggregate(kind: str, column: Column | None = None, of: T.DataType | None = None) -> Column:
     """Column of the aggregate ``kind``; without a column, count counts rows.
 
-    Sums are wide: those of integers are decimals of 38 digits, which a bigint's
-    range can't overflow, and come back as bigint where they fit (else null).
+    Sums are wide: those of integers are decimals of 38 digits.  A sum that leaves
+    even those is an error, never null, so that two sides can't agree by it.
     """
     if kind == "count":
         return F.count(F.lit(1) if column is None else column)
@@ -24,8 +24,9 @@ def aggregate(kind: str, column: Column | None = None, of: T.DataType | None = N
     name = family(of) if of is not None else ""
     if kind == "sum":
         if name in INTEGERS:
-            return F.sum(column.cast("decimal(38,0)")).try_cast("bigint")
-        return F.try_sum(column)
+            column = column.cast("decimal(38,0)")
+        total = F.try_sum(column)
+        return F.when(total.isNull() & (F.count(column) > 0), F.raise_error(F.lit("a sum has more than 38 digits"))).otherwise(total)
     if kind == "avg":
         return F.avg(column)
     if kind == "min":

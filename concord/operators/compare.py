@@ -78,7 +78,7 @@ def normalised(s: Column, t: Column, source: T.DataType, target: T.DataType, exa
         return F.unix_timestamp(s), F.unix_timestamp(t), "time"
     if "boolean" in kinds:
         return s.try_cast("boolean"), t.try_cast("boolean"), "boolean"
-    if kinds <= INTEGERS:
+    if kinds <= INTEGERS or {a, b} <= INTEGERS | {"decimal"} and all(getattr(x, "scale", 0) == 0 for x in (source, target)):
         return s.cast("decimal(38,0)"), t.cast("decimal(38,0)"), "integer"
     if kinds <= INTEGERS | {"decimal"} and exact:
         return s, t, "decimal"
@@ -120,6 +120,13 @@ def plain(column: Column, kind: T.DataType) -> Column:
     return F.lower(F.hex(column)) if family(kind) == "binary" else column.cast("string")
 
 
+def single(df: DataFrame, side: str) -> DataFrame:
+    """The only row of a side without keys; more than one is an error."""
+    few = df.agg(F.count(F.lit(1)).alias("n"), F.first(side).alias(side), F.first(f"in_{side}").alias(f"in_{side}")).where("n > 0")
+    only = F.when(F.col("n") > 1, F.raise_error(F.lit("without keys each side has one row at most; give primary keys or groups"))).otherwise(F.lit(1))
+    return few.select(only.cast("int").alias("one"), side, f"in_{side}")
+
+
 def compare(source: DataFrame, target: DataFrame, c: Comparison, run: RunInfo | None = None) -> DataFrame:
     """Report of two results whose columns have equal names in equal order.
 
@@ -144,8 +151,8 @@ def compare(source: DataFrame, target: DataFrame, c: Comparison, run: RunInfo |
     if c.keys:
         on = reduce(lambda a, b: a & b, [F.col(f"sk{i}").eqNullSafe(F.col(f"tk{i}")) for i in range(len(c.keys))])
         joined = left.join(right, on, "full_outer")
-    else:  # one row each
-        joined = left.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one", "full_outer")
+    else:
+        joined = single(left, "s").join(single(right, "t"), "one", "full_outer")
     group = F.lit(None).cast("string")
     if c.keys:
         texts = [F.concat(F.lit(f'"{k}": "'), json_text(F.when(F.col("in_s").isNotNull(), s(k)).otherwise(t(k).cast(kinds[k])), kinds[k]), F.lit('"')) for k in c.keys]

@@ -7,6 +7,7 @@ import math
 from collections.abc import Sequence
 from datetime import date, datetime
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,14 +91,24 @@ def range_predicates(keys: Sequence[str], firsts: Sequence[Sequence]) -> list[st
 
 
 def range_number(df: DataFrame, keys: Sequence[str], firsts: Sequence[Sequence]) -> Column:
-    """Column: number of the range, from 0, that a row is in; null without a whole key."""
-    out = F.lit(0)
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(f"`{actual(df, k)}`").isNotNull()
-    for first in firsts[1:]:
-        out = out + F.expr(from_on([actual(df, k) for k in keys], first)).cast("int")
-    return F.when(known, out)
+    """Column: number of the range, from 0, that a row is in; null without a whole key.
+
+    A row is compared with the first key of each of about sqrt(n) runs of ranges, and
+    then with the keys of its run.
+    """
+    names = [actual(df, k) for k in keys]
+    kinds = [df.schema[n].dataType for n in names]
+    one = lambda values: F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(values, kinds, strict=True))])
+    own = F.struct(*[F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names)])
+    known = reduce(lambda x, y: x & y, [F.col(f"`{n}`").isNotNull() for n in names])
+    starts = list(firsts[1:])
+    if not starts:
+        return F.when(known, F.lit(0))
+    width = math.isqrt(len(starts) - 1) + 1
+    runs = [F.array(*[one(x) for x in starts[i : i + width]]) for i in range(0, len(starts), width)]
+    reached = lambda array: F.size(F.filter(array, lambda x: x <= own))
+    run = reached(F.array(*[one(starts[i]) for i in range(0, len(starts), width)]))
+    return F.when(known, F.when(run == 0, F.lit(0)).otherwise((run - 1) * width + reached(F.element_at(F.array(*runs), F.greatest(run, F.lit(1))))))
 
 
 def partition_filters(source: DataFrame, target: DataFrame, spec: ValidationSpec, partitions: int) -> list[Filter]:

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.scalars import json_text
 from concord.operators.compare import Comparison, ReportedField, RunInfo, compare
+from concord.operators.kept import kept
 from concord.operators.sampling import random_rows
 from concord.operators.schemas import validate_schemas
 from concord.plans.frames import SOURCE, TARGET, aggregated, grouping, prepared, row_values, side_frame
@@ -41,13 +41,13 @@ def comparison_of(spec: ValidationSpec, groups: bool = False) -> Comparison:
     )
 
 
-def validate(source: DataFrame, target: DataFrame, spec: ValidationSpec, run: RunInfo | None = None, seed: int | None = None) -> DataFrame:
+def validate(source: DataFrame, target: DataFrame, spec: ValidationSpec, run: RunInfo | None = None, seed: int | None = None, order: bool = True) -> DataFrame:
     """Report of one validation.  Results of SQL queries are expected with lower-case names."""
     run = run or RunInfo(spec.labels)
     if spec.type == SCHEMA:
         return validate_schemas(source.sparkSession, source.schema, target.schema, spec.source_table, spec.target_table, spec.exclusion_columns, spec.allow_list, run)
     if spec.use_random_rows:
-        source, target = random_rows(source, target, spec, seed)
+        source, target = random_rows(source, target, spec, seed, order)
     if spec.type == ROW and spec.grouped_columns:
         return drill_down(source, target, spec, run)
     if spec.is_row and not spec.primary_keys:
@@ -55,13 +55,10 @@ def validate(source: DataFrame, target: DataFrame, spec: ValidationSpec, run: Ru
     return compare(side_frame(source, spec, SOURCE), side_frame(target, spec, TARGET), comparison_of(spec), run)
 
 
-def group_text(rows: DataFrame, spec: ValidationSpec, side: str, depth: int) -> Column:
-    """The first ``depth`` group keys of a row as they stand in reports."""
-    texts = []
-    for g in spec.grouped_columns[:depth]:
-        c = grouping(rows, g, side)
-        texts.append(F.concat(F.lit(f'"{g.alias}": "'), json_text(c, rows.select(c).schema[0].dataType), F.lit('"')))
-    return F.concat(F.lit("{"), F.concat_ws(", ", *texts), F.lit("}"))
+def on_groups(left: DataFrame, names: list[Column], groups: DataFrame, how: str) -> DataFrame:
+    """Rows of ``left`` joined by null-safe equality of ``names`` with the columns k0, k1 and so on of ``groups``."""
+    same = [a.eqNullSafe(groups[f"k{i}"].cast(left.select(a).schema[0].dataType)) for i, a in enumerate(names)]
+    return left.join(groups, reduce(lambda x, y: x & y, same), how)
 
 
 def drill_down(source: DataFrame, target: DataFrame, spec: ValidationSpec, run: RunInfo) -> DataFrame:
@@ -70,7 +67,8 @@ def drill_down(source: DataFrame, target: DataFrame, spec: ValidationSpec, run:
     Each further group column divides the groups that differ so far; of the last
     one's, groups of more rows than ``max_recursive_query_size`` are reported as they
     are; in the others rows are compared.  Each level is one aggregation of the rows
-    that are left, not one query for each group.
+    that are left, not one query for each group, and is kept, so that a level reads
+    either side once.
     """
     if not spec.primary_keys:
         raise ValueError("row validation needs primary keys")
@@ -78,15 +76,17 @@ def drill_down(source: DataFrame, target: DataFrame, spec: ValidationSpec, run:
     reports = []
     for depth in range(1, len(spec.grouped_columns) + 1):
         level = replace(spec, grouped_columns=spec.grouped_columns[:depth])
-        report = compare(aggregated(s, level, SOURCE), aggregated(t, level, TARGET), comparison_of(level, groups=True), run)
-        differs = ~F.col("source_agg_value").eqNullSafe(F.col("target_agg_value"))
-        rows = F.when(F.col("aggregation_type") == "count", F.greatest(F.col("source_agg_value").try_cast("double"), F.col("target_agg_value").try_cast("double")))
-        groups = report.groupBy(F.col("group_by_columns").alias("g")).agg(F.max(differs).alias("differs"), F.max(rows).alias("n"))
-        further = F.col("differs")
+        a, b = kept(aggregated(s, level, SOURCE)), kept(aggregated(t, level, TARGET))
+        keys = [g.alias for g in level.grouped_columns]
+        left, right = (df.select(*[F.col(f"`{k}`").alias(f"{side}k{i}") for i, k in enumerate(keys)], *[F.col(f"`{x.alias}`").alias(f"{side}v{i}") for i, x in enumerate(level.aggregates)], F.lit(True).alias(f"in_{side}")) for df, side in ((a, "s"), (b, "t")))
+        both = left.join(right, reduce(lambda x, y: x & y, [F.col(f"sk{i}").eqNullSafe(F.col(f"tk{i}")) for i in range(depth)]), "full_outer")
+        further = reduce(lambda x, y: x | y, [~F.col(f"sv{i}").cast("string").eqNullSafe(F.col(f"tv{i}").cast("string")) for i in range(len(level.aggregates))], F.lit(False))
         if depth == len(spec.grouped_columns):
-            further = further & (F.coalesce("n", F.lit(0.0)) <= spec.max_recursive_query_size)
-        further = groups.where(further).select("g")
-        reports.append(report.join(further, F.col("group_by_columns") == F.col("g"), "left_anti"))
-        s, t = (df.withColumn("g", group_text(df, spec, side, depth)).join(further, "g", "left_semi").drop("g") for df, side in ((s, SOURCE), (t, TARGET)))
+            rows = [F.greatest(F.col(f"sv{i}"), F.col(f"tv{i}")).cast("double") for i, x in enumerate(level.aggregates) if x.kind == "count"]
+            further = further & (F.coalesce(F.greatest(*rows, F.lit(0.0)) if rows else F.lit(0.0), F.lit(0.0)) <= spec.max_recursive_query_size)
+        groups = kept(both.where(further).select(*[F.when(F.col("in_s"), F.col(f"sk{i}")).otherwise(F.col(f"tk{i}").cast(left.schema[f"sk{i}"].dataType)).alias(f"k{i}") for i in range(depth)]))
+        ended = (on_groups(df, [F.col(f"`{k}`") for k in keys], groups, "left_anti") for df in (a, b))
+        reports.append(compare(*ended, comparison_of(level, groups=True), run))
+        s, t = (on_groups(df, [grouping(df, g, side) for g in level.grouped_columns], groups, "left_semi") for df, side in ((s, SOURCE), (t, TARGET)))
     reports.append(compare(row_values(s, spec, SOURCE), row_values(t, spec, TARGET), comparison_of(spec), run))
     return reduce(DataFrame.unionByName, reports)

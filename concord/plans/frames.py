@@ -46,12 +46,13 @@ def predicate(df: DataFrame, f: Filter, side: str) -> Column:
     if f.kind == "equals":
         return c == value
     if f.kind == "isin":
-        return c.isin(list(value))
+        values = list(value)
+        return reduce(lambda a, b: a | b, [c.isin(values[i : i + ONE_LIST]) for i in range(0, max(len(values), 1), ONE_LIST)])
     return c > value if f.kind == "greater_than" else c < value
 
 
-#: From this many values on, a filter by list is a semi-join.
-LONG_LIST = 1000
+#: Most values of one list, as the strictest engine takes them; more are several lists, and from the second number on a semi-join.
+ONE_LIST, LONG_LIST = 1000, 16_000
 
 
 def filtered(df: DataFrame, filters: tuple[Filter, ...], side: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def by_value(column: str, kind: str, value, **more) -> dict:
 def report_sql(source: str, target: str, fields: list[tuple[str, str | None, str | None, str]], keys: tuple[str, ...] = (), kind: str = "Column", threshold: float = 0.0, primary: tuple[str, ...] = (), names: tuple = ("orders", "changed"), named: bool = True, rows: int | None = None) -> str:
     """SQL of the report of two result queries.
 
-    fields: (alias, aggregate or NULL, column or NULL, "int", "time", "text" or "value").
+    fields: (alias, aggregate or NULL, column or NULL, "int", "time", "float" (decimals in the default mode), "double", "text" or "value").
     """
     quote = lambda x: "NULL" if x is None else f"'{x}'"
     on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM t.{k}" for k in keys) or "TRUE"
@@ -111,13 +112,14 @@ def report_sql(source: str, target: str, fields: list[tuple[str, str | None, str
     group = "'{' || " + " || ', ' || ".join(texts) + " || '}'" if keys else "CAST(NULL AS VARCHAR)"
     parts = []
     for alias, aggregate, column, form in fields:
-        a, b = (f"epoch({x}.{alias})" if form == "time" else f"{x}.{alias}" for x in "st")
+        forms = {"time": "epoch({})", "float": "round(CAST({} AS FLOAT), 4)", "double": "CASE WHEN NOT isnan({0}) THEN {0} END"}
+        a, b = (forms.get(form, "{}").format(f"{x}.{alias}") for x in "st")
         if form in ("text", "value"):
             difference = pct = "CAST(NULL AS DOUBLE)"
             status = f"CASE WHEN {a} IS NOT DISTINCT FROM {b} THEN 'success' ELSE 'fail' END"
         else:
             difference = f"CAST({b} - {a} AS DOUBLE)"
-            pct = f"CASE WHEN {a} = {b} THEN 0.0::DOUBLE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE 100.0::DOUBLE * {difference} / CAST(CASE WHEN {a} = 0 THEN {b} ELSE {a} END AS DOUBLE) END"
+            pct = f"CASE WHEN {a} = {b} THEN 0.0::DOUBLE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE 100.0::DOUBLE * {f"CAST(CAST({difference} AS FLOAT) AS DOUBLE)" if form in ("float", "double") else difference} / CAST(CASE WHEN {a} = 0 THEN {b} ELSE {a} END AS DOUBLE) END"
             status = f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN 'success' WHEN {a} IS NULL OR {b} IS NULL THEN 'fail' WHEN abs({pct}) > {threshold} THEN 'fail' ELSE 'success' END"
         in_s, in_t = "s.in_side IS NOT NULL", "t.in_side IS NOT NULL"
         whole = f"{in_s} AND {in_t}"
@@ -156,10 +158,9 @@ register("scan_parquet", lambda spark, d: table(spark, d, "orders"), "SELECT * F
 
 def scan_text(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf_dir):
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/concord-scan-{kind}"
-        table(spark, sf_dir, "nation").write.mode("overwrite").format(kind).option("header", "true").save(path)
-        options = {"multiLine": "false"} if kind == "json" else {}
-        return connect(spark, {"source_type": "FileSystem", "table_name": "nation", "file_path": path, "file_type": kind, "options": options}).table(None, "nation").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/concord-scan-{kind}-{uuid4().hex}"
+        table(spark, sf_dir, "nation").write.format(kind).option("header", "true").save(path)
+        return connect(spark, {"source_type": "FileSystem", "table_name": "nation", "file_path": path, "file_type": kind}).table(None, "nation").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
     return run
 
@@ -266,22 +267,38 @@ register("group_by", orders_report(**G), G_SQL)
 register("group_by_ts_to_date", orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_orderdate", "day")]), orders_sql("CAST(o_orderdate AS DATE) AS day, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", keys=("day",)))
 register("multi_group", orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_orderstatus"), pair("o_orderpriority")], threshold=2.5), orders_sql("o_orderstatus, o_orderpriority, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1, 2", keys=("o_orderstatus", "o_orderpriority"), threshold=2.5))
 register("threshold_status", orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_orderpriority")], threshold=0.5), orders_sql("o_orderpriority, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", keys=("o_orderpriority",), threshold=0.5))
-register("unmatched_groups", orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_orderkey")], filters=[{"type": "custom", "source": "o_orderkey % 11 = 0", "target": "o_orderkey % 11 = 0"}]), orders_sql("o_orderkey, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", ("WHERE o_orderkey % 11 = 0",) * 2, keys=("o_orderkey",)))
+register("unmatched_groups", orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_orderkey")]), orders_sql("o_orderkey, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", keys=("o_orderkey",)))
 register("zero_divisor", orders_report(aggregates=[agg("n", "count")], filters=[{"type": "custom", "source": "o_orderkey < 0", "target": "TRUE"}]), orders_sql("count(*) AS n", [("n", "count", None, "int")], "", ("WHERE o_orderkey < 0", "")))
 register("null_one_sided", orders_report(calculated_fields=[PRICE], aggregates=[agg("total", "sum", "price"), agg("n", "count", "o_orderpriority")], filters=[{"type": "custom", "source": "TRUE", "target": "o_orderkey < 0"}]), orders_sql(f"sum({DEC}) AS total, count(o_orderpriority) AS n", [("total", "sum", "price", "int"), ("n", "count", "o_orderpriority", "int")], "", ("", "WHERE o_orderkey < 0")))
 #: The default mode: small integers as floats, where rounding changes nothing.
 register("float_mode", orders_report(exact=False, calculated_fields=[calc("small", "cast", "o_custkey", default_cast="decimal(10,0)")], aggregates=[agg("x", "max", "small")], grouped_columns=STATUS), orders_sql("o_orderstatus, max(CAST(o_custkey AS DECIMAL(10,0))) AS x", [("x", "max", "small", "int")], "GROUP BY 1", keys=("o_orderstatus",)))
 
 
-def grouped_limit(spark, sf_dir):
-    spec = ValidationSpec.from_dict({"type": "Column", "aggregates": [agg("n", "count")], "limit": 1})
-    return side_frame(table(spark, sf_dir, "orders"), spec, SOURCE)
+#: The default mode on sums of prices, which floats round.
+register("float_decimals", orders_report(exact=False, **G), report_sql(f"SELECT o_orderstatus, count(*) AS n, sum({DEC}) AS total, max(o_orderdate) AS latest FROM orders GROUP BY 1", f"SELECT o_orderstatus, count(*) AS n, sum({DEC}) AS total, max(o_orderdate) AS latest FROM changed GROUP BY 1", [("n", "count", None, "int"), ("total", "sum", "price", "float"), ("latest", "max", "o_orderdate", "time")], keys=("o_orderstatus",), threshold=1.0))
 
 
-register("limit", grouped_limit, "SELECT count(*) AS n FROM orders LIMIT 1")
+def sum_overflow(spark, sf_dir):
+    """Sums of bigints that leave a bigint's range, of sides that differ."""
+    spec = ValidationSpec.from_dict({"type": "Column", "aggregates": [agg("total", "sum", "big"), agg("n", "count")], "grouped_columns": [pair("o_orderpriority")]} | EXACT)
+    s, t = (x.withColumn("big", F.col("o_orderkey") % 100_000 * 90_000_000_000_000) for x in both(spark, sf_dir))
+    return shown(validate(s, t, spec))
+
+
+BIG = "sum(CAST(o_orderkey % 100000 * 90000000000000 AS HUGEINT))"
+register("agg_sum_overflow", sum_overflow, orders_sql(f"o_orderpriority, {BIG} AS total, count(*) AS n", [("total", "sum", "big", "int"), ("n", "count", None, "int")], "GROUP BY 1", keys=("o_orderpriority",)))
+
+
+def limited(spark, sf_dir):
+    """Rows of a side of which at most so many are taken; which ones is open, their number isn't."""
+    spec = ValidationSpec.from_dict(KEY | {"comparison_fields": [pair("o_custkey")], "limit": 500})
+    return side_frame(table(spark, sf_dir, "orders"), spec, SOURCE).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+
 
-# Rows ---------------------------------------------------------------------------------------------
 KEY = {"type": "Row", "primary_keys": [pair("o_orderkey")]}
+register("limit", limited, "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM (SELECT * FROM orders LIMIT 500)")
+
+# Rows ---------------------------------------------------------------------------------------------
 R_FIELDS = [("o_orderstatus", None, "o_orderstatus", "value"), ("price", None, "price", "value"), ("o_orderpriority", None, "o_orderpriority", "value"), ("o_orderdate", None, "o_orderdate", "value")]
 R_MORE = {"keys": ("o_orderkey",), "kind": "Row", "primary": ("o_orderkey",)}
 register("row_comparison", orders_report(**KEY, calculated_fields=[PRICE], comparison_fields=[pair(f[0]) for f in R_FIELDS]), orders_sql(f"o_orderkey, o_orderstatus, {DEC} AS price, o_orderpriority, o_orderdate", R_FIELDS, **R_MORE))
@@ -356,10 +373,14 @@ register("drilldown", drilldown, DRILL)
 
 
 def random_row(spark, sf_dir):
-    return shown(validate(*both(spark, sf_dir), ValidationSpec.from_dict(KEY | EXACT | {"use_random_rows": True, "random_row_batch_size": 100, "comparison_fields": [pair("o_custkey")]}), seed=1))
+    """A sample's report: its rows, how many have their sample's size, and how many differ just where the target lacks them."""
+    report = validate(*both(spark, sf_dir), ValidationSpec.from_dict(KEY | EXACT | {"use_random_rows": True, "random_row_batch_size": 100, "comparison_fields": [pair("o_custkey")]}), seed=1)
+    key = F.regexp_extract("group_by_columns", "([0-9]+)", 1).cast("long")
+    right = (F.col("validation_status") == "fail") == (key % 97 == 0)
+    return report.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("keys"), F.sum("num_random_rows").alias("sizes"), F.sum(right.cast("int")).alias("as_expected"))
 
 
-register("random_rows", random_row)
+register("random_rows", random_row, "SELECT least(count(*), 100) AS n, n AS keys, n * 100 AS sizes, n AS as_expected FROM orders")
 
 
 def hashed_sample(spark, sf_dir):
@@ -374,21 +395,25 @@ register("limit_topk", hashed_sample, "SELECT * FROM orders ORDER BY sha256(CAST
 def status_filter(spark, sf_dir):
     from concord.sources.reports import with_status
 
-    return with_status(orders_report(**G)(spark, sf_dir), ["fail"])
+    return with_status(orders_report(**G | {"threshold": 0.0})(spark, sf_dir), ["fail"])
 
 
-register("status_filter", status_filter, f"SELECT * FROM ({G_SQL}) WHERE validation_status = 'fail'")
+G_STRICT = orders_sql(f"o_orderstatus, count(*) AS n, sum({DEC}) AS total, max(o_orderdate) AS latest", [("n", "count", None, "int"), ("total", "sum", "price", "int"), ("latest", "max", "o_orderdate", "time")], "GROUP BY 1", keys=("o_orderstatus",))
+register("status_filter", status_filter, f"SELECT * FROM ({G_STRICT}) WHERE validation_status = 'fail'")
 
 
 def kernel_values(spark, sf_dir):
     """Escaped and null keys, floats and NaN through the kernel itself."""
     key = F.when(F.col("n_nationkey") % 5 == 0, F.lit('a"b\\c')).when(F.col("n_nationkey") % 5 != 1, F.col("n_name"))
-    s = table(spark, sf_dir, "nation").where("n_nationkey % 5 > 1 OR n_nationkey < 2").select(key.alias("k"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("n_nationkey") * 0.5).alias("x"))
+    s = table(spark, sf_dir, "nation").select(key.alias("k"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("n_nationkey") * 0.5).alias("x"))
     t = s.withColumn("x", F.when(F.col("k") != "CHINA", F.col("x") * 2).otherwise(F.col("x")))
     return shown(compare(s, t, Comparison((ReportedField("x", "x", "x"),), ("k",), "Column", "s", "t", 50.0)))
 
 
-register("kernel_values", kernel_values)
+ESCAPED = """SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'a"b\\c' WHEN n_nationkey % 5 <> 1 THEN n_name END AS k, CASE WHEN n_nationkey % 2 = 0 THEN CAST('nan' AS DOUBLE) ELSE n_nationkey * 0.5::DOUBLE END AS x FROM nation"""
+KERNEL = report_sql(ESCAPED, f"SELECT k, CASE WHEN k <> 'CHINA' THEN x * 2 ELSE x END AS x FROM ({ESCAPED})", [("x", None, "x", "double")], keys=("k",), names=("s", "t"), threshold=50.0)
+named = lambda c: f"CASE {c} WHEN 'nan' THEN 'NaN' ELSE {c} END AS {c}"
+register("kernel_values", kernel_values, f"SELECT * REPLACE ({named('source_agg_value')}, {named('target_agg_value')}) FROM ({KERNEL})")
 
 def two_sides(name: str, change_source, change_target, **config) -> Callable[[SparkSession, str], DataFrame]:
     """Query of a validation of a table against itself, each side changed in its own way."""
@@ -414,8 +439,8 @@ register(
 )
 register(
     "null_keys",
-    two_sides("nation", lambda d: d.withColumn("k", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey"))).where("n_nationkey NOT IN (4, 8, 12, 16, 20, 24)"), lambda d: d.withColumn("k", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey"))).where("n_nationkey NOT IN (0, 8, 12, 16, 20, 24)"), primary_keys=[pair("k")], comparison_fields=[pair("n_name")]),
-    report_sql("SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey NOT IN (4, 8, 12, 16, 20, 24)", "SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey NOT IN (0, 8, 12, 16, 20, 24)", [("n_name", None, "n_name", "value")], keys=("k",), primary=("k",), **A_B),
+    two_sides("nation", lambda d: d.withColumn("k", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey"))).where("n_nationkey <> 4"), lambda d: d.withColumn("k", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_nationkey"))).where("n_nationkey <> 0"), primary_keys=[pair("k")], comparison_fields=[pair("n_name")]),
+    report_sql("SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey <> 4", "SELECT CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey END AS k, n_name FROM nation WHERE n_nationkey <> 0", [("n_name", None, "n_name", "value")], keys=("k",), primary=("k",), **A_B),
 )
 register(
     "repeated_keys",
@@ -429,8 +454,8 @@ register(
 )
 register(
     "group_cast",
-    orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_totalprice", "whole", "bigint")], filters=[{"type": "custom", "source": "o_orderkey < 2000", "target": "o_orderkey < 2000"}]),
-    orders_sql("CAST(trunc(o_totalprice) AS BIGINT) AS whole, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", ("WHERE o_orderkey < 2000",) * 2, keys=("whole",)),
+    orders_report(aggregates=[agg("n", "count")], grouped_columns=[pair("o_totalprice", "whole", "bigint")]),
+    orders_sql("CAST(trunc(o_totalprice) AS BIGINT) AS whole, count(*) AS n", [("n", "count", None, "int")], "GROUP BY 1", keys=("whole",)),
 )
 
 
@@ -450,8 +475,8 @@ register("row_column_chunks", row_chunks, " UNION ALL ".join(f"SELECT * FROM ({o
 
 def config_runner(spark, sf_dir):
     """The grouped validation, written as a YAML file and run from it over file connections."""
-    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/concord-runner"
-    changed_orders(table(spark, sf_dir, "orders")).write.mode("overwrite").parquet(f"{root}/changed")
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/concord-runner-{uuid4().hex}"
+    changed_orders(table(spark, sf_dir, "orders")).write.parquet(f"{root}/changed")
     files = Files(spark, root if "://" in root or not root.startswith("file:") else f"file://{root.removeprefix('file:')}")
     one = lambda path: {"source_type": "FileSystem", "table_name": "t", "file_path": path, "file_type": "parquet"}
     spec = ValidationSpec.from_dict({"type": "Column", "source_conn": one(f"{sf_dir}/orders.parquet"), "target_conn": one(f"{root}/changed")} | EXACT | G)

@@ -19,6 +19,9 @@ from concord.sources.reports import sink
 #: Variables with the number of an orchestrator's task, which is that of its file.
 TASK_VARIABLES = ("JOB_COMPLETION_INDEX", "CLOUD_RUN_TASK_INDEX")
 
+#: Engines whose limited reads are random by themselves, so that nothing is sorted.
+RANDOM_SAMPLES = ("Teradata", "Spanner")
+
 
 class Runner:
     """Runs specifications with the connections of a store."""
@@ -40,10 +43,12 @@ class Runner:
         if spec.type == CUSTOM_QUERY:
             return source.query(spec.source_query), target.query(spec.target_query)
         schema = spec.target_schema_name or spec.schema_name
-        return source.table(spec.schema_name, spec.table_name), target.table(schema, spec.target_table_name or spec.table_name)
+        keys = spec.primary_keys[0] if spec.primary_keys else None  # rows are read by ranges of a key
+        return source.table(spec.schema_name, spec.table_name, keys and keys.source), target.table(schema, spec.target_table_name or spec.table_name, keys and keys.target)
 
     def report(self, spec: ValidationSpec, run: RunInfo | None = None) -> DataFrame:
-        return validate(*self.sides(spec), spec, run)
+        order = not spec.use_random_rows or self.connection(spec.source_conn).type not in RANDOM_SAMPLES
+        return validate(*self.sides(spec), spec, run, order=order)
 
     def execute(self, spec: ValidationSpec) -> DataFrame:
         """Report of a specification, given to its sink; those rows that the sink kept."""

@@ -41,6 +41,7 @@ def server(runner: Runner, port: int, host: str = "127.0.0.1") -> ThreadingHTTPS
     return ThreadingHTTPServer((host, port), Handler)
 
 
-def serve(runner: Runner, port: int, host: str = "0.0.0.0") -> None:
+def serve(runner: Runner, port: int, host: str = "127.0.0.1") -> None:
+    """Answer requests of this machine until stopped; give ``host`` only where others may run queries as this session's user."""
     with server(runner, port, host) as http:
         http.serve_forever()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
+import math
 import os
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Directory of stored connections: this variable's value, or the default.
@@ -32,6 +35,7 @@ FIELDS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "Snowflake": (("user", "password", "account", "database"), ("connect_args",)),
     "Impala": (("host", "port", "database"), ("auth_mechanism", "kerberos_service_name", "use_ssl", "timeout", "ca_cert", "user", "password", "pool_size", "hdfs_client", "use_http_transport", "http_path")),
 }
+ALL_FIELDS = {x for fields in FIELDS.values() for part in fields for x in part}
 #: JDBC: (URL, driver class, default port).
 JDBC = {
     "Postgres": ("jdbc:postgresql://{host}:{port}/{database}", "org.postgresql.Driver", 5432),
@@ -56,15 +60,87 @@ def resolved(config: dict, secrets: Callable[[str], str] | None) -> dict:
     """Options with their values looked up as secrets, where a secret manager is named."""
     if not config.get("secret_manager_type"):
         return dict(config)
-    if secrets is None:
-        raise ConnectionFailure("the connection names a secret manager; give a function that looks secrets up")
+    secrets = secrets or secret_manager(config["secret_manager_type"], config.get("secret_manager_project_id"))
     plain = ("source_type", "secret_manager_type", "secret_manager_project_id")
     return {k: v if k in plain else secrets(v) for k, v in config.items()}
 
 
+def secret_manager(kind: str, project: str | None) -> Callable[[str], str]:
+    """Function that looks a value up in a cloud's secret manager; values that name no secret stay as they are."""
+    if kind.lower() != "gcp":
+        raise ConnectionFailure(f"unknown secret manager: {kind}; give a function that looks secrets up")
+    try:
+        from google.api_core.exceptions import NotFound
+        from google.cloud import secretmanager
+    except ImportError as e:
+        raise ConnectionFailure("the connection names a secret manager whose client library isn't installed: google-cloud-secret-manager") from e
+    client = secretmanager.SecretManagerServiceClient()
+
+    def look_up(value: str) -> str:
+        try:
+            return client.access_secret_version(name=f"projects/{project}/secrets/{value}/versions/latest").payload.data.decode()
+        except (NotFound, ValueError):
+            return value
+
+    return look_up
+
+
+#: Options of every JDBC connection: type, secrets, Spark's own options, and how tables are read.
+COMMON = {"source_type", "secret_manager_type", "secret_manager_project_id", "url", "options", "driver_class", "partitions", "fetch_size"}
+#: Options of other engines' drivers that mean nothing to a JDBC driver.
+REFUSED = {"hdfs_client"}
+
+
+def yes(value) -> bool:
+    return str(value).strip().lower() in ("true", "1", "yes", "y")
+
+
+def pairs(value) -> dict:
+    """Parameters given as a dictionary, its JSON text, or a=b&c=d."""
+    if isinstance(value, dict):
+        return value
+    text = str(value or "").strip()
+    return json.loads(text) if text.startswith("{") else dict(x.split("=", 1) for x in text.split("&") if "=" in x)
+
+
+def engine_options(config: dict) -> tuple[str, dict]:
+    """(what goes behind the URL, further JDBC options) for an engine's own options."""
+    kind, given = config["source_type"], {k: v for k, v in config.items() if v not in (None, "")}
+    if kind == "Teradata":
+        more = ({"LOGMECH": given["logmech"]} if "logmech" in given else {}) | {k.upper(): v for k, v in pairs(given.get("json_params")).items()}
+        lock = {"sessionInitStatement": "SET SESSION CHARACTERISTICS AS TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"} if yes(given.get("use_no_lock_tables")) else {}
+        return "".join(f",{k}={v}" for k, v in more.items()), lock
+    if kind == "Snowflake":
+        return "".join(f"&{k}={v}" for k, v in pairs(given.get("connect_args")).items()), {}
+    if kind == "MSSQL":
+        return "".join(f";{k}={v}" for k, v in pairs(given.get("query")).items() if k != "driver"), {}
+    if kind == "Spanner":
+        return f"?credentials={given['google_service_account_key_path']}" if "google_service_account_key_path" in given else "", {}
+    if kind == "Impala":
+        mechanism, more = str(given.get("auth_mechanism", "PLAIN")).upper(), {}
+        if mechanism == "NOSASL":
+            more["auth"] = "noSasl"
+        elif mechanism in ("GSSAPI", "KERBEROS"):
+            more["principal"] = f"{given.get('kerberos_service_name', 'impala')}/_HOST"
+        elif mechanism not in ("PLAIN", "LDAP"):
+            raise ConnectionFailure(f"unknown authentication mechanism: {mechanism}")
+        if yes(given.get("use_ssl")):
+            more["ssl"] = "true"
+            if "ca_cert" in given:
+                more["sslTrustStore"] = given["ca_cert"]
+        if yes(given.get("use_http_transport")):
+            more |= {"transportMode": "http", "httpPath": given.get("http_path", "cliservice")}
+        return "".join(f";{k}={v}" for k, v in more.items()), {"queryTimeout": given["timeout"]} if "timeout" in given else {}
+    return "", {"driver": given["driver"]} if kind == "DB2" and "." in str(given.get("driver", "")) else {}
+
+
 def jdbc_options(config: dict) -> dict[str, str]:
     """Options of Spark's JDBC reader for a connection."""
     url, driver, port = JDBC[config["source_type"]]
+    needed, optional = FIELDS[config["source_type"]]
+    if unknown := {k for k, v in config.items() if v is not None} & REFUSED | set(config) - COMMON - {*needed, *optional, "user", "user_name"}:
+        if config["source_type"] in FIELDS and (refused := {k for k in unknown if k in REFUSED or k not in ALL_FIELDS}):
+            raise ConnectionFailure(f"a {config['source_type']} connection can't take {', '.join(sorted(refused))}")
     given = config.get("url") or ""
     if given.startswith("jdbc:"):
         url = given
@@ -74,10 +150,15 @@ def jdbc_options(config: dict) -> dict[str, str]:
             url = url.format(**values)
         except KeyError as e:
             raise ConnectionFailure(f"a {config['source_type']} connection needs {e.args[0]}") from e
-    out = {"url": url, "driver": config.get("driver_class") or driver, "user": config.get("user") or config.get("user_name"), "password": config.get("password")}
+    behind, more = engine_options(config)
+    out = {"url": url + behind, "driver": config.get("driver_class") or driver, "user": config.get("user") or config.get("user_name"), "password": config.get("password")} | more
     return {k: str(v) for k, v in (out | (config.get("options") or {})).items() if v is not None}
 
 
+#: Rows that a JDBC read fetches at once, and tasks that read a table together, unless the connection says otherwise.
+FETCH_ROWS, READ_TASKS = 10_000, 32
+
+
 @dataclass(frozen=True)
 class Connection:
     """A source of tables.  ``config`` holds source_type and that type's options."""
@@ -89,8 +170,13 @@ class Connection:
     def type(self) -> str:
         return self.config["source_type"]
 
-    def table(self, schema: str | None, table: str | None) -> DataFrame:
-        """A table, or a file connection's file."""
+    def table(self, schema: str | None, table: str | None, key: str | None = None) -> DataFrame:
+        """A table, or a file connection's file.
+
+        With a ``key`` of numbers or times, a JDBC table is read by ranges of it, in
+        several tasks.  Without one it is a table of Spark's JDBC catalog, to which
+        filters, aggregates and limits are sent as SQL where the dialect has them.
+        """
         if self.type == "FileSystem":
             return read_file(self.spark, self.config["file_path"], self.config["file_type"], self.config.get("schema"), self.config.get("options"))
         name = ".".join(x for x in (self.config.get("catalog"), schema or self.config.get("database") if self.type == "Spark" else schema, table) if x)
@@ -98,7 +184,38 @@ class Connection:
             return self.spark.table(name)
         if self.type == "BigQuery":
             return self.bigquery().option("table", f"{self.config['project_id']}.{name}").load()
-        return self.spark.read.format("jdbc").options(**jdbc_options(self.config)).option("dbtable", name).load()
+        return self.ranged(name, key) if key else self.pushed(schema, table)
+
+    def reader(self):
+        return self.spark.read.format("jdbc").options(**{"fetchsize": str(self.config.get("fetch_size") or FETCH_ROWS)} | jdbc_options(self.config))
+
+    def ranged(self, name: str, key: str) -> DataFrame:
+        """A JDBC table by ranges of a key between its least and greatest value; in one task where the key can't be cut."""
+        whole = self.reader().option("dbtable", name).load()
+        own = {c.casefold(): c for c in whole.columns}.get(key.casefold())
+        kind = whole.schema[own].dataType if own else None
+        if not isinstance(kind, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType) or "partitionColumn" in jdbc_options(self.config):
+            return whole
+        low, high = whole.agg(F.min(f"`{own}`").cast("string"), F.max(f"`{own}`").cast("string")).first()
+        if low is None:
+            return whole
+        if isinstance(kind, T.NumericType):
+            low, high = (str(math.floor(float(x))) for x in (low, high))
+        ranges = {"partitionColumn": own, "lowerBound": low, "upperBound": high, "numPartitions": str(self.config.get("partitions") or READ_TASKS)}
+        return self.reader().options(**ranges).option("dbtable", name).load()
+
+    def pushed(self, schema: str | None, table: str | None) -> DataFrame:
+        """A table of a JDBC catalog of this session, made for the connection when it is first asked for."""
+        options = {"fetchsize": str(self.config.get("fetch_size") or FETCH_ROWS)} | jdbc_options(self.config)
+        catalog = "concord_" + hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()[:12]
+        prefix = f"spark.sql.catalog.{catalog}"
+        if self.spark.conf.get(prefix, None) is None:
+            self.spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+            for k, v in options.items():
+                self.spark.conf.set(f"{prefix}.{k}", v)
+        parts = [x for x in (schema, table) if x]
+        parts = parts[-1].split(".") if len(parts) == 1 else parts
+        return self.spark.table(".".join([catalog, *(f"`{p}`" for p in parts)]))
 
     def bigquery(self):
         reader = self.spark.read.format("bigquery").option("parentProject", self.config["project_id"])
@@ -114,7 +231,7 @@ class Connection:
         elif self.type == "BigQuery":
             df = self.bigquery().option("query", sql).option("viewsEnabled", "true").load()
         else:
-            df = self.spark.read.format("jdbc").options(**jdbc_options(self.config)).option("query", sql).load()
+            df = self.reader().option("query", sql).load()
         return df.toDF(*[c.lower() for c in df.columns])
 
     def table_schema(self, schema: str | None, table: str | None) -> T.StructType:
@@ -129,13 +246,34 @@ class Connection:
             return []
         if self.type == "Spark":
             return [d.name for d in self.spark.catalog.listDatabases()]
-        return [r[0] for r in self.query("SELECT schema_name FROM information_schema.schemata").collect()]
+        if self.type == "BigQuery":
+            return [r[0] for r in self.query("SELECT schema_name FROM INFORMATION_SCHEMA.SCHEMATA").collect()]
+        return self.metadata(lambda m: m.getCatalogs() if self.type == "MySQL" else m.getSchemas())
 
     def tables(self, schema: str) -> list[str]:
         if self.type == "Spark":
             return [t.name for t in self.spark.catalog.listTables(schema) if not t.isTemporary]
-        quoted = schema.replace("'", "''")
-        return [r[0] for r in self.query(f"SELECT table_name FROM information_schema.tables WHERE table_schema = '{quoted}'").collect()]
+        if self.type == "BigQuery":
+            return [r[0] for r in self.query(f"SELECT table_name FROM `{schema}`.INFORMATION_SCHEMA.TABLES").collect()]
+        kinds = self.spark.sparkContext._gateway.new_array(self.spark._jvm.String, 1)
+        kinds[0] = "TABLE"
+        place = (schema, None) if self.type == "MySQL" else (None, schema)
+        return self.metadata(lambda m: m.getTables(*place, "%", kinds), "TABLE_NAME")
+
+    def metadata(self, ask: Callable, column: str | int = 1) -> list[str]:
+        """A column of what the driver itself says of its catalog, whatever the engine's own catalog tables."""
+        jvm = self.spark._jvm
+        options = jdbc_options(self.config)
+        scala = jvm.org.apache.spark.api.python.PythonUtils.toScalaMap(options | {"dbtable": "none"})
+        given = jvm.org.apache.spark.sql.execution.datasources.jdbc.JDBCOptions(scala)
+        link = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).createConnectionFactory(given).apply(-1)
+        try:
+            found, out = ask(link.getMetaData()), []
+            while found.next():
+                out.append(found.getString(column))
+            return out
+        finally:
+            link.close()
 
     def all_tables(self, allowed: Iterable[str] | None = None) -> list[tuple[str | None, str]]:
         """(schema, table) of all tables of the allowed schemas; a schema that can't be listed is passed over with a warning."""
@@ -164,7 +302,10 @@ def read_file(spark: SparkSession, path: str, kind: str, schema: str | None = No
     if kind == "csv":
         return reader.csv(path, header=True, inferSchema=not schema)
     if kind == "json":
-        return reader.option("multiLine", (options or {}).get("multiLine", "true")).json(path)
+        if not (options or {}).get("multiLine"):  # an array spans lines; else each line is a row and files can be cut
+            first = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").select(F.left("v", F.lit(1))).first()
+            reader = reader.option("multiLine", str(first is not None and first[0] == "[").lower())
+        return reader.json(path)
     return reader.format(kind).load(path)
 
 

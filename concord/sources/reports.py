@@ -110,7 +110,13 @@ class BigQuerySink:
 
     def execute(self, report: DataFrame) -> DataFrame:
         report = with_status(report, self.statuses)
-        report.write.format("bigquery").options(**self.options).mode("append").save()
+        try:
+            report.write.format("bigquery").options(**self.options).mode("append").save()
+        except Exception as e:
+            if "schema" in str(e).lower() or "field" in str(e).lower():
+                columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in report.schema.fields)
+                raise RuntimeError(f"table {self.options['table']} can't take the report; add the columns that it lacks, of: {columns}") from e
+            raise
         return report
 
 

@@ -92,7 +92,10 @@ def test_aggregates(spark):
     kinds = {f.name: f.dataType for f in df.schema}
     get = lambda kind, c=None: df.agg(aggregate(kind, None if c is None else F.col(c), kinds.get(c))).first()[0]
     assert (get("count"), get("count", "x"), get("sum", "x"), get("avg", "x"), get("min", "x"), get("max", "x"), get("bit_xor", "x")) == (3, 2, 3, 1.5, 1, 2, 3)
-    assert abs(get("std", "x") - 0.7071067811865476) < 1e-12 and get("sum", "big") is None
+    assert abs(get("std", "x") - 0.7071067811865476) < 1e-12 and get("sum", "big") == 3 * 2**62 and df.limit(0).agg(aggregate("sum", F.col("x"), T.IntegerType())).first()[0] is None
+    wide = df.select(F.lit("9" * 38).cast("decimal(38,0)").alias("w"))
+    with pytest.raises(Exception, match="38 digits"):
+        wide.agg(aggregate("sum", F.col("w"), T.DecimalType(38, 0))).collect()
     for kind, column in (("sum", None), ("median", "x")):
         with pytest.raises(ValueError):
             get(kind, column)

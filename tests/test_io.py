@@ -294,3 +294,46 @@ def test_service(spark, files):
 def test_runner_uses_inline_connections(spark, files):
     spec = ValidationSpec.from_dict({"type": "Schema", "source_conn": file_connection(files["orc"], "orc"), "target_conn": file_connection(files["parquet"], "parquet")})
     assert Runner(spark).report(spec).where("validation_status = 'fail'").count() == 0
+
+
+def test_json_lines_and_arrays(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('\n {"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    (tmp_path / "array.json").write_text('\n  [{"a": 1},\n {"a": 2}]\n')
+    for name, n in (("lines", 3), ("array", 2)):
+        assert connect(spark, {"source_type": "FileSystem", "table_name": "t", "file_path": str(tmp_path / f"{name}.json"), "file_type": "json"}).table(None, None).count() == n
+
+
+DERBY = {"source_type": "DB2", "url": "jdbc:derby:memory:concord;create=true", "driver_class": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "partitions": 4}
+
+
+def test_jdbc_against_an_embedded_engine(spark):
+    rows = spark.range(1000).selectExpr("id AS ID", "id % 7 AS G", "CAST(id AS VARCHAR(9)) AS T", "CAST(NULL AS BIGINT) AS E")
+    rows.write.format("jdbc").option("url", DERBY["url"]).option("driver", DERBY["driver_class"]).option("dbtable", "APP.ITEMS").mode("overwrite").save()
+    c = connect(spark, DERBY)
+    assert "APP" in c.schemas() and c.tables("APP") == ["ITEMS"] and c.all_tables(["APP"]) == [("APP", "ITEMS")]
+    ranged = c.table("APP", "ITEMS", "id")
+    assert ranged.rdd.getNumPartitions() == 4 and ranged.agg({"ID": "sum"}).first()[0] == 499500 and ranged.select("ID").distinct().count() == 1000
+    for key in ("t", "e", "none"):  # keys that can't be cut
+        assert c.table("APP", "ITEMS", key).rdd.getNumPartitions() == 1
+    summed = c.table("APP", "ITEMS").where("G = 3").groupBy().agg({"ID": "max", "G": "count"})
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregates: [" in plan and "MAX(ID)" in plan and "PushedFilters: [G IS NOT NULL, G = 3]" in plan
+    assert sorted(summed.first()) == [143, 997] and c.query("SELECT G, COUNT(*) AS N FROM APP.ITEMS GROUP BY G").count() == 7
+    spec = ValidationSpec.from_dict({"type": "Row", "schema_name": "APP", "table_name": "ITEMS", "source_conn": DERBY, "target_conn": DERBY, "primary_keys": [{"source_column": "ID", "target_column": "ID", "field_alias": "id"}], "comparison_fields": [{"source_column": "T", "target_column": "T", "field_alias": "t"}]})
+    report = Runner(spark).report(spec)
+    assert report.count() == 1000 and report.where("validation_status = 'fail'").count() == 0
+
+
+def test_options_of_each_engine():
+    host = {"host": "h", "user": "u", "password": "p", "database": "d"}
+    of = lambda **c: jdbc_options(host | c)
+    assert of(source_type="Teradata", logmech="LDAP", json_params='{"tmode": "ANSI"}')["url"] == "jdbc:teradata://h/DBS_PORT=1025,LOGMECH=LDAP,TMODE=ANSI"
+    assert "READ UNCOMMITTED" in of(source_type="Teradata", use_no_lock_tables="True")["sessionInitStatement"] and "sessionInitStatement" not in of(source_type="Teradata", use_no_lock_tables="False")
+    assert of(source_type="Snowflake", account="a", connect_args={"warehouse": "w"})["url"].endswith("/?db=d&warehouse=w")
+    assert of(source_type="MSSQL", query="applicationIntent=ReadOnly&driver=x")["url"].endswith(";applicationIntent=ReadOnly")
+    assert of(source_type="Impala", auth_mechanism="GSSAPI", kerberos_service_name="hive", use_ssl="true", ca_cert="/c", timeout=9) == {"url": "jdbc:hive2://h:10000/d;principal=hive/_HOST;ssl=true;sslTrustStore=/c", "driver": "org.apache.hive.jdbc.HiveDriver", "user": "u", "password": "p", "queryTimeout": "9"}
+    assert of(source_type="Impala", auth_mechanism="NOSASL", use_http_transport=True, http_path="x")["url"].endswith("/d;auth=noSasl;transportMode=http;httpPath=x")
+    assert of(source_type="DB2", driver="my.Driver")["driver"] == "my.Driver"
+    for bad in ({"source_type": "Impala", "hdfs_client": "x"}, {"source_type": "Impala", "auth_mechanism": "odd"}, {"source_type": "Postgres", "no_such_option": 1}):
+        with pytest.raises(ConnectionFailure):
+            of(**bad)

@@ -172,3 +172,46 @@ def test_rows_need_keys(spark):
     df = spark.range(1).toDF("id")
     with pytest.raises(ValueError):
         validate(df, df, ValidationSpec.from_dict({"type": "Row", "comparison_fields": [pair("id")]}))
+
+
+def test_drill_down_through_three_groups_with_null_keys(spark, tmp_path):
+    """A null key and the text "null" are two groups; each level reads either side once."""
+    rows = [(i, None if i % 5 == 0 else "null" if i % 5 == 1 else "x", i % 3, None if i % 4 == 0 else i % 2, i) for i in range(120)]
+    changed = [r for r in rows if r[0] not in (10, 33)]
+    schema = "id int, a string, b int, c int, x int"
+    s, t = (spark.createDataFrame(r, schema) for r in (rows, changed))
+    s.write.parquet(str(tmp_path / "s"))
+    t.write.parquet(str(tmp_path / "t"))
+    s, t = (spark.read.parquet(str(tmp_path / n)) for n in "st")
+    config = {"type": "Row", "primary_keys": [pair("id")], "comparison_fields": [pair("x")], "grouped_columns": [pair("a"), pair("b"), pair("c")], "aggregates": [{"field_alias": "n", "source_column": None, "target_column": None, "type": "count"}]}
+    out = validate(s, t, ValidationSpec.from_dict(config))
+    found = out.collect()
+    assert {r["group_by_columns"] for r in found if r["validation_name"] == "x" and r["validation_status"] == "fail"} == {'{"id": "10"}', '{"id": "33"}'}
+    bad = {tuple(rows[i][1:4]) for i in (10, 33)}
+    assert sum(r["validation_name"] == "x" for r in found) == sum(tuple(r[1:4]) in bad for r in rows)
+    level = lambda n: {tuple(r[1 : 1 + n]) for r in rows}
+    ended = sum(sum(g[:n] not in {x[:n] for x in bad} and g[: n - 1] in {x[: n - 1] for x in bad} for g in level(n)) for n in (1, 2, 3))
+    assert sum(r["validation_name"] == "n" for r in found) == ended
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 2
+
+
+def test_sides_without_keys_have_one_row(spark):
+    from concord.operators.compare import Comparison, ReportedField, compare
+
+    c = Comparison((ReportedField("x", "x", "x"),))
+    one, two = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(1,), (1,)], "x int")
+    assert [r["validation_status"] for r in compare(one, one, c).collect()] == ["success"]
+    assert [r["validation_status"] for r in compare(one, one.limit(0), c).collect()] == ["fail"]
+    for a, b in ((one, two), (two, one)):
+        with pytest.raises(Exception, match="one row at most"):
+            compare(a, b, c).collect()
+
+
+def test_ranges_of_many_boundaries(spark):
+    df = spark.range(0, 4000).selectExpr("CAST(id AS INT) AS a", "CAST(id % 3 AS STRING) AS b", "DATE '2020-01-01' + CAST(id AS INT) AS d")
+    for keys in (["a"], ["d", "a"], ["b", "a"]):
+        for parts in (1, 2, 3, 700):
+            firsts = boundaries(df, keys, parts)
+            got = df.groupBy(range_number(df, keys, firsts).alias("n")).count().collect()
+            assert sorted(r["n"] for r in got) == list(range(parts)) and max(r["count"] for r in got) - min(r["count"] for r in got) <= 1
+    assert df.select(range_number(df.withColumn("a", F.lit(None).cast("int")), ["a"], [(1,), (5,)])).first()[0] is not None
