@@ -4,28 +4,37 @@ A page becomes a row of words and tags.  Elements that never hold an article
 (scripts, menus, forms, adverts, reader comments and so on, by name or by the words
 of their class, id or role) are taken out first.  Words then score above zero and
 tags below, with weights learned from labelled pages: the log of how much oftener a
-token stands inside the content than outside.  A linear scan finds the contiguous
-region with the highest sum; its text, cut at block tags, is the main text.
+token stands inside the content than outside.  Labelled are those pages of the table
+that mark one article or main element (a bounded sample of them) and pages laid out by
+rule; both count alike.  A linear scan finds the contiguous region with the highest sum;
+its text, cut at block tags, is the main text.  Within an article marked as such tags
+hardly count, so that none ends it.
 
 Defined cases: a null or empty page, and one without words, has an empty text; tags
 that never close end with the page (an unwanted one at the next block); repeated
-pages give repeated rows; any page is read whole by one task.
+pages give repeated rows; an empty table gives no rows; of regions with equal sums the
+first and shortest is taken; any page is read whole by one task, in one pass; extra
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+#: A quote opens a value only behind "=", and closes it only before what can follow a value; any other is a character.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*+)((?>[^>"'=]++|=\s*+"[^"]*+"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])|=|["'])*+)>|[^<]+|<""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 #: Elements whose content is no markup.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "title", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "title", "xmp"}
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.IGNORECASE | re.ASCII) for name in RAW}
 #: Elements that hold no article, by name.
 UNWANTED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "audio", "video", "canvas", "map"}
 #: Words of a class, id or role that mark other elements as such.
@@ -35,6 +44,11 @@ MARKS = frozenset(
     replies respond share sharing social related recommended newsletter subscribe subscription signup login search footer header masthead
     toolbar pagination pager widget widgets contentinfo complementary copyright legal disclaimer tags""".split()
 )
+#: Words that say nothing beside a mark; within an article a class is unwanted only if it has marks and these alone.
+PLAIN = frozenset(
+    """area bar block body bottom box btn button buttons card col container content cta form frame group head holder icon icons inner item items label left
+    link links list media module outer panel post posts right row section slot stories text title top unit wrap wrapper""".split()
+)
 NEVER_UNWANTED = {"html", "body", "main", "article"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -42,7 +56,16 @@ BLOCK = {
 }
 
 
-def unwanted(name: str, attributes: str, in_article: bool, later: bool) -> bool:
+def marked(value: str, strict: bool) -> bool:
+    """Whether a class, id or role marks what holds no article: by any of its words, or, ``strict``, by all words of one name but plain ones."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().split() if not strict else re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = re.findall(r"[a-z]+", name)
+        if not MARKS.isdisjoint(words) and (not strict or all(w in MARKS or w in PLAIN for w in words)):
+            return True
+    return False
+
+
+def unwanted(name: str, attributes: str, in_article: bool, later: bool, strict: bool = False) -> bool:
     """Whether an element holds no article; ``later``: whether an article came before (comments are marked up as such, too)."""
     if name in NEVER_UNWANTED and not (name == "article" and later):
         return False
@@ -54,30 +77,38 @@ def unwanted(name: str, attributes: str, in_article: bool, later: bool) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" and m.start() and attributes[m.start() - 1].isspace() or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id", "role") and MARKS.intersection(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+        if key in ("class", "id", "role") and marked(value, in_article or strict):
             return not (name in ("header", "h1", "h2", "h3", "p", "span", "b", "i", "a") and in_article and key == "class" and value.lower() in ("header", "side", "tags"))
     return False
 
 
-def tokens(page: str) -> list[tuple[str, str]]:
-    """("", text) and (tag name, "" or "/") in order, without unwanted elements; "/" stands before a closing tag's name."""
-    flat: list[tuple[str, str, str]] = []  # (name, "/" if closing, attributes or text)
-    at, lower = 0, None
+def pieces_of(page: str) -> list[tuple[str, str, str]]:
+    """(name, "/" if closing, attributes or text) of all tags and texts but those that are no markup's."""
+    flat: list[tuple[str, str, str]] = []
+    at, endless, last = 0, set(), page.rfind(">")  # endless: names whose end doesn't come any more
     while at < len(page) and (m := TOKEN.match(page, at)):
+        if at > last:  # no tag ends any more: what is left is text, up to an open comment
+            flat.append(("", "", page[at:].partition("<!--")[0].partition("<![CDATA[")[0]))
+            break
         at = m.end()
         if m[1]:
             name, closing = m[1].lower(), m[0][1] == "/"
             if name in RAW and not closing and not m[0].endswith("/>"):
-                if lower is None:
-                    lower = page.lower() if len(page.lower()) == len(page) else page
-                end = lower.find(f"</{name}", at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(page) if name in ("script", "style") else at
+                end = None if name in endless else RAW_END[name].search(page, at)
+                if end is None:
+                    endless.add(name)
+                at = end.end() if end else len(page) if name in ("script", "style") else at
                 continue
             if not (name in RAW and closing):
                 flat.append((name, "/" if closing else "", m[2] or ""))
         elif m[0][0] != "<" or m[0] == "<":
             flat.append(("", "", m[0]))
+    return flat
+
+
+def tokens(page: str) -> list[tuple[str, str]]:
+    """("", text) and (tag name, "" or "/") in order, without unwanted elements; "/" stands before a closing tag's name."""
+    flat = pieces_of(page)
     out: list[tuple[str, str]] = []
     closes = Counter(name for name, closing, _ in flat if closing)
     letters = sum(len(x[2]) for x in flat if not x[0])
@@ -98,6 +129,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
                         break
                     k += 1
             inner = flat[i:k]
+            if k > i and not unwanted(name, more, articles > 0, seen, True) and 3 * sum(len(x[2]) for x in inner if not x[0]) > letters:
+                out.append((name, ""))  # much of the page under a name that only sounds so
+                continue
             if k > i and (not seen and any(x[0] in ("article", "main") and not x[1] for x in inner) or name == "form" and 2 * sum(len(x[2]) for x in inner if not x[0]) > letters):
                 out.append((name, ""))  # a frame around the page's content, whatever its name
                 continue
@@ -116,19 +150,65 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def weigh(pages: list[tuple[str, str, str]]) -> dict[str, float]:
-    """Weights by token kind ("" is a word) from pages given as (before, content, after), three pieces of one page's html."""
+def token_counts(pages) -> tuple[Counter, Counter]:
+    """Counts of token kinds ("" is a word) inside and outside the content of pages given as (before, content, after), three pieces of one page's html."""
     inside, outside = Counter(), Counter()
     for before, content, after in pages:
         for counts, piece in ((inside, content), (outside, before), (outside, after)):
-            for name, text in tokens(piece):
-                counts[name and f"{text}{name}"] += 1 if name else len(text.split())
-    kinds, n_in, n_out = {*inside, *outside}, sum(inside.values()), sum(outside.values())
-    odds = {k: math.log((inside[k] + 0.5) / (n_in + 0.5 * len(kinds))) - math.log((outside[k] + 0.5) / (n_out + 0.5 * len(kinds))) for k in kinds}
-    word = max(odds.pop(""), 0.25)
+            for name, closing, text in pieces_of(piece):
+                counts[name and f"{closing}{name}"] += 1 if name else len(text.split())
+    return inside, outside
+
+
+def weigh(*sets: tuple[Counter, Counter]) -> dict[str, float]:
+    """Weights by token kind ("" is a word): the mean over sets of counts, of those that know the kind."""
+    found: dict[str, list[float]] = {}
+    for inside, outside in sets:
+        kinds, n_in, n_out = {*inside, *outside}, sum(inside.values()), sum(outside.values())
+        for k in kinds:
+            found.setdefault(k, []).append(math.log((inside[k] + 0.5) / (n_in + 0.5 * len(kinds))) - math.log((outside[k] + 0.5) / (n_out + 0.5 * len(kinds))))
+    odds = {k: sum(x) / len(x) for k, x in found.items()}
+    word = max(odds.pop("", 0.0), 0.25)
     return {"": word} | {k: min(v, -word / 8) for k, v in odds.items()}
 
 
+#: Bounds of the sample of labelled pages, and of a page's characters in it.
+LABELLED, LABELLED_CHARS = 500, 200_000
+CONTENT = re.compile(r"<(article|main)\b[^>]*+>", re.IGNORECASE)
+
+
+def split_page(page: str) -> tuple[str, str, str] | None:
+    """(before, content, after) of a page that marks one article, or, without any, one main element."""
+    marks = [m for m in CONTENT.finditer(page)]
+    for name in ("article", "main"):
+        own = [m for m in marks if m[1].lower() == name]
+        if own:
+            end = page.lower().rfind(f"</{name}") if len(page.lower()) == len(page) else -1
+            return (page[: own[0].end()], page[own[0].end() : end], page[end:]) if len(own) == 1 and end > own[0].end() else None
+    return None
+
+
+def learned(pages: DataFrame) -> dict[str, float]:
+    """Weights from the labelled pages of a table, by hash of their id, and from those laid out by rule."""
+    html = F.col("html")
+    chosen = pages.where((F.length(html) <= LABELLED_CHARS) & html.rlike(r"(?i)<(article|main)\b")).select(F.xxhash64("page_id", html).alias("h"), html.alias("html")).orderBy("h", "html").limit(LABELLED)
+
+    def count(batches):
+        inside, outside = Counter(), Counter()
+        for batch in batches:
+            for v in batch.column(0):
+                if (parts := split_page(v.as_py())) is not None:
+                    a, b = token_counts([parts])
+                    inside.update(a)
+                    outside.update(b)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([inside, outside])])], names=["counts"])
+
+    found = [[Counter(x) for x in json.loads(r[0])] for r in chosen.select("html").mapInArrow(count, "counts string").collect()]  # a row for each of few tasks
+    inside, outside = (sum((f[k] for f in found), Counter()) for k in range(2))
+    rule = token_counts(labelled_pages())
+    return weigh(rule, (inside, outside)) if inside and outside else weigh(rule)
+
+
 def labelled_pages() -> list[tuple[str, str, str]]:
     """Pages with known content, laid out by rule: semantic and plain containers, lists, quotes, tables and headings, and what stands around."""
     out, prose = [], "plain words of a sentence that goes on for some while and then ends"
@@ -191,7 +271,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
 
 def main_texts(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    weights = weights or weigh(labelled_pages())
+    weights = weights or learned(pages)
     kind, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
 
     def run(batches):

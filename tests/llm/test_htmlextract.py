@@ -1,12 +1,13 @@
 import html
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from concord.llm import htmlextract as h
 
-WEIGHTS = h.weigh(h.labelled_pages())
+WEIGHTS = h.weigh(h.token_counts(h.labelled_pages()))
 
 
 def text(page):
@@ -72,6 +73,41 @@ def test_articles_come_back_whole(blocks):
     assert text(f"<html><body><nav><a>Menu</a></nav><article>{body}</article><footer>&copy; x</footer></body></html>") == want
 
 
+def test_what_lies_inside_the_article_stays():
+    """Names that only contain a mark's word, formulas, odd quotes and capitals that change their length."""
+    p = P.strip()
+    for inner in (f'<section id="search-algorithms"><p>{P}</p></section>', f'<div class="legal-analysis"><p>{P}</p></div>', f'<p class="side-note">{P}</p>', f'<math><mi>{P}</mi></math>', f'<p><a title="it"s" href="x">{P}</a></p>', f"<p title='x>{P}</p>", f"<p>\u0130</p><SCRIPT>var x = '<p>no</p>';</SCRIPT><p>{P}</p>", f'<p data-x="<b>no</b>">{P}</p>', f'<p><a href="a"title="b>c" x=\'>{P}</a></p>'):
+        got = text(f"<body><nav><a>Menu</a></nav><article><p>First {P}</p>{inner}<p>Last</p></article><footer>x</footer></body>")
+        assert got.startswith(f"First {p}") and p in got[6 + len(p) :] and got.endswith("Last") and not re.search("title|href|no|=", got.replace(p, "")), inner
+    for inner in (f'<div class="ad-box"><p>{P}</p></div>', f'<aside>{P}</aside>', f'<div class="newsletter signup">{P}</div>', f'<section class="relatedPosts">{P}</section>', f'<div id="comments-list">{P}</div>'):
+        assert text(f"<article><p>First</p>{inner}<p>Last</p></article>") == "First\n\nLast", inner
+
+
+def test_pages_without_marks_are_cut_by_their_weights(spark):
+    """Weights learned from a table's marked pages find the content of others that are laid out alike."""
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    menu = "".join(f"<div><i><a href=x>{w}</a></i></div>" for w in "one two three four five six".split())
+    page = lambda k, a, b: f"<html><body><div>{menu}</div><{a}><h1>Head {k}</h1><p>{prose(k)}</p><p>{prose(k + 100)}</p></{b}><div>{menu}</div></body></html>"
+    rows = [(k, "u", page(k, "article", "article")) for k in range(20)] + [(k, "u", page(k, "div", "div")) for k in range(20, 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in h.main_texts(pages).collect()}
+    assert all(got[k] == f"Head {k}\n\n{prose(k)}\n\n{prose(k + 100)}" for k in range(40))
+    weights = h.learned(pages)
+    assert weights["i"] < weights["p"] < 0 < weights[""]
+
+
+def test_an_article_that_never_closes_goes_on_to_the_links():
+    """Text behind it counts as the article's; menus by name don't."""
+    assert text(f"<article><p>{P}</p><nav><a>Menu</a></nav>") == P.strip()
+
+
+def test_unbalanced_and_repeated_marks_take_linear_time():
+    for piece in ("<div class=ad>", "<title>", "<a href=\"", "<p title='", "<!--", "</div>", "<svg>", "<b x=\"y\" ", "=\"x\"", "<nav>"):
+        began = time.perf_counter()
+        text("<article><p>x</p>" + piece * 20_000)
+        assert time.perf_counter() - began < 10, piece
+
+
 def test_long_page_and_unclosed_marks():
     page = "<article>" + f"<p>{P}</p>" * 20_000 + "<" * 1000 + "</article>"
     assert text(page).count(P.strip()) == 20_000
