@@ -5,15 +5,17 @@ passes its size takes everything once and fits the rest of its budget; the other
 fit all of it.  Most of a budget is dealt over the lengths in proportion to their
 words; the last ``DP_WORDS`` or so go through a bounded-knapsack dynamic programme
 over reachable sums, which finds how many documents of each length to take so that
-the budget is met exactly or missed by the least.  The documents of a length are
-then chosen by a seeded hash of their id.
+the budget is met exactly or by the nearest sum below.  The documents of a length are
+then chosen by a seeded hash of their id and text.
 
 Targets come from rounds of one small aggregate each: sources that reach their stop
 are set to it and the rest is shared again by weight.
 
 Defined cases: null texts have no words; a null source is one source, the last;
-texts without words take nothing; repeated rows and ids count each; an empty table
-gives an empty mix.
+texts without words take nothing; repeated rows and ids count each; documents of one
+length that tie by hash have the same id and text; an empty table gives an empty mix; a
+text of any length is counted whole where it is read; extra columns are kept, whatever
+their names, and never weighed.
 """
 
 from __future__ import annotations
@@ -89,8 +91,17 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
                 owed += dealt / total * float(sizes[i] * counts[i])
                 take[i] = min(counts[i], int(owed // sizes[i]))
                 owed -= float(take[i] * sizes[i])
+    rest = budget - int((take * sizes).sum())
+    for i in range(len(sizes)):  # documents longer than the programme's sums, and what would make those too large, by length
+        room = rest if sizes[i] > dp_words else rest - dp_words
+        if sizes[i] and room >= sizes[i]:
+            k = min(counts[i] - take[i], room // sizes[i])
+            take[i] += k
+            rest -= int(k * sizes[i])
+    fits = sizes <= rest
+    rest = min(rest, int((sizes * (counts - take))[fits].sum()))
     # few of each length are needed for the rest, and varied lengths first make every sum reachable soon
-    for size, k in reachable(sizes, counts - take, budget - int((take * sizes).sum())).items():
+    for size, k in reachable(sizes[fits], (counts - take)[fits], rest).items():
         take[np.flatnonzero(sizes == size)[0]] += k
     out = np.zeros(len(sizes), np.int64)
     out[order] = take
@@ -148,43 +159,82 @@ def plans(counts: DataFrame, goal: DataFrame, dp_words: int = DP_WORDS) -> DataF
     return lengths.select("source", "lengths", "source_size", "target").mapInArrow(fit, schema)
 
 
-def mix(docs: DataFrame, carry: dict[str, Column] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, dp_words: int = DP_WORDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken and the columns of ``carry``) of every row."""
-    carried = list(carry or {})
-    own = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[c.alias(k) for k, c in (carry or {}).items()]), "sized")
+def order_hash(seed: int) -> Column:
+    """What orders the documents of a length: a hash of id and text, null apart from empty."""
+    return F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("text"), F.lit(seed))
+
+
+def row_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+
+
+def pieces_of(n: Column) -> Column:
+    """Pieces in which a length's documents are ranked, about sqrt(n), so no length is ranked in one task."""
+    return F.greatest(F.ceil(F.sqrt(n)), F.lit(1))
+
+
+def planned(own: DataFrame, weights: tuple, share: float, most: float, dp_words: int) -> DataFrame:
+    """(key, size, n, source_size, target, base, extra) of each source and length."""
     counts = materialize(own.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(totals, weights, share, most).withColumnRenamed("source", "goal_source")
     plan = materialize(plans(counts, goal, dp_words), "plan")
-    small = plan.count() <= BROADCAST_ROWS
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    plan = plan.select(key.alias("key"), F.col("size").alias("size"), "n", "source_size", "target", "base", "extra")
-    rows = own.withColumn("key", key).join(F.broadcast(plan) if small else plan, ["key", "size"])
-    # a length's documents are ranked by hash in about sqrt(n) pieces, so no length is ranked in one task
-    pieces = F.greatest(F.ceil(F.sqrt("n")), F.lit(1))
-    hashed = rows.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("piece", F.pmod(F.col("h"), pieces))
+    return plan.select(row_key().alias("key"), "size", "n", "source_size", "target", "base", "extra")
+
+
+def sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """Id, source, size and hash of each row."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_hash(seed).alias("h"), *more)
+
+
+def near(plan: DataFrame) -> DataFrame:
+    """A plan, to be broadcast while it has few rows."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+
+
+def ranked(own: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of ``own`` with their plan, their piece and ``more``, whether they are taken once more than ``base``."""
+    hashed = own.withColumn("key", row_key()).join(near(plan), ["key", "size"]).withColumn("piece", F.pmod(F.col("h"), pieces_of(F.col("n"))))
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     some = hashed.where(split)
     sums = some.groupBy("key", "size", "piece").agg(F.count(F.lit(1)).alias("m"))
     before = sums.select("key", "size", "piece", (F.sum("m").over(W.partitionBy("key", "size").orderBy("piece").rowsBetween(W.unboundedPreceding, 0)) - F.col("m")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("key", "size", "piece").orderBy("h", "doc_id", *carried))
+    rank = F.row_number().over(W.partitionBy("key", "size", "piece").orderBy("h", "doc_id"))
     chosen = some.join(before, ["key", "size", "piece"]).withColumn("more", (F.col("before") + rank <= F.col("extra")).cast("long")).drop("before")
-    others = hashed.where(~split).withColumn("more", (F.col("extra") > 0).cast("long"))
+    return chosen.unionByName(hashed.where(~split).withColumn("more", (F.col("extra") > 0).cast("long")))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, dp_words: int = DP_WORDS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row."""
+    own = materialize(sized(docs, seed), "sized")
     copies = F.col("base") + F.col("more")
-    return chosen.unionByName(others).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carried)
+    return ranked(own, planned(own, weights, share, most, dp_words)).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, dp_words: int = DP_WORDS) -> DataFrame:
     """The documents that the mix takes, with ``copies`` (``copies_2`` and so on where documents have that column).
 
-    Rows that are equal in all columns but maps become one row with all their copies.
+    Of a length's documents those up to a place in the order of their hashes are taken,
+    so each row needs only its plan: no text is shuffled.  Rows that are equal in all
+    columns but maps become one row with all their copies.
     """
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    row = {"row_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row_hash": F.xxhash64(*hashed)}
-    taken = mix(docs, row).where("copies > 0").groupBy("row_id", "row_hash").agg(F.sum("copies").alias("copies"))
-    packed = docs.select(*[c.alias(k) for k, c in row.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = packed.join(taken, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"])
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row_hash = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    own = materialize(sized(docs, seed, row_hash.alias("row_hash")), "sized")
+    plan = planned(own, weights, share, most, dp_words)
+    taken = ranked(own, plan)
+    last = taken.where((F.col("extra") > 0) & (F.col("extra") < F.col("n")) & (F.col("more") > 0)).groupBy("key", "size").agg(F.max(F.struct("piece", "h")).alias("last"))
+    plan = materialize(plan.join(last, ["key", "size"], "left"), "cuts")
+    repeated = materialize(own.groupBy("h", "row_hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated")
+    packed = docs.select(order_hash(seed).alias("h"), row_hash.alias("row_hash"), row_key().alias("key"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    more = F.when(F.col("extra") >= F.col("n"), 1).when(F.col("extra") <= 0, 0).otherwise((F.struct(F.pmod(F.col("h"), pieces_of(F.col("n"))).alias("piece"), "h") <= F.col("last")).cast("int"))
+    kept = packed.join(near(plan), ["key", "size"]).select("h", "row_hash", "row", (F.col("base") + more).alias("copies"))
+    if not repeated.isEmpty():
+        side = near(repeated.select("h", "row_hash"))
+        sums = taken.join(side, ["h", "row_hash"], "left_semi").groupBy("h", "row_hash").agg(F.sum(F.col("base") + F.col("more")).alias("copies"))
+        once = kept.join(side, ["h", "row_hash"], "left_semi").drop("copies").dropDuplicates(["h", "row_hash"]).join(sums, ["h", "row_hash"])
+        kept = kept.join(side, ["h", "row_hash"], "left_anti").unionByName(once)
     name, k = "copies", 2
     while name in docs.columns:
         name, k = f"copies_{k}", k + 1
-    return kept.select("row.*", F.col("copies").alias(name))
+    return kept.where("copies > 0").select("row.*", F.col("copies").alias(name))

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -117,6 +118,41 @@ def test_repeated_rows_come_once_with_all_copies(spark):
     assert sum(r["taken"] for r in m.mix(docs).collect()) == sum(len(t.split()) * n for (_, t), n in taken.items())
 
 
+def test_long_documents_leave_the_programme_small(monkeypatch):
+    """Sums of the programme stay within a few times ``dp_words``, whatever is left of a budget."""
+    budgets = []
+    plain = m.reachable
+    monkeypatch.setattr(m, "reachable", lambda s, n, b: budgets.append(b) or plain(s, n, b))
+    for sizes, counts, budget in (([10**9, 5], [1, 40], 5 * 10**8), ([4 * 10**8, 7], [2, 9], 5 * 10**8), ([10**7, 3000, 11], [30, 5000, 10**6], 123_456_789), ([10**6 + 1, 10**6], [900, 900], 10**9 - 1)):
+        sizes, counts = np.array(sizes, np.int64), np.array(counts, np.int64)
+        take = m.fit_budget(sizes, counts, budget, 1000)
+        total = int((take * sizes).sum())
+        assert (take <= counts).all() and total <= budget and budgets[-1] <= 5000
+        left = sizes[take < counts]
+        assert not len(left) or total + left.min() > budget or total == budget
+
+
+def test_mixed_documents_are_those_of_the_mix(spark, monkeypatch):
+    docs, _ = corpus(spark)
+    copies = lambda rows: +sum((Counter({(r["doc_id"], r["source"]): r["copies"]}) for r in rows), Counter())
+    want = copies(m.mix(docs).collect())
+    for rows in (m.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", rows)
+        out = m.mixed_documents(docs)
+        assert copies(out.collect()) == want and out.count() == out.select("doc_id", "source", "text").distinct().count()
+    unique = spark.createDataFrame([(i, "w " * (i % 9), "s") for i in range(90)], "doc_id long, text string, source string")
+    monkeypatch.undo()
+    assert "Exchange hashpartitioning" not in m.mixed_documents(unique)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nulls_keep_rows_apart(spark):
+    rows = [(1, "a b", None, "x"), (1, "a b", "x", None), (1, "a b", None, "x"), (None, "c d", "s", None), (None, "c d", "s", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more string")
+    out = {(r["doc_id"], r["source"], r["more"]) for r in m.mixed_documents(docs).collect()}
+    assert out <= {(r[0], *r[2:]) for r in rows} and m.mixed_documents(docs).count() == len(out)
+    assert sum(r["taken"] for r in m.mix(docs).collect()) == sum(2 * r["copies"] for r in m.mixed_documents(docs).collect())
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.mix(docs).count() == 0 and m.mixed_documents(docs).count() == 0
