@@ -191,7 +191,9 @@ def split_page(page: str) -> tuple[str, str, str] | None:
 def learned(pages: DataFrame) -> dict[str, float]:
     """Weights from the labelled pages of a table, by hash of their id, and from those laid out by rule."""
     html = F.col("html")
-    chosen = pages.where((F.length(html) <= LABELLED_CHARS) & html.rlike(r"(?i)<(article|main)\b")).select(F.xxhash64("page_id", html).alias("h"), html.alias("html")).orderBy("h", "html").limit(LABELLED)
+    able = pages.where((F.length(html) <= LABELLED_CHARS) & html.rlike(r"(?i)<(article|main)\b")).select(F.xxhash64("page_id", html).alias("h"), html.alias("html"))
+    least = [r[0] for r in able.select("h").distinct().orderBy("h").limit(LABELLED).collect()]  # hashes alone meet, not pages
+    chosen = able.where(F.col("h").isin(least)).dropDuplicates(["h"])
 
     def count(batches):
         inside, outside = Counter(), Counter()
@@ -201,9 +203,10 @@ def learned(pages: DataFrame) -> dict[str, float]:
                     a, b = token_counts([parts])
                     inside.update(a)
                     outside.update(b)
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([inside, outside])])], names=["counts"])
+        if inside or outside:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps([inside, outside])])], names=["counts"])
 
-    found = [[Counter(x) for x in json.loads(r[0])] for r in chosen.select("html").mapInArrow(count, "counts string").collect()]  # a row for each of few tasks
+    found = [[Counter(x) for x in json.loads(r[0])] for r in chosen.select("html").mapInArrow(count, "counts string").collect()]  # a row for each task that has labelled pages
     inside, outside = (sum((f[k] for f in found), Counter()) for k in range(2))
     rule = token_counts(labelled_pages())
     return weigh(rule, (inside, outside)) if inside and outside else weigh(rule)

@@ -9,7 +9,10 @@ product and a sigmoid.
 Defined cases: null and empty texts score the intercept alone; a text of any
 length is scored whole, in constant memory a word; ids, labels, language and source
 never enter a score; without labels of both kinds the model is the intercept of
-what there is (0 without any label, score 0.5).
+what there is (0 without any label, score 0.5); an empty table gives no rows; repeated and
+tied rows of the sample count each time, in the order of a hash of their text; blocks of
+rows of 1 MB or of one longer text are scored at once; no extra column is read, whatever
+its name.
 """
 
 from __future__ import annotations

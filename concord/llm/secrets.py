@@ -9,7 +9,9 @@ the window is placeholders.  Base spans are cut out of candidates first; what is
 is scanned.  Offsets are code points, ends exclusive.
 
 Defined cases: null texts count as empty and have no spans; repeated rows give
-repeated results; texts are scanned whole.
+repeated results; an empty table gives no rows; spans that start together come in the order
+of their kinds; texts are scanned whole, in time linear in their length; extra columns are
+never read, whatever their names.
 """
 
 from __future__ import annotations
