@@ -308,13 +308,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, fp long, root long, component_id) of each row: its fingerprint, its class by fingerprint and the class's smallest doc_id."""
     own = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     bound = components(links(fps, hot))
     members = bound.select(F.col("node").alias("fp"), "root").union(bound.select(F.col("root").alias("fp"), "root").distinct())
     least = members.join(fps, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     known = materialize(members.join(least, "root").select("fp", "root", "component_id"), "classes")
-    every = fps.join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return own.join(every, "fp").select("doc_id", "fp", "root", "component_id")
+    every = fps.join(known, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    # a fingerprint with very many rows doesn't meet them in one task: there are few such, and they go to the rows
+    crowded = materialize(every.where(F.col("n") > hot), "crowded")
+    few = crowded.count()
+    if not few:
+        return own.join(every, "fp").select("doc_id", "fp", "root", "component_id")
+    side = F.broadcast(crowded) if few <= BROADCAST_ROWS else crowded
+    rest = own.join(side.select("fp"), "fp", "left_anti").join(every.where(F.col("n") <= hot), "fp")
+    return own.join(side, "fp").unionByName(rest).select("doc_id", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -105,7 +105,9 @@ ROWS = [(7, "one two three four"), (3, "One  two\nthree four"), (9, "one two thr
 
 def test_near_duplicates_with_nulls_ties_and_copies(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("root", F.lit(0))
-    got = sorted((str(r["doc_id"]), r["fp"] & (2**64 - 1), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    found = lambda hot: sorted((str(r["doc_id"]), r["fp"] & (2**64 - 1), str(r["component_id"])) for r in simhash.near_duplicates(docs, hot=hot).collect())
+    got = found(simhash.HOT)
+    assert got == found(1) == found(2)  # fingerprints with more rows are joined apart
     coded = [(i, brute_fingerprint(t)) for i, t in ROWS]
     assert got == sorted((str(i), f, str(c)) for (i, f), c in zip(coded, brute_components(coded), strict=True))
 
