@@ -51,15 +51,23 @@ def predicate(df: DataFrame, f: Filter, side: str) -> Column:
     return c > value if f.kind == "greater_than" else c < value
 
 
-#: Most values of one list, as the strictest engine takes them; more are several lists, and from the second number on a semi-join.
+#: Most values of one list, as the strictest engine takes them; more are a semi-join or, up to the second number, several lists for an engine to filter by.
 ONE_LIST, LONG_LIST = 1000, 16_000
+#: Beginning of the names of JDBC catalogs.
+JDBC_CATALOG = "concord_jdbc_"
+
+
+def remote(df: DataFrame) -> bool:
+    """Whether a JDBC engine reads the rows, which can filter them before they are sent."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return JDBC_CATALOG in plan or "JDBCRelation(" in plan
 
 
 def filtered(df: DataFrame, filters: tuple[Filter, ...], side: str) -> DataFrame:
     """Rows that pass all filters; long lists of values become a table to join with."""
     for f in filters:
         values = (f.source if side == SOURCE else f.target) if f.kind == "isin" else ()
-        if len(values or ()) > LONG_LIST:
+        if len(values or ()) > ONE_LIST and (len(values) > LONG_LIST or not remote(df)):
             name = actual(df, f.source_column if side == SOURCE else f.target_column)
             listed = df.sparkSession.createDataFrame([(v,) for v in set(values)], T.StructType([T.StructField(name, df.schema[name].dataType)]))
             df = df.join(listed, name, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

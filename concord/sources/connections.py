@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.plans.frames import JDBC_CATALOG
+
 #: Directory of stored connections: this variable's value, or the default.
 DIRECTORY_VARIABLE, DIRECTORY = "CONCORD_CONN_HOME", "~/.config/concord"
 FILE_TYPES = ("csv", "json", "orc", "parquet")
@@ -207,7 +209,7 @@ class Connection:
     def pushed(self, schema: str | None, table: str | None) -> DataFrame:
         """A table of a JDBC catalog of this session, made for the connection when it is first asked for."""
         options = {"fetchsize": str(self.config.get("fetch_size") or FETCH_ROWS)} | jdbc_options(self.config)
-        catalog = "concord_" + hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()[:12]
+        catalog = JDBC_CATALOG + hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()[:12]
         prefix = f"spark.sql.catalog.{catalog}"
         if self.spark.conf.get(prefix, None) is None:
             self.spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")

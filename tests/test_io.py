@@ -7,7 +7,8 @@ import pytest
 
 from concord import cli
 from concord.arguments import filters, labels, names, positive, result_handler, statuses, table_mappings, table_reference, threshold
-from concord.plans.spec import ValidationSpec, load_specs, parse_document
+from concord.plans.frames import SOURCE, filtered
+from concord.plans.spec import Filter, ValidationSpec, load_specs, parse_document
 from concord.runner import Runner
 from concord.service import server
 from concord.sources.connections import FIELDS, JDBC, ConnectionFailure, ConnectionStore, Files, config_from_options, connect, jdbc_options
@@ -319,6 +320,12 @@ def test_jdbc_against_an_embedded_engine(spark):
     plan = summed._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregates: [" in plan and "MAX(ID)" in plan and "PushedFilters: [G IS NOT NULL, G = 3]" in plan
     assert sorted(summed.first()) == [143, 997] and c.query("SELECT G, COUNT(*) AS N FROM APP.ITEMS GROUP BY G").count() == 7
+    listed = Filter("isin", list(range(0, 2500)), list(range(0, 2500)), "ID", "ID")
+    for df in (c.table("APP", "ITEMS"), ranged):
+        some = filtered(df, (listed,), SOURCE)
+        assert some.count() == 1000 and "Join" not in some._jdf.queryExecution().optimizedPlan().toString()
+    local = filtered(spark.range(5000).toDF("ID"), (listed,), SOURCE)
+    assert local.count() == 2500 and "Join" in local._jdf.queryExecution().optimizedPlan().toString()
     spec = ValidationSpec.from_dict({"type": "Row", "schema_name": "APP", "table_name": "ITEMS", "source_conn": DERBY, "target_conn": DERBY, "primary_keys": [{"source_column": "ID", "target_column": "ID", "field_alias": "id"}], "comparison_fields": [{"source_column": "T", "target_column": "T", "field_alias": "t"}]})
     report = Runner(spark).report(spec)
     assert report.count() == 1000 and report.where("validation_status = 'fail'").count() == 0
