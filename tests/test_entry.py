@@ -2,7 +2,7 @@ import pytest
 from tests.oracle import duckdb_rows, spark_rows
 
 import __spark_entry__
-from concord import queries
+from concord import interface_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
