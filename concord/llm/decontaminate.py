@@ -7,8 +7,9 @@ the longest common unmarked runs again and again, found by running Karp-Rabin
 hashes of falling length, and the item's share of marked words decides, so passages
 that were cut up and reordered count as well.
 
-The benchmark is read in blocks of at most ``BLOCK_TEXT`` bytes of text, each
-broadcast for one pass over the documents; nothing else is sent to all executors.
+The benchmark is read in blocks of about ``BLOCK_TEXT`` bytes of text.  One block is
+broadcast; the blocks of a larger benchmark become files of the shared folder that workers
+map into memory.  Either way the documents are read and hashed once.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than
 ``MIN_MATCH`` words matches documents that hold all of it in one piece, and one of fewer
@@ -21,13 +22,18 @@ extra columns are kept and never read, whatever their names.
 
 from __future__ import annotations
 
+import pickle
+from itertools import chain, islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from concord.llm.store import opened, shared
+from concord.llm.kneserney import Folder
+from concord.llm.store import new_folder, opened, shared
 from concord.llm.words import alphanumeric_words, blocks, hashed_blocks, pair_hash, release, string_parts
 
 #: Words of a seed and of the shortest tile; share of an item's words from which a document is contaminated.
@@ -200,8 +206,32 @@ def tile(a: np.ndarray, b: np.ndarray, stops: np.ndarray, min_match: int = MIN_M
         length = max(min_match, length // 2)
 
 
+class HashedTexts:
+    """Words of some texts, their grams of some lengths, and which of these pass a sieve."""
+
+    def __init__(self, h: np.ndarray, row: np.ndarray, rows: int, lengths: list[int], sieve: np.ndarray):
+        self.h, self.row, self.cuts = h, row, np.searchsorted(row, np.arange(rows + 1))
+        self.grams, self.hits = {}, {}
+        shift = np.uint64(64 - (len(sieve).bit_length() - 1))
+        for n in lengths:
+            self.grams[n] = word_grams(h, n)
+            at = np.flatnonzero(sieve[self.grams[n] >> shift])
+            self.hits[n] = at[row[at] == row[at + n - 1]]
+
+    def among(self, n: int, sorted_hashes: np.ndarray) -> np.ndarray:
+        """Places whose gram of length ``n`` is listed."""
+        at = self.hits[n]
+        if not len(sorted_hashes) or not len(at):
+            return at[:0]
+        own = self.grams[n][at]
+        return at[sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, own), len(sorted_hashes) - 1)] == own]
+
+
 class BenchmarkBlock:
-    """Seeds of some benchmark items, sorted by hash."""
+    """Words and sorted seeds of some benchmark items, in arrays that can be written and mapped.
+
+    ``shorter`` holds, by length, the sorted hashes of items without a seed, and which items those are.
+    """
 
     def __init__(self, ids: list, texts: list, min_match: int = MIN_MATCH, threshold: float = THRESHOLD):
         self.ids, self.min_match, self.threshold = ids, min_match, threshold
@@ -209,23 +239,50 @@ class BenchmarkBlock:
         for first, last, h, row in word_blocks(pa.array(texts, pa.string())):
             cuts = np.searchsorted(row, np.arange(last - first + 1))
             words += [h[cuts[i] : cuts[i + 1]] for i in range(last - first)]
-        self.words = words
+        self.flat = np.concatenate(words or [np.zeros(0, np.uint64)])
+        self.starts = np.cumsum([0] + [len(w) for w in words]).astype(np.uint64)
         grams = [word_grams(w, min_match) for w in words]
-        item = np.repeat(np.arange(len(words), dtype=np.int32), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams] or [np.zeros(0, np.int32)])
+        item = np.repeat(np.arange(len(words), dtype=np.uint64), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.uint64) for g in grams] or [np.zeros(0, np.uint64)])
         seeds = np.concatenate(grams or [np.zeros(0, np.uint64)])
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item, self.place = seeds[order], item[order], place[order]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.short: dict[bytes, list[int]] = {}  # items that only whole documents match
-        self.phrases: dict[int, dict[int, list[int]]] = {}  # by length and hash, items that match wherever they stand
-        for i, w in enumerate(words):
-            if 0 < len(w) < min(min_match, PHRASE):
-                self.short.setdefault(w.tobytes(), []).append(i)
-            elif 0 < len(w) < min_match:
-                self.phrases.setdefault(len(w), {}).setdefault(int(word_grams(w, len(w))[0]), []).append(i)
+        self.seeds, self.at = seeds[order], (item << np.uint64(32) | place)[order]
+        self.shorter = {}
+        for n in range(1, min_match):
+            found = sorted((int(word_grams(w, n)[0]), i) for i, w in enumerate(words) if len(w) == n)
+            self.shorter[n] = tuple(np.array([x[k] for x in found], np.uint64) for k in (0, 1))
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.seeds >> np.uint64(44)] = True
+        self.mark(self.sieve)
+
+    def mark(self, sieve: np.ndarray) -> None:
+        """Set the sieve where this block's hashes fall."""
+        shift = np.uint64(64 - (len(sieve).bit_length() - 1))
+        for hashes in (self.seeds, *(h for h, _ in self.shorter.values())):
+            sieve[hashes >> shift] = True
+
+    def packed(self) -> np.ndarray:
+        """All arrays in one, after their lengths."""
+        ids = pickle.dumps(self.ids)
+        parts = [self.seeds, self.at, self.flat, self.starts, *(x for pair in self.shorter.values() for x in pair), np.frombuffer(ids + bytes(-len(ids) % 8), np.uint64)]
+        return np.concatenate([np.array([len(x) for x in parts], np.uint64), *parts])
+
+    @classmethod
+    def unpacked(cls, data: np.ndarray, min_match: int, threshold: float) -> BenchmarkBlock:
+        """The block of ``packed`` data, which stays where it is."""
+        self, n = cls.__new__(cls), 5 + 2 * (min_match - 1)
+        ends = n + np.cumsum(data[:n].astype(np.int64))
+        parts = [data[end - int(size) : end] for end, size in zip(ends, data[:n], strict=True)]
+        self.seeds, self.at, self.flat, self.starts = parts[:4]
+        self.shorter = {k: (parts[2 + 2 * k], parts[3 + 2 * k]) for k in range(1, min_match)}
+        self.ids, self.min_match, self.threshold = pickle.loads(parts[-1].tobytes()), min_match, threshold
+        return self
+
+    def lengths(self) -> list[int]:
+        """Lengths of grams that are looked up."""
+        return [n for n, (_, items) in self.shorter.items() if len(items)] + [self.min_match]
+
+    def words(self, i: int) -> np.ndarray:
+        return self.flat[int(self.starts[i]) : int(self.starts[i + 1])]
 
     def of_document(self, h: np.ndarray, grams: np.ndarray, hits: np.ndarray):
         """(item index, words marked, tiles) of the items that a document covers; hits: its gram positions that are seeds."""
@@ -233,14 +290,17 @@ class BenchmarkBlock:
         left, right = np.searchsorted(self.seeds, distinct, "left"), np.searchsorted(self.seeds, distinct, "right")
         counts = right - left
         at = np.repeat(left, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        item, place, gram = self.item[at], self.place[at], np.repeat(distinct, counts)
+        both, gram = self.at[at], np.repeat(distinct, counts)
+        item, place = ((x.astype(np.int64)) for x in (both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)))
         order = np.lexsort((place, item))
         item, place, gram = item[order], place[order], gram[order]
         gap = np.full(len(item), self.min_match)
         same = item[1:] == item[:-1]
         gap[:-1][same] = np.minimum(np.diff(place)[same], self.min_match)
-        reach = np.bincount(item, gap, len(self.sizes))
-        for i in np.flatnonzero((reach > 0) & (reach >= self.threshold * self.sizes)):
+        own, which = np.unique(item, return_inverse=True)
+        sizes = (self.starts[own + 1] - self.starts[own]).astype(np.int64)
+        reach = np.bincount(which, gap, len(own))
+        for i, size in zip(own[reach >= self.threshold * sizes], sizes[reach >= self.threshold * sizes], strict=True):
             seeded = hits[np.isin(grams[hits], gram[item == i])]
             covered = np.zeros(len(h) + 1, bool)
             for k in range(self.min_match):
@@ -248,34 +308,79 @@ class BenchmarkBlock:
             keep = covered.copy()
             keep[1:] |= covered[:-1]  # one stop after each covered run
             b, stops = np.append(h, np.uint64(0))[keep], ~covered[keep]
-            marked, tiles = tile(self.words[i], b, stops, self.min_match)
-            if marked.sum() >= self.threshold * self.sizes[i]:
+            marked, tiles = tile(self.words(i), b, stops, self.min_match)
+            if marked.sum() >= self.threshold * size:
                 yield int(i), int(marked.sum()), tiles
 
+    def search_hashed(self, x: HashedTexts):
+        """(row, item index, words marked, tiles) of contaminated texts."""
+        for n, (hashes, items) in self.shorter.items():
+            if not len(items):
+                continue
+            at, found = x.among(n, hashes), set()
+            for k in at.tolist():
+                r = int(x.row[k])
+                if n < PHRASE and x.cuts[r + 1] - x.cuts[r] != n:
+                    continue
+                lo, hi = np.searchsorted(hashes, x.grams[n][k], "left"), np.searchsorted(hashes, x.grams[n][k], "right")
+                found |= {(r, int(i)) for i in items[lo:hi] if (x.h[k : k + n] == self.words(int(i))).all()}
+            yield from ((r, i, n, 1) for r, i in sorted(found))
+        grams, hits = x.grams[self.min_match], x.among(self.min_match, self.seeds)
+        for r in np.unique(x.row[hits]):
+            lo, hi = x.cuts[r], x.cuts[r + 1]
+            own = hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)] - lo
+            for i, marked, tiles in self.of_document(x.h[lo:hi], grams[lo : max(lo, hi - self.min_match + 1)], own):
+                yield int(r), i, marked, tiles
+
     def search(self, texts: pa.Array):
         """(row, item index, words marked, tiles) of all contaminated texts."""
         for first, last, h, row in word_blocks(texts):
-            cuts = np.searchsorted(row, np.arange(last - first + 1))
-            for n, items in self.phrases.items():
-                grams = word_grams(h, n)
-                at = np.flatnonzero(np.isin(grams, np.array(list(items), np.uint64)))
-                at = at[row[at] == row[at + n - 1]]
-                found = {(int(row[k]), i) for k in at for i in items[int(grams[k])] if (h[k : k + n] == self.words[i]).all()}
-                yield from ((first + r, i, n, 1) for r, i in sorted(found))
-            if self.short:
-                for r in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < PHRASE)):
-                    for i in self.short.get(h[cuts[r] : cuts[r + 1]].tobytes(), ()):
-                        yield first + int(r), i, int(self.sizes[i]), 1
-            grams = word_grams(h, self.min_match)
-            hits = np.flatnonzero(self.sieve[grams >> np.uint64(44)])
-            hits = hits[row[hits] == row[hits + self.min_match - 1]]
-            near = np.searchsorted(self.seeds, grams[hits])
-            hits = hits[(near < len(self.seeds)) & (self.seeds[np.minimum(near, len(self.seeds) - 1)] == grams[hits])] if len(self.seeds) else hits[:0]
-            for r in np.unique(row[hits]):
-                lo, hi = cuts[r], cuts[r + 1]
-                own = hits[np.searchsorted(hits, lo) : np.searchsorted(hits, hi)] - lo
-                for i, marked, tiles in self.of_document(h[lo:hi], grams[lo : max(lo, hi - self.min_match + 1)], own):
-                    yield first + int(r), i, marked, tiles
+            for r, *found in self.search_hashed(HashedTexts(h, row, last - first, self.lengths(), self.sieve)):
+                yield first + r, *found
+
+    def found(self, texts: pa.Array):
+        """(row, item id, item words, words marked, tiles) of all contaminated texts."""
+        for r, i, marked, tiles in self.search(texts):
+            yield r, self.ids[i], int(self.starts[i + 1] - self.starts[i]), marked, tiles
+
+
+class Library:
+    """Blocks of a large benchmark as files of the shared folder, which workers map into memory.
+
+    Texts are hashed once, whatever the number of blocks; a sieve of up to 2^27
+    entries for all of them decides which grams are looked up.
+    """
+
+    def __init__(self, uri: str, blocks, min_match: int = MIN_MATCH, threshold: float = THRESHOLD):
+        self.folder, self.min_match, self.threshold, self.number, self.held = Folder(uri), min_match, threshold, 0, {}
+        entries = 0
+        for block in blocks:
+            self.folder.write(f"block-{self.number}", block.packed())
+            self.number += 1
+            entries += len(block.flat)
+        sieve = np.zeros(1 << min(27, max(20, (8 * entries).bit_length())), bool)
+        lengths: set[int] = set()
+        for k in range(self.number):
+            block = self.block(k)
+            block.mark(sieve)
+            lengths |= set(block.lengths())
+        self.lengths = sorted(lengths)
+        self.folder.write("sieve", sieve.view(np.uint64))
+        self.held = {}
+
+    def block(self, k: int) -> BenchmarkBlock:
+        return BenchmarkBlock.unpacked(self.folder.columns(f"block-{k}", 0)[0], self.min_match, self.threshold)
+
+    def found(self, texts: pa.Array):
+        """As BenchmarkBlock.found, in all blocks."""
+        if not self.held:
+            self.held = {k: self.block(k) for k in range(self.number)} | {"sieve": self.folder.columns("sieve", 0)[0].view(bool)}
+        for first, last, h, row in word_blocks(texts):
+            x = HashedTexts(h, row, last - first, self.lengths, self.held["sieve"])
+            for k in range(self.number):
+                block = self.held[k]
+                for r, i, marked, tiles in block.search_hashed(x):
+                    yield first + r, block.ids[i], int(block.starts[i + 1] - block.starts[i]), marked, tiles
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_text: int = BLOCK_TEXT, **settings):
@@ -292,37 +397,38 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str =
         yield BenchmarkBlock(ids, texts, **settings)
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """(doc_id, item_id, item_words, matched_words, tiles, coverage) for each contaminated document and item."""
-    spark, fields = docs.sparkSession, {f.name: f.dataType for f in docs.schema.fields}
-    kind, item_kind = fields["doc_id"].simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, item_words int, matched_words int, tiles int, coverage double"
+def searchable(benchmark: DataFrame, **settings):
+    """Broadcast of a benchmark of one block at most, or of the Library of a larger one."""
+    spark, blocks = benchmark.sparkSession, benchmark_blocks(benchmark, **settings)
+    few = list(islice(blocks, 2))
+    if len(few) < 2:
+        return shared(spark, few[0] if few else BenchmarkBlock([], [], **{k: v for k, v in settings.items() if k in ("min_match", "threshold")}))
+    rules = {k: v for k, v in settings.items() if k in ("min_match", "threshold")}
+    return shared(spark, Library(new_folder(spark, "benchmark"), chain(few, blocks), **rules))
 
-    def searcher(sent):
-        def search(batches):
-            block = opened(sent)
-            for batch in batches:
-                found = list(block.search(batch.column(1)))
-                at, item, marked, tiles = ([x[k] for x in found] for k in range(4))
-                sizes = block.sizes[np.array(item, np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array([block.ids[i] for i in item], item_type(block.ids)), pa.array(sizes, pa.int32()), pa.array(marked, pa.int32()), pa.array(tiles, pa.int32()), pa.array(np.array(marked, float) / np.maximum(sizes, 1))],
-                    names=["doc_id", "item_id", "item_words", "matched_words", "tiles", "coverage"],
-                )
 
-        return search
+def contaminations(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """(doc_id, item_id, item_words, matched_words, tiles, coverage) for each contaminated document and item."""
+    fields = {f.name: f.dataType for f in docs.schema.fields}
+    item_kind = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {fields['doc_id'].simpleString()}, item_id {item_kind.simpleString()}, item_words int, matched_words int, tiles int, coverage double"
+    item_arrow, sent = to_arrow_type(item_kind), searchable(benchmark, **settings)
 
-    def item_type(ids):
-        return pa.string() if ids and isinstance(next((i for i in ids if i is not None), 0), str) else {"int": pa.int32(), "bigint": pa.int64()}.get(item_kind, pa.int64())
+    def search(batches):
+        items = opened(sent)
+        for batch in batches:
+            found = list(items.found(batch.column(1)))
+            at, item, sizes, marked, tiles = ([x[k] for x in found] for k in range(5))
+            yield pa.RecordBatch.from_arrays(
+                [pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(item, item_arrow), pa.array(sizes, pa.int32()), pa.array(marked, pa.int32()), pa.array(tiles, pa.int32()), pa.array(np.array(marked, float) / np.maximum(sizes, 1))],
+                names=["doc_id", "item_id", "item_words", "matched_words", "tiles", "coverage"],
+            )
 
-    out = spark.createDataFrame([], schema)
-    for block in benchmark_blocks(benchmark, **settings):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(searcher(shared(spark, block)), schema))
-    return out
+    return docs.select("doc_id", "text").mapInArrow(search, schema)
 
 
 def contaminated(text: Column, sent) -> Column:
-    """Column: whether the text covers an item of the broadcast block."""
+    """Column: whether the text covers an item of what ``searchable`` sent."""
 
     held = []
 
@@ -331,7 +437,7 @@ def contaminated(text: Column, sent) -> Column:
         if not held:  # once for each worker
             held.append(opened(sent))
         hit = np.zeros(len(texts), bool)
-        for row, *_ in held[0].search(texts):
+        for row, *_ in held[0].found(texts):
             hit[row] = True
         release()
         return pa.array(hit)
@@ -341,6 +447,4 @@ def contaminated(text: Column, sent) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item."""
-    for block in benchmark_blocks(benchmark, **settings):
-        docs = docs.where(~contaminated(F.col("text"), shared(docs.sparkSession, block)))
-    return docs
+    return docs.where(~contaminated(F.col("text"), searchable(benchmark, **settings)))
