@@ -10,8 +10,12 @@ are a lower bound for all below them, so whole groups go when it passes three.
 A bucket with more than ``HOT`` entries is filed again by four blocks of its
 remaining bits, three times at most; the search stays exact.
 
-``keep_dissimilar`` goes on where texts differ more, whatever their fingerprints: bands of
-least hashes over shingles of five words name candidate pairs, which are then compared exactly.
+``keep_dissimilar`` goes on where texts differ more, whatever their fingerprints: it links all
+texts that share 0.8 of their shingles of five words.  Bands of least hashes join most of them into
+classes, each candidate pair compared exactly.  A prefix filter then names every further pair that
+may be alike and isn't in one class: with the rarest shingles first, two such texts share one of the
+first fifth.  Lengths, places and bits of odd parity drop what can't be alike, and the rest is
+compared exactly, so no link is missed.
 
 Each bucket yields edges to one representative per locally connected class, never
 all pairs; classes meet in alternating large-star and small-star rounds.
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.store import discard, materialize
+from concord.llm.store import discard, materialize, opened, shared
 from concord.llm.words import ascii_lower_words, blocks, hashed_blocks, pair_hash, release, splitmix, string_parts, word_bounds
 
 #: Most bits in which linked fingerprints differ, and blocks that so many edits can't all reach.
@@ -355,6 +359,9 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Bands of least hashes, and least hashes of each: near copies share one with a chance of 1 - (1 - 0.8**5)**25, over 0.9999.
 BANDS, BAND_ROWS = 25, 5
+#: Rows whose shingles are counted to put frequent ones last, and most of these; pairs looked at at once; bits by which pairs are told apart.
+SAMPLE_ROWS, FREQUENT = 10_000, 100_000
+PAIRS_AT_ONCE, PARITY_BITS = 1_000_000, 2048
 
 
 def shingle_hashes(texts: pa.Array, shingle: int = COPY_SHINGLE):
@@ -456,30 +463,189 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(lengths & alike).select("a", "b")
 
 
-def copy_classes(rows: DataFrame) -> DataFrame:
-    """(rid, root) of the ``rows`` (rid, text) that have a near copy: classes linked by pairs that are compared exactly.
+def sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rid, shingles) of those ``rows`` (rid, text) that are in ``pairs`` (a, b)."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "candidates")
+    few = ids.count() <= BROADCAST_ROWS
+    sets = rows.dropDuplicates(["rid"]) if not few else rows.join(F.broadcast(ids), "rid").dropDuplicates(["rid"])
+    sets = sets if few else sets.join(ids, "rid")
+    sets = materialize(sets.select("rid", shingle_sets(F.col("text")).alias("shingles")), "shingles")
+    discard(ids)
+    return sets
+
+
+def banded_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) among the ``rows`` (rid, text): most of those that classes need, from neighbours in bands.
 
     Neighbours in a band are compared first.  A row and a band's first one are
     compared only if they aren't in one class by then.
     """
     pairs = candidate_pairs(rows)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    ids = materialize(ids, "candidates")
-    few = ids.count() <= BROADCAST_ROWS
-    sets = rows.dropDuplicates(["rid"]) if not few else rows.join(F.broadcast(ids), "rid").dropDuplicates(["rid"])
-    sets = sets if few else sets.join(ids, "rid")
-    sets = materialize(sets.select("rid", shingle_sets(F.col("text")).alias("shingles")), "shingles")
+    sets = sets_of(rows, pairs)
     near = materialize(similar_pairs(pairs.where("NOT first").select("a", "b"), sets), "similar")
     bound = components(near)
     root = lambda x: bound.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     apart = pairs.where("first").join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     more = materialize(similar_pairs(apart, sets), "similar")
-    discard(pairs, ids, sets)
-    bound = components(near.union(more))
+    discard(pairs, sets)
+    return near.union(more)
+
+
+def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that several of about ``SAMPLE_ROWS`` of the ``rows`` (rid, text) have, and the rank of each by its count.
+
+    They only set the order of shingles: any order gives the same links, a better one fewer pairs to look at.
+    """
+    step = max(1, rows.count() // SAMPLE_ROWS)
+    sample = rows.where(F.pmod("rid", F.lit(step)) == 0)
+    counts = sample.select(F.explode(shingle_sets(F.col("text"))).alias("shingle")).groupBy("shingle").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
+    hashes = np.array([r[0] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.arange(len(found), 0, -1, dtype=np.uint64)[order]
+
+
+def prefixes(batches, frequent):
+    """(rid, n, keys, parity) of each (rid, text): its number of shingles, the rarest of them in order, and the odd bits of all.
+
+    Texts that are alike share one of ``keys``.  Each shingle turns one bit of ``parity``,
+    so two texts differ in as many shingles at least as in bits.
+    """
+    hashes, ranks = opened(frequent)
+    for batch in batches:
+        rid = batch.column(0).to_numpy()
+        for first, last, g, row in shingle_hashes(batch.column(1)):
+            order = np.lexsort((g, row))
+            g, row = g[order], row[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+            g, row = g[new], row[new]
+            n = np.bincount(row, minlength=last - first)
+            bits = np.zeros((last - first) * PARITY_BITS, np.uint8)
+            np.add.at(bits, row * PARITY_BITS + (splitmix(g) % np.uint64(PARITY_BITS)).astype(np.int64), np.uint8(1))
+            place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+            if len(hashes) and len(g):
+                at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
+                last_ones = np.where(hashes[at] == g, ranks[at], np.uint64(0))  # equal ranks stay in order of hash
+                g = g[np.lexsort((last_ones, row))]
+            count = n - np.ceil(n * COPY_SIMILARITY - 1e-9).astype(np.int64) + 1
+            keys = g[place < count[row]]
+            count[n == 0] = 0
+            ends = np.cumsum(count)
+            keys = np.insert(keys, ends[n == 0], np.uint64(0))  # texts without words share a key of their own
+            ends += np.cumsum(n == 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.view(np.int64)))
+            parity = pa.array([x.tobytes() for x in np.packbits(bits.reshape(-1, PARITY_BITS) & 1, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rid[first:last]), pa.array(n), lists, parity], names=["rid", "n", "keys", "parity"])
+    release()
+
+
+def may_be_alike(key: np.ndarray, rid: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray):
+    """Arrays (a, b) of ids whose rows share a key, are of different classes and, by their lengths and the key's places, may be alike."""
+    order = np.lexsort((rid, n, key))
+    key, rid, root, n, pos = key[order], rid[order], root[order], n[order], pos[order]
+    bucket = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+    # whole buckets of one class, as most are, have nothing to compare
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    mixed = (np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts))[bucket]
+    bucket, rid, root, n, pos = bucket[mixed], rid[mixed], root[mixed], n[mixed], pos[mixed]
+    if not len(rid):
+        return
+    wide = np.int64(1) << np.int64(32)
+    longest = np.floor(n / COPY_SIMILARITY + 1e-9).astype(np.int64)
+    stop = np.searchsorted(bucket * wide + n, bucket * wide + longest, "right")
+    count = stop - np.arange(len(rid)) - 1
+    count = np.where(n == 0, np.minimum(count, 1), count)  # a chain links all texts without words
+    total, i = np.cumsum(count), 0
+    while i < len(count):
+        base = total[i] - count[i]
+        k = max(i + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, "right")))
+        a = np.repeat(np.arange(i, k), count[i:k])
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[i:k] - count[i:k] - base, count[i:k])
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        both = np.ceil((n[a] + n[b]) * (COPY_SIMILARITY / (1 + COPY_SIMILARITY)) - 1e-9)
+        fits = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= both
+        a, b = rid[a[fits]], rid[b[fits]]
+        if len(a):
+            a, b = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            yield a[new], b[new]
+        i = k
+
+
+def sharing_pairs(batches):
+    """(a, b) from (key, rid, root, n, pos) with equal keys adjacent, as ``may_be_alike`` has them."""
+    kept, rows, most = [], 0, SEARCH_ROWS
+
+    def pairs(columns):
+        for a, b in may_be_alike(*columns):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        kept.append([c.to_numpy().astype(np.int64) for c in batch.columns])
+        rows += len(kept[-1][0])
+        if rows >= most:
+            columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            done = int(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))[-1])  # the last bucket may go on
+            if done:
+                yield from pairs([c[:done] for c in columns])
+            kept = [[c[done:] for c in columns]]
+            rows -= done
+            most = max(SEARCH_ROWS, 2 * rows)
+    if rows:
+        yield from pairs([np.concatenate(x) for x in zip(*kept, strict=True)])
+    release()
+
+
+def odd_bits(a: Column, b: Column) -> Column:
+    """Column of the number of bits in which two ``parity`` columns differ."""
+
+    @F.arrow_udf("int")
+    def differ(x: pa.Array, y: pa.Array) -> pa.Array:
+        words = [string_parts(v)[1].view(np.uint64).reshape(-1, PARITY_BITS // 64) for v in (x, y)]
+        return pa.array(np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int32))
+
+    return differ(a, b)
+
+
+def missed_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """All links (a, b) between ``rows`` (rid, text) that aren't in one of the ``classes`` (rid, root), by a prefix filter."""
+    frequent = shared(rows.sparkSession, frequent_shingles(rows))
+    index = materialize(rows.mapInArrow(lambda b: prefixes(b, frequent), "rid long, n long, keys array<long>, parity binary"), "prefixes")
+    side = F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes
+    keys = index.select("rid", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).join(side, "rid", "left")
+    keys = keys.select("key", "rid", F.coalesce("root", "rid").alias("root"), "n", "pos")
+    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(sharing_pairs, "a long, b long")
+    pairs = materialize(pairs.distinct(), "pairs")
+    own = index.dropDuplicates(["rid"])
+    a, b = (own.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    most = (F.col("na") + F.col("nb")) * ((1 - COPY_SIMILARITY) / (1 + COPY_SIMILARITY)) + 1e-9
+    left = pairs.join(a, "a").join(b, "b").where(odd_bits(F.col("pa"), F.col("pb")) <= most)
+    left = materialize(left.select("a", "b"), "candidates")
+    discard(pairs, index)
+    sets = sets_of(rows, left)
+    links = materialize(similar_pairs(left, sets), "similar")
+    discard(left, sets)
+    return links
+
+
+def members(bound: DataFrame) -> DataFrame:
+    """(rid, root) of ``components``, the roots included."""
     return bound.select(F.col("node").alias("rid"), "root").union(bound.select(F.col("root").alias("rid"), "root").distinct())
 
 
+def copy_classes(rows: DataFrame) -> DataFrame:
+    """(rid, root) of the ``rows`` (rid, text) that have a near copy: the classes of all links, each compared exactly."""
+    links = banded_links(rows)
+    classes = materialize(members(components(links)), "members")
+    missed = missed_links(rows, classes)
+    return classes if missed.isEmpty() else materialize(members(components(links.union(missed))), "members")
+
+
 def keep_dissimilar(docs: DataFrame) -> DataFrame:
     """Documents without near copies by text: of each class linked by ``COPY_SIMILARITY`` of shared shingles, that with the smallest id stays.
 
@@ -488,7 +654,7 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rid = F.xxhash64(key, text)
-    classes = materialize(copy_classes(docs.select(rid.alias("rid"), text.alias("text"))), "members")
+    classes = copy_classes(docs.select(rid.alias("rid"), text.alias("text")))
     members = docs.select(rid.alias("rid"), key.alias("key"), F.col("doc_id").isNull().alias("no_id"), "doc_id").join(F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes, "rid")
     members = materialize(members, "copies")
     stays = members.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "rid")).alias("stays"))

@@ -246,3 +246,48 @@ def test_shingle_sets_match_plain_ones(spark):
     for a, x in zip(sets, plain, strict=True):
         for b, y in zip(sets, plain, strict=True):
             assert len(a & b) == len(x & y) and len(a) == len(x)
+
+
+def loose_group(seed, count):
+    """Texts of one frame with two changed words each: most pairs of them are less than near copies, some are, hardly any next to each other in a band."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    base, rows = [word() for _ in range(100)], []
+    for k in range(count):
+        own = list(base)
+        for _ in range(2):
+            own[rng.randrange(len(own))] = word()
+        rows.append((k, " ".join(own)))
+    return rows + [(count + k, t) for k, t in enumerate(["", None, " \t", "a b", "a  B", "a b c d e", "a b c d e f"])]
+
+
+def alike(rows):
+    """All pairs (i, k), k < i, of near copies."""
+    sets = [shingle_set(t) for _, t in rows]
+    return {(rows[i][0], rows[k][0]) for i in range(len(rows)) for k in range(i) if jaccard(sets[i], sets[k]) >= 0.8}
+
+
+def test_no_link_of_a_loose_group_is_missed(spark):
+    rows = loose_group(11, 400)
+    label = {i: i for i, _ in rows}
+    pairs = alike(rows)
+    for _ in rows:
+        for i, k in pairs:
+            label[i] = label[k] = min(label[i], label[k])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r[0] for r in simhash.keep_dissimilar(docs).collect()) == sorted(set(label.values()))
+
+
+def test_prefix_filter_alone_finds_all_links(spark, monkeypatch):
+    rows = [(k, t) for k, (_, t) in enumerate(loose_group(12, 150) + edited(2) + far_copies(4))]
+    docs = spark.createDataFrame(rows, "rid long, text string")
+    none = spark.createDataFrame([], "rid long, root long")
+    empty = {i for i, t in rows if not shingle_set(t)}
+    want = {p for p in alike(rows) if not set(p) <= empty}
+    for sample, searched in ((10_000, 200_000), (20, 50), (1, 1)):  # whatever the order, and in small steps
+        monkeypatch.setattr(simhash, "SAMPLE_ROWS", sample)
+        monkeypatch.setattr(simhash, "SEARCH_ROWS", searched)
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", searched)
+        got = {(r["a"], r["b"]) for r in simhash.missed_links(docs, none).collect()}
+        chain = {p for p in got if set(p) <= empty}
+        assert got - chain == want and {i for p in chain for i in p} == empty and len(want) > 300
